@@ -66,6 +66,18 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") ->
     )
 
 
+def _same(keys: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+
+
+def _oversized(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, int, int]:
+    """Keys with more than ``hot_rows`` rows, how many there are and how many rows they hold."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    n_keys, n_rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    hot = counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    return (F.broadcast(hot) if n_keys <= _MAX_BROADCAST_KEYS else hot), n_keys, n_rows
+
+
 def lookback(
     df: DataFrame,
     keys: Sequence[str],
@@ -74,6 +86,7 @@ def lookback(
     value: str,
     apply: Callable[[DataFrame, list[str], list[Column]], DataFrame],
     hot_rows: int,
+    coarse_keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Run a window that reads ``value`` from at most ``rows_back`` preceding rows, any group size.
 
@@ -81,15 +94,20 @@ def lookback(
     ``hot_rows`` rows take the plain window. Larger ones are range-split along the order (rows equal
     in every order column included), each piece is preceded by a halo of the ``rows_back`` rows
     before it, and the halo is removed afterwards: same result as one window over the whole group.
+    Group sizes come from a count that combines map-side; when ``keys`` are nearly unique, give a
+    subset with few values as ``coarse_keys`` and only its oversized groups are counted in full.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    n_keys, n_rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    suspects = df
+    if coarse_keys:
+        coarse, n_coarse, _ = _oversized(df, coarse_keys, hot_rows)
+        if n_coarse:
+            suspects = df.join(coarse, _same(coarse_keys), "left_semi")
+    else:
+        n_coarse = 1
+    hot, n_keys, n_rows = _oversized(suspects, keys, hot_rows) if n_coarse else (None, 0, 0)
     if not n_keys:
         return apply(df, list(keys), oldest_first(order[0], order[1:]))
-    hot = counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
-    if n_keys <= _MAX_BROADCAST_KEYS:
-        hot = F.broadcast(hot)
-    same_key = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    same_key = _same(keys)
     cold = apply(df.join(hot, same_key, "left_anti"), list(keys), oldest_first(order[0], order[1:]))
 
     in_order = [*[F.col(k).asc() for k in keys], *oldest_first(order[0], order[1:]), F.col("_id").asc()]
