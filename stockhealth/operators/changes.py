@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from stockhealth.operators.actions import clock
 from stockhealth.operators.keyed import lookback
 from stockhealth.policy import DEFAULT_POLICY, Policy
 from stockhealth.schema import PAIR, STOCK_KEY
+from stockhealth.session import shared_root
 
 _PAYLOAD = ["opening_stock", "received", "issued", "closing_stock", "lead_time_days"]
 
@@ -17,28 +20,38 @@ _PAYLOAD = ["opening_stock", "received", "issued", "closing_stock", "lead_time_d
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """INSERT, UPDATE and DELETE between two versions of the daily table.
 
-    Both sides are reduced to one row per key in a single grouped aggregate with map-side combine;
-    unlike a full outer join it has no skewed side. A key that occurs more than once in a version
-    stands for its largest row.
+    Equal rows cancel out in one hash aggregate with map-side combine, so only changed rows reach the
+    step that pairs them by key; unlike a full outer join no side can be skewed. Where a key occurs
+    several times in a version, its removed rows are DELETEs and its added rows INSERTs.
     """
-    row = F.struct(*_PAYLOAD)
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        other = "new" if name == "old" else "old"
-        return df.select(*STOCK_KEY, row.alias(name), F.lit(None).cast(_ROW_TYPE).alias(other))
-
-    both = side(old, "old").unionByName(side(new, "new"))
-    merged = both.groupBy(*STOCK_KEY).agg(F.max("old").alias("old"), F.max("new").alias("new"))
-    kind = (
-        F.when(F.col("old").isNull(), "INSERT").when(F.col("new").isNull(), "DELETE").otherwise("UPDATE")
+    signed = old.select(*STOCK_KEY, *_PAYLOAD, F.lit(-1).alias("_sign")).unionByName(
+        new.select(*STOCK_KEY, *_PAYLOAD, F.lit(1).alias("_sign"))
+    )
+    shared_root(old.sparkSession)
+    # Usually few rows; pinned because both steps below read them and the tables should be read once.
+    changed = signed.groupBy(*STOCK_KEY, *_PAYLOAD).agg(F.sum("_sign").alias("_net")).where("_net != 0").checkpoint()
+    closing = F.struct("closing_stock")  # a struct is null only when there is no row, whatever its value
+    removed, added = F.col("_net") < 0, F.col("_net") > 0
+    by_key = changed.groupBy(*STOCK_KEY).agg(
+        F.sum(F.when(removed, -F.col("_net")).otherwise(0)).alias("_removed"),
+        F.sum(F.when(added, F.col("_net")).otherwise(0)).alias("_added"),
+        F.max(F.when(removed, closing)).alias("_old"), F.max(F.when(added, closing)).alias("_new"),
     )
-    return merged.where(~F.col("old").eqNullSafe(F.col("new"))).select(
+    paired = (F.col("_removed") <= 1) & (F.col("_added") <= 1)
+    kind = F.when(F.col("_old").isNull(), "INSERT").when(F.col("_new").isNull(), "DELETE").otherwise("UPDATE")
+    simple = by_key.where(paired).select(
         kind.alias("change_type"), *STOCK_KEY,
-        F.col("old.closing_stock").alias("old_closing_stock"), F.col("new.closing_stock").alias("new_closing_stock"),
+        F.col("_old.closing_stock").alias("old_closing_stock"), F.col("_new.closing_stock").alias("new_closing_stock"),
     )
-
-
-_ROW_TYPE = "struct<" + ",".join(f"{c}:bigint" for c in _PAYLOAD) + ">"
+    repeated = by_key.where(~paired).select(*[F.col(c).alias(f"_{c}") for c in STOCK_KEY])
+    same_key = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in STOCK_KEY])
+    copies = F.explode(F.sequence(F.lit(1), F.abs(F.col("_net")).cast("int")))
+    single = changed.join(repeated, same_key, "left_semi").withColumn("_copy", copies).select(
+        F.when(removed, "DELETE").otherwise("INSERT").alias("change_type"), *STOCK_KEY,
+        F.when(removed, F.col("closing_stock")).alias("old_closing_stock"),
+        F.when(added, F.col("closing_stock")).alias("new_closing_stock"),
+    )
+    return simple.unionByName(single)
 
 
 def change_log(changes: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:

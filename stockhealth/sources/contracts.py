@@ -7,7 +7,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockhealth.schema import ACTION_STATUSES, ACTION_TYPES, METRIC_COLUMNS, PRIORITIES, STOCK_DAILY
+from stockhealth.schema import ACTION_STATUSES, ACTION_TYPES, METRIC_COLUMNS, PAIR, PRIORITIES, STOCK_DAILY
 
 
 def missing_columns(df: DataFrame, required: list[str] | None = None) -> list[str]:
@@ -48,9 +48,14 @@ def check_contract(df: DataFrame, required: list[str] = METRIC_COLUMNS) -> DataF
 
 
 def profile(daily: DataFrame) -> DataFrame:
-    return daily.agg(
-        F.count(F.lit(1)).alias("row_count"), F.min("date").alias("min_date"), F.max("date").alias("max_date"),
-        F.count_distinct("location").alias("locations"), F.count_distinct("item").alias("items"),
+    """One row; reduced to pairs first, so the distinct counts run over pairs and not over days."""
+    pairs = daily.groupBy(*PAIR).agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last")
+    )
+    return pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.min("first").alias("min_date"),
+        F.max("last").alias("max_date"), F.count_distinct("location").alias("locations"),
+        F.count_distinct("item").alias("items"),
     )
 
 
@@ -61,11 +66,15 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def check_enums(actions: DataFrame) -> DataFrame:
-    """Values outside their enumeration, with how often they occur; one pass over the log."""
+    """Values outside their enumeration, with how often they occur.
+
+    The log is first reduced to its few value combinations.
+    """
     allowed = {"action_type": ACTION_TYPES, "status": ACTION_STATUSES, "priority": PRIORITIES}
-    pairs = F.explode(F.array(*[
+    combinations = actions.groupBy(*allowed).agg(F.count(F.lit(1)).alias("n"))
+    values = F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.when(~F.col(c).isin(v), F.col(c)).alias("bad_value"))
         for c, v in allowed.items()
-    ])).alias("p")
-    found = actions.select(pairs).where("p.bad_value IS NOT NULL")
-    return found.groupBy("p.column_name", "p.bad_value").agg(F.count(F.lit(1)).alias("n"))
+    ]))
+    found = combinations.select("n", values).where("bad_value IS NOT NULL")
+    return found.groupBy("column_name", "bad_value").agg(F.sum("n").alias("n"))
