@@ -12,7 +12,7 @@ from stockhealth.operators.actions import clock
 from stockhealth.operators.keyed import lookback
 from stockhealth.policy import DEFAULT_POLICY, Policy
 from stockhealth.schema import PAIR, STOCK_KEY
-from stockhealth.session import shared_root
+from stockhealth.session import pin
 
 _PAYLOAD = ["opening_stock", "received", "issued", "closing_stock", "lead_time_days"]
 
@@ -27,9 +27,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     signed = old.select(*STOCK_KEY, *_PAYLOAD, F.lit(-1).alias("_sign")).unionByName(
         new.select(*STOCK_KEY, *_PAYLOAD, F.lit(1).alias("_sign"))
     )
-    shared_root(old.sparkSession)
-    # Usually few rows; pinned because both steps below read them and the tables should be read once.
-    changed = signed.groupBy(*STOCK_KEY, *_PAYLOAD).agg(F.sum("_sign").alias("_net")).where("_net != 0").checkpoint()
+    net = signed.groupBy(*STOCK_KEY, *_PAYLOAD).agg(F.sum("_sign").alias("_net")).where("_net != 0")
+    changed = pin(net, "changed")  # usually few rows; both steps below read them
     closing = F.struct("closing_stock")  # a struct is null only when there is no row, whatever its value
     removed, added = F.col("_net") < 0, F.col("_net") > 0
     by_key = changed.groupBy(*STOCK_KEY).agg(
@@ -77,7 +76,8 @@ def new_alerts(
 ) -> DataFrame:
     """Pairs with two days or less that had no alert in the last hour."""
     since = clock(as_of) - F.make_dt_interval(hours=F.lit(policy.cooldown_hours))
-    recent = alerts.where(F.col("alert_timestamp") > since).select(*PAIR)
+    # One row per pair: a pair that alerts often must not weigh on the join.
+    recent = alerts.where(F.col("alert_timestamp") > since).select(*PAIR).distinct()
     critical = snapshot.where(F.col("days_of_cover") <= policy.alert_days)
     return critical.join(recent, PAIR, "left_anti").select(
         clock(as_of).alias("alert_timestamp"), *PAIR, "days_of_cover", "closing_stock", "suggested_reorder"

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockhealth.session import shared_root
+from stockhealth.session import pin
 
 
 def newest_first(date: str, ties: Sequence[str]) -> list[Column]:
@@ -32,21 +32,21 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 
 _ROW_BITS = (1 << 33) - 1  # the in-partition part of monotonically_increasing_id
 _MAX_BROADCAST_KEYS = 100_000
+_PIECES = 4  # an oversized group of hot_rows rows becomes this many pieces
 
 
 def _pinned_order(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
-    """Range-sorted rows with their partition (``_part``) and place in it (``_row``), checkpointed.
+    """Range-sorted rows with their partition (``_part``) and place in it (``_row``).
 
-    The checkpoint fixes the partition bounds for every later pass and survives lost executors.
+    Written out, because every later pass must see the same partition bounds.
     """
-    shared_root(df.sparkSession)
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    return (
+    placed = (
         ranged.sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
-        .checkpoint()
     )
+    return pin(placed, "ordered")
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
@@ -113,7 +113,7 @@ def lookback(
     in_order = [*[F.col(k).asc() for k in keys], *oldest_first(order[0], order[1:]), F.col("_id").asc()]
     pieces = _pinned_order(
         df.join(hot, same_key, "left_semi").withColumn("_id", F.monotonically_increasing_id()),
-        in_order, partitions=n_rows // hot_rows + 1,
+        in_order, partitions=_PIECES * n_rows // hot_rows + 1,
     ).drop("_id")
     piece = [*keys, "_part"]
     # At most rows_back rows per key and partition are left here.

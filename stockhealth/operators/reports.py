@@ -80,7 +80,8 @@ def slice_metrics(
         if chosen is None:
             continue
         if isinstance(chosen, DataFrame):
-            snapshot = snapshot.join(chosen.select(F.col(chosen.columns[0]).alias(column)), column, "left_semi")
+            picked = chosen.select(F.col(chosen.columns[0]).alias(column)).distinct()
+            snapshot = snapshot.join(picked, column, "left_semi")
         else:
             snapshot = snapshot.where(F.col(column).isin(list(chosen)))
     return snapshot

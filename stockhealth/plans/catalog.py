@@ -340,7 +340,7 @@ def _stream_alerts(spark, sf_dir):
 
 def _refreshed(spark: SparkSession, sf_dir: str) -> str:
     source, target, state = _staged(_daily(spark, sf_dir), "stock-stream")
-    S.stream_metrics(spark, source, target, state, max_files=2).awaitTermination()
+    S.stream_metrics(spark, source, target, state).awaitTermination()
     return target
 
 

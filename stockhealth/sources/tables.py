@@ -71,8 +71,11 @@ def seed(spark: SparkSession, csv_path: str, path: str) -> None:
 
 
 def append_actions(actions: DataFrame, path: str) -> None:
-    """Append completed actions; one folder per day keeps time filters cheap."""
-    days = actions.withColumn("action_date", F.to_date("action_timestamp"))
+    """Append completed actions; one folder per day keeps time filters cheap.
+
+    Rebalancing gathers a day's rows into few files and still splits a day that holds most of them.
+    """
+    days = actions.withColumn("action_date", F.to_date("action_timestamp")).hint("rebalance", "action_date")
     days.write.mode("append").partitionBy("action_date").parquet(path)
 
 

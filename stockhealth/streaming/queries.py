@@ -2,7 +2,8 @@
 
 Sources are folders of Parquet files. Every query runs with ``availableNow`` unless given a trigger,
 so an empty source starts no batch and a scheduler may call it as often as it likes. ``max_files``
-bounds a micro-batch, and with it the rows of one key that a stateful task sees at once.
+bounds a micro-batch. Where rows of a key must be put in time order it has a default, because those of
+one micro-batch are ordered in the memory of one task; size it so that a third of the micro-batch fits.
 """
 from __future__ import annotations
 
@@ -32,6 +33,8 @@ cloudpickle.register_pickle_by_value(state)
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+ORDERED_FILES = 64
+
 METRICS, AT_RISK = "inventory_metrics_dt", "inventory_at_risk_dt"
 
 
@@ -141,7 +144,7 @@ def change_stream(spark: SparkSession, source: str, max_files: int | None = None
 
 
 def stream_change_log(
-    spark: SparkSession, source: str, target: str, checkpoint: str, max_files: int | None = None,
+    spark: SparkSession, source: str, target: str, checkpoint: str, max_files: int | None = ORDERED_FILES,
     trigger: dict | None = None, ttl_ms: int | None = None,
 ) -> StreamingQuery:
     """Log inserts and updates with the previous closing stock, remembered across micro-batches.
@@ -157,7 +160,7 @@ def stream_change_log(
 
 
 def stream_alerts(
-    spark: SparkSession, source: str, target: str, checkpoint: str, max_files: int | None = None,
+    spark: SparkSession, source: str, target: str, checkpoint: str, max_files: int | None = ORDERED_FILES,
     trigger: dict | None = None, watermark: str | None = None, policy: Policy = DEFAULT_POLICY,
 ) -> StreamingQuery:
     """One alert per pair and hour over a stream of critical observations.
