@@ -3,7 +3,6 @@ from datetime import date, datetime
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from stockhealth.operators import actions as A
 from stockhealth.operators import changes as CH
