@@ -11,6 +11,7 @@ import json
 import os
 import sys
 import time
+from datetime import date
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -69,6 +70,7 @@ def main() -> None:
 
     batch = {
         "metrics": lambda: M.metrics(daily),
+        "metrics_since": lambda: M.metrics(daily, since=date(2001, 1, 1)),
         "metrics_naive": lambda: naive_metrics(daily),
         "metrics_history": lambda: M.metrics_history(daily),
         "metrics_rounded": lambda: M.metrics_rounded(daily),

@@ -1,18 +1,22 @@
 """Trend-based demand forecast for all pairs in one job."""
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockhealth.operators.keyed import newest_first, top_rows
+from stockhealth.operators.keyed import newest_rows
 from stockhealth.operators.metrics import ROUNDED_COLUMNS, ROW_TIES, SCORE_TIES, score_rounded
 from stockhealth.policy import DEFAULT_POLICY, Policy
 from stockhealth.schema import PAIR
 
 
-def last_n(daily: DataFrame, policy: Policy = DEFAULT_POLICY, ties: list[str] = SCORE_TIES) -> DataFrame:
+def last_n(
+    daily: DataFrame, policy: Policy = DEFAULT_POLICY, ties: list[str] = SCORE_TIES, since: date | None = None
+) -> DataFrame:
     """The newest 14 rows per pair; ``day_num`` ascends with the date (the slope ignores its origin)."""
-    newest = top_rows(daily.select(*PAIR, "date", *ties), PAIR, newest_first("date", ties), policy.history_rows)
+    newest = newest_rows(daily.select(*PAIR, "date", *ties), PAIR, ties, policy.history_rows, since)
     return newest.withColumn("day_num", (-F.col("rn")).cast("long"))
 
 
@@ -25,8 +29,8 @@ def _slope() -> Column:
     )
 
 
-def trend(daily: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    return last_n(daily, policy).groupBy(*PAIR).agg(
+def trend(daily: DataFrame, policy: Policy = DEFAULT_POLICY, since: date | None = None) -> DataFrame:
+    return last_n(daily, policy, since=since).groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("history_rows"), F.avg("issued").alias("avg_issued"), _slope().alias("trend_slope")
     )
 
@@ -36,9 +40,9 @@ def _forecast(average: Column, slope: Column, policy: Policy) -> Column:
     return F.when(raw > 0, F.bround(raw, 2))
 
 
-def forecast(daily: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def forecast(daily: DataFrame, policy: Policy = DEFAULT_POLICY, since: date | None = None) -> DataFrame:
     """Average plus the trend carried 7 days; null when there is no positive demand."""
-    return trend(daily, policy).select(
+    return trend(daily, policy, since).select(
         *PAIR, _forecast(F.col("avg_issued"), F.col("trend_slope"), policy).alias("ml_forecasted_demand")
     )
 
@@ -47,7 +51,7 @@ def estimated_demand(forecasted: Column, average: Column) -> Column:
     return F.coalesce(forecasted, average)
 
 
-def metrics_forecast(daily: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def metrics_forecast(daily: DataFrame, policy: Policy = DEFAULT_POLICY, since: date | None = None) -> DataFrame:
     """Rounded metrics recomputed on the estimated demand.
 
     The newest 14 rows feed both the trend and (the first 7 of them) the rolling mean, so one pass
@@ -55,7 +59,7 @@ def metrics_forecast(daily: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataF
     """
     in_window = F.col("rn") <= policy.window_rows
     usage = (
-        last_n(daily, policy, ROW_TIES)
+        last_n(daily, policy, ROW_TIES, since)
         .groupBy(*PAIR)
         .agg(
             F.min_by(F.struct("date", *ROW_TIES), "rn").alias("last"),

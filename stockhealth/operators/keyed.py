@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 from functools import reduce
 from operator import and_
 
@@ -11,13 +12,13 @@ from pyspark.sql import functions as F
 from stockhealth.session import pin
 
 
-def newest_first(date: str, ties: Sequence[str]) -> list[Column]:
+def newest_first(column: str, ties: Sequence[str]) -> list[Column]:
     """Latest row first; ``ties`` make the order total over the values that are read."""
-    return [F.col(date).desc_nulls_last()] + [F.col(c).desc_nulls_last() for c in ties]
+    return [F.col(column).desc_nulls_last()] + [F.col(c).desc_nulls_last() for c in ties]
 
 
-def oldest_first(date: str, ties: Sequence[str]) -> list[Column]:
-    return [F.col(date).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in ties]
+def oldest_first(column: str, ties: Sequence[str]) -> list[Column]:
+    return [F.col(column).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in ties]
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rn") -> DataFrame:
@@ -30,6 +31,29 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return numbered.where(F.col(name) <= n)
 
 
+def newest_rows(
+    df: DataFrame, keys: Sequence[str], ties: Sequence[str], n: int, since: date | None = None
+) -> DataFrame:
+    """The newest ``n`` rows per key by date, numbered from 1.
+
+    ``since`` is a hint for long histories. Keys with ``n`` rows from that day on need nothing older, so
+    their older rows are dropped at the scan, before any sort or exchange. All other keys keep their
+    whole history: the result does not depend on the hint. It is ignored when too many keys qualify
+    for a broadcast.
+    """
+    order = newest_first("date", ties)
+    if since is None:
+        return top_rows(df, keys, order, n)
+    recent = F.coalesce(F.col("date") >= F.lit(since), F.lit(False))
+    served = df.where(F.col("date") >= F.lit(since)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
+    served = served.select(*[F.col(k).alias(f"_key_{k}") for k in keys])
+    if served.limit(_MAX_SERVED_KEYS + 1).count() > _MAX_SERVED_KEYS:
+        return top_rows(df, keys, order, n)
+    older = df.where(~recent).join(F.broadcast(served), _same(keys), "left_anti")
+    return top_rows(df.where(F.col("date") >= F.lit(since)).unionByName(older), keys, order, n)
+
+
+_MAX_SERVED_KEYS = 2_000_000  # a few hundred MB as a broadcast
 _ROW_BITS = (1 << 33) - 1  # the in-partition part of monotonically_increasing_id
 _MAX_BROADCAST_KEYS = 100_000
 _PIECES = 4  # an oversized group of hot_rows rows becomes this many pieces
@@ -67,14 +91,14 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") ->
 
 
 def _same(keys: Sequence[str]) -> Column:
-    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
 
 
 def _oversized(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, int, int]:
     """Keys with more than ``hot_rows`` rows, how many there are and how many rows they hold."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     n_keys, n_rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    hot = counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    hot = counts.select(*[F.col(k).alias(f"_key_{k}") for k in keys])
     return (F.broadcast(hot) if n_keys <= _MAX_BROADCAST_KEYS else hot), n_keys, n_rows
 
 

@@ -1,11 +1,13 @@
 """Stock-health metrics per (location, item)."""
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockhealth.functions import columns as C
-from stockhealth.operators.keyed import lookback, newest_first, top_rows
+from stockhealth.operators.keyed import lookback, newest_rows
 from stockhealth.policy import DEFAULT_POLICY, Policy
 from stockhealth.schema import METRIC_COLUMNS, PAIR
 
@@ -25,9 +27,9 @@ def rolling_issue(daily: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
     return lookback(daily, PAIR, ["date", *SCORE_TIES], back, "issued", add_average, policy.hot_rows)
 
 
-def latest_per_pair(daily: DataFrame) -> DataFrame:
+def latest_per_pair(daily: DataFrame, since: date | None = None) -> DataFrame:
     """The newest row of each pair."""
-    return top_rows(daily, PAIR, newest_first("date", ROW_TIES), 1).drop("rn")
+    return newest_rows(daily, PAIR, ROW_TIES, 1, since).drop("rn")
 
 
 def score(usage: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -47,15 +49,13 @@ def score(usage: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     })
 
 
-def recent_usage(daily: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def recent_usage(daily: DataFrame, policy: Policy = DEFAULT_POLICY, since: date | None = None) -> DataFrame:
     """Latest row per pair with its rolling mean.
 
     Only the newest 7 rows of a pair can enter the mean of its last row, so history is cut before
     the exchange and the rest is one grouped aggregate on the same partitioning.
     """
-    newest = top_rows(
-        daily.select(*PAIR, "date", *SCORE_TIES), PAIR, newest_first("date", SCORE_TIES), policy.window_rows
-    )
+    newest = newest_rows(daily.select(*PAIR, "date", *SCORE_TIES), PAIR, SCORE_TIES, policy.window_rows, since)
     last = F.min_by(F.struct("date", "closing_stock", "lead_time_days"), "rn")
     return (
         newest.groupBy(*PAIR)
@@ -64,9 +64,9 @@ def recent_usage(daily: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame
     )
 
 
-def metrics(daily: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """The metrics snapshot: 13 columns, one row per pair."""
-    return score(recent_usage(daily, policy), policy).select(*METRIC_COLUMNS)
+def metrics(daily: DataFrame, policy: Policy = DEFAULT_POLICY, since: date | None = None) -> DataFrame:
+    """The metrics snapshot: 13 columns, one row per pair. ``since``: see ``newest_rows``."""
+    return score(recent_usage(daily, policy, since), policy).select(*METRIC_COLUMNS)
 
 
 def metrics_history(daily: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -112,11 +112,9 @@ ROUNDED_COLUMNS = [
 ]
 
 
-def metrics_rounded(daily: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def metrics_rounded(daily: DataFrame, policy: Policy = DEFAULT_POLICY, since: date | None = None) -> DataFrame:
     """Snapshot in the rounded dialect with the rolling average as demand."""
-    newest = top_rows(
-        daily.select(*PAIR, "date", *ROW_TIES), PAIR, newest_first("date", ROW_TIES), policy.window_rows
-    )
+    newest = newest_rows(daily.select(*PAIR, "date", *ROW_TIES), PAIR, ROW_TIES, policy.window_rows, since)
     usage = newest.groupBy(*PAIR).agg(
         F.min_by(F.struct("date", *ROW_TIES), "rn").alias("last"),
         F.bround(F.avg("issued"), 2).alias("avg_daily_issue"),

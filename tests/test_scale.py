@@ -82,6 +82,19 @@ def test_snapshot_equals_last_history_row(skewed):
     assert rows(cut, *columns) == rows(last, *columns)
 
 
+@pytest.mark.parametrize("since", [date(2023, 1, 1), date(2024, 1, 20), date(2024, 2, 18), date(2030, 1, 1)])
+def test_since_is_only_a_hint(skewed, since):
+    undated = skewed.unionByName(skewed.where("location = 'l1'").limit(2).withColumn("date", F.lit(None).cast("date"))).cache()
+    for operator in (M.metrics, M.metrics_rounded, FC.metrics_forecast, FC.trend):
+        assert rows(operator(undated, since=since)) == rows(operator(undated)), operator
+
+
+def test_since_drops_old_rows_before_the_exchange(daily):
+    text = plan(M.metrics(daily, since=date(2001, 6, 1)))
+    assert "LeftAnti" in text and "SortMergeJoin" not in text
+    assert "GreaterThanOrEqual(date,2001-06-01)" in text
+
+
 def changes(spark, n=400):
     rng = random.Random(3)
     day = date(2024, 1, 1)
