@@ -34,7 +34,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
     if root is None and current is None:
-        if not context.master.startswith("local"):
+        # "local-cluster" has executors of its own, so it needs the setting as well.
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="stockhealth-")
     if current is None:

@@ -56,6 +56,9 @@ if __name__ == "__main__":
             continue
         start = time.time()
         try:
+            if name not in sqls:
+                print(f"     {name} has no SQL, {run(spark, sf_dir).count()} rows", flush=True)
+                continue
             found = differences(run(spark, sf_dir), con, sqls[name])
         except Exception as error:  # noqa: BLE001 - report and go on
             found = [f"{type(error).__name__}: {str(error)[:600]}"]
