@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockhealth.llm import chat, crosspolytope, langid, licenses, mixing, pstable, secrets, sentencepiece_bpe, simhash
+from stockhealth.llm import chat, crosspolytope, langid, licenses, mixing, pstable, secrets, sentencepiece_bpe, simhash, suffixes
 from stockhealth.llm.common import read_table
 
 MODEL = "piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def chat_events(conversations: DataFrame) -> DataFrame:
     """The table as a log: answers stream in two deltas after a discarded draft, other turns are edited once.
 
@@ -85,5 +89,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_simhash, op3_chat, op4_sentencepiece, op5_secrets, op6_langid, op7_crosspolytope, op8_pstable, op9_mixing, op10_licenses)
+        op1_simhash, op2_suffixes, op3_chat, op4_sentencepiece, op5_secrets, op6_langid, op7_crosspolytope, op8_pstable, op9_mixing, op10_licenses)
 }
