@@ -1,14 +1,16 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockhealth.session import pin
 
-__all__ = ["WORD", "cells", "components", "pin", "read_table"]
+__all__ = ["WORD", "cells", "components", "pin", "read_table", "slices"]
 
 # Fixed value: a word is a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[st
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Batches in smaller parts, so that what a task makes of texts is sent on before the next part is made."""
+    for frame in batches:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at:at + rows].reset_index(drop=True)
+
+
 def cells(rows: DataFrame, keys: Sequence[str], block: int, spread: Column) -> DataFrame:
     """Cut groups into cells of about ``2 * block`` rows at most, so that any two rows of a group meet in one.
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockhealth.llm.common import slices
+
 BITS = 16
 NGRAMS = (1, 2, 3, 4)
 DIM = 16
@@ -186,7 +188,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     rows = docs.select(*keep, docs[text_col].alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
+        for frame in slices(batches):
             found = [shared.value.predict(t) for t in frame.pop("_text")]
             for i, name in enumerate(("lang_pred", "score", "rejected")):
                 frame[name] = [f[i] for f in found]

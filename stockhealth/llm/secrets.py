@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from stockhealth.llm.common import slices
+
 # Public key formats.
 FORMATS = (
     ("aws", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
@@ -280,7 +282,7 @@ def scan(
     rows = docs.select(*keep, docs[text_col].alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
+        for frame in slices(batches):
             done = []
             for text in frame.pop("_text"):
                 found = scan_text(text, shared.value, level)

@@ -17,9 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from stockhealth.llm.common import slices
+
 SPACE = "▁"
-_WORDS_KEPT = 700_000  # encoded words a task remembers; only speed depends on it
-_PAIRS_KEPT = 1_000_000
+_WORDS_KEPT = 300_000  # encoded words a task remembers; only speed depends on it
+_PAIRS_KEPT = 400_000
 _LONGEST_KEPT = 64
 _NEVER = float("-inf")
 
@@ -218,7 +220,7 @@ def _tasks(docs: DataFrame, model: str, columns, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(*shared.value)
-        for frame in batches:
+        for frame in slices(batches):
             texts = frame.pop("_text")
             for name, values in columns(codec, ["" if t is None else t for t in texts]).items():
                 frame[name] = values
