@@ -4,13 +4,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockhealth.session import pin
 
-__all__ = ["WORD", "cells", "components", "pin", "read_table", "slices"]
+__all__ = ["WORD", "cells", "components", "pin", "read_table", "slices", "small_batches"]
 
 # Fixed value: a word is a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,15 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Data
     for frame in batches:
         for at in range(0, len(frame), rows):
             yield frame.iloc[at:at + rows].reset_index(drop=True)
+        del frame
+        pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark: SparkSession, records: int = 1000) -> None:
+    """Let the session send at most ``records`` rows to Python at once; texts may be long. A lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= records:
+        spark.conf.set(key, str(records))
 
 
 def cells(rows: DataFrame, keys: Sequence[str], block: int, spread: Column) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockhealth.llm.common import slices
+from stockhealth.llm.common import slices, small_batches
 
 BITS = 16
 NGRAMS = (1, 2, 3, 4)
@@ -182,6 +182,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     """
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stockhealth.llm.common import slices
+from stockhealth.llm.common import slices, small_batches
 
 # Public key formats.
 FORMATS = (
@@ -277,6 +277,7 @@ def scan(
     one) and ``redacted``, the text with secrets replaced, or with ``digest`` its SHA-256. Null text has no finding and stays null;
     repeated rows and null ids give a row each; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest or trained())
     schema = T.StructType([*(docs.schema[c] for c in keep), *_COLUMNS])
     rows = docs.select(*keep, docs[text_col].alias("_text"))

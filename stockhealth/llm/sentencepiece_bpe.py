@@ -17,11 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from stockhealth.llm.common import slices
+from stockhealth.llm.common import slices, small_batches
 
 SPACE = "▁"
-_WORDS_KEPT = 300_000  # encoded words a task remembers; only speed depends on it
-_PAIRS_KEPT = 400_000
+_WORDS_KEPT = 250_000  # encoded words a task remembers; only speed depends on it
+_PAIRS_KEPT = 250_000
 _LONGEST_KEPT = 64
 _NEVER = float("-inf")
 
@@ -215,6 +215,7 @@ def _tasks(docs: DataFrame, model: str, columns, schema: str) -> DataFrame:
 
     The model file is read on the driver alone; a vocabulary is bounded by its model.
     """
+    small_batches(docs.sparkSession)
     read = Codec.read(model)
     shared = docs.sparkSession.sparkContext.broadcast((model, tuple(read.vocabulary), read.bos, read.eos))
 

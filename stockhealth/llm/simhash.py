@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockhealth.llm.common import cells, components, pin
+from stockhealth.llm.common import cells, components, pin, small_batches
 
 SEED = 42
 BLOCK = 4096  # a cell has about twice as many fingerprints at most
@@ -72,6 +72,7 @@ def _lane(h: np.ndarray, lane: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
     """``_id`` and lanes ``f0``, ``f1``, … of every row."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     names = [f"f{i}" for i in range(lanes)]
 

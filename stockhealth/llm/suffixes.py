@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockhealth.llm.common import pin
+from stockhealth.llm.common import pin, small_batches
 from stockhealth.llm.simhash import chunks
 
 SIZE, GRAM = 50, 16
@@ -222,6 +222,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order goes, so they take nothing from each other; a row with a null id loses nothing and takes nothing. An empty table gives an
     empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"))
     text = rows.where(f"_id IS NOT NULL AND octet_length(_text) >= {SIZE}")
     marks = text.mapInPandas(_anchored, "anchor long, packed long, _id long")
