@@ -101,6 +101,8 @@ def recent_actions(
 ) -> DataFrame:
     """The last 24 hours before ``as_of``, newest first."""
     since = clock(as_of) - F.make_dt_interval(hours=F.lit(policy.recent_hours))
+    if "action_date" in actions.columns:  # the folder column of a stored log
+        actions = actions.where(F.col("action_date") >= F.to_date(since))
     return actions.where(F.col("action_timestamp") >= since).orderBy(*newest_actions()).select(
         "action_id", "action_timestamp", "user_id", "action_type", "location", "item", "priority",
         "days_of_cover", "suggested_reorder", "status", "action_details",

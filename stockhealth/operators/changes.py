@@ -1,10 +1,12 @@
 """Change capture and alerts in batch form."""
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Iterator
+from datetime import datetime, timedelta
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +84,27 @@ def new_alerts(
     return critical.join(recent, PAIR, "left_anti").select(
         clock(as_of).alias("alert_timestamp"), *PAIR, "days_of_cover", "closing_stock", "suggested_reorder"
     )
+
+
+def cooled_down(observed: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Observations that alert: in time order, those without an alert of their pair less than the cool-down before.
+
+    A greedy rule needs the order: pairs are dealt to tasks, sorted, and read once with the last alert in hand, so memory
+    is one batch however many rows a pair has.
+    """
+    wait = timedelta(hours=policy.cooldown_hours)
+    columns = ["action_id", "alert_timestamp", *PAIR, "days_of_cover", "suggested_reorder"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, last = None, None
+        for frame in batches:
+            picked = []
+            halves = [frame[c].where(frame[c].notna(), None) for c in PAIR]
+            for row, (key, at) in enumerate(zip(zip(*halves), frame["alert_timestamp"])):
+                if key != pair or last is None or at >= last + wait:
+                    pair, last = key, at
+                    picked.append(row)
+            yield frame.iloc[picked]
+
+    rows = observed.select(*columns).repartition(*PAIR).sortWithinPartitions(*PAIR, "alert_timestamp", "action_id")
+    return rows.mapInPandas(run, rows.schema)

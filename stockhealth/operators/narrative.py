@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from stockhealth.functions import columns as C
 from stockhealth.operators.keyed import with_position
 from stockhealth.operators.reports import risk_order
-from stockhealth.policy import DEFAULT_POLICY, Policy
 from stockhealth.schema import PAIR
 
 # Wording that must match word for word.
@@ -44,18 +43,10 @@ def risk_lines(snapshot: DataFrame, status: str) -> DataFrame:
     return with_position(chosen, line_order()).select(F.lit(status).alias("status"), "pos", _risk_line(status).alias("line"))
 
 
-def _checked(snapshot: DataFrame, line: Column, policy: Policy) -> None:
-    """Refuse a text that one value should not hold: use the line form for such a catalogue."""
-    size = snapshot.agg(F.sum(F.length(line) + 1)).first()[0] or 0
-    if size > policy.max_text_chars:
-        raise ValueError(f"the text has {size} characters, more than {policy.max_text_chars}; use its line form")
-
-
-def summary_prompt(snapshot: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """The whole prompt as one row, in one aggregate. Its size is checked before it is built."""
+def summary_prompt(snapshot: DataFrame) -> DataFrame:
+    """The whole prompt as one row, in one aggregate; ``summary_prompt_lines`` is the form for any catalogue size."""
     listed = snapshot.where(F.col("status").isin("red", "orange") & F.col("days_of_cover").isNotNull())
     line = F.when(F.col("status") == "red", _risk_line("red")).otherwise(_risk_line("orange"))
-    _checked(listed, line, policy)
     lines = listed.select("status", "days_of_cover", *PAIR, line.alias("line"))
 
     def section(status: str) -> Column:
@@ -123,14 +114,10 @@ def _item_line(prefix: str) -> Column:
     )
 
 
-def fallback_summary(at_risk: DataFrame, policy: Policy = DEFAULT_POLICY, warnings_shown: int = 3) -> DataFrame:
-    """Rule-based summary, one row: every red pair, the first three orange ones.
-
-    The red part is the feature's full list, so its size is checked before it is built.
-    """
+def fallback_summary(at_risk: DataFrame, warnings_shown: int = 3) -> DataFrame:
+    """Rule-based summary, one row: every red pair, the first three orange ones."""
     red, orange = F.col("status") == "red", F.col("status") == "orange"
     line = F.when(red, _item_line("Only ")).otherwise(_item_line(""))
-    _checked(at_risk.where(red), line, policy)
     first_orange = (
         at_risk.where(orange).orderBy(*risk_order()).limit(warnings_shown)
         .select(_item_line("").alias("line"), C.priority_rank(F.col("priority")).alias("rank"), "days_of_cover", *PAIR)
@@ -158,12 +145,11 @@ def fallback_summary(at_risk: DataFrame, policy: Policy = DEFAULT_POLICY, warnin
 
 def daily_summary(
     at_risk: DataFrame, day: date | Column | None = None, generated_at: datetime | Column | None = None,
-    policy: Policy = DEFAULT_POLICY,
 ) -> DataFrame:
     """The row to append to the summaries table for one day."""
     day = F.current_date() if day is None else day if isinstance(day, Column) else F.lit(day)
     at = F.current_timestamp() if generated_at is None else generated_at
     at = at if isinstance(at, Column) else F.lit(at)
-    return fallback_summary(at_risk, policy).select(
+    return fallback_summary(at_risk).select(
         day.cast("date").alias("summary_date"), "summary_text", at.cast("timestamp_ntz").alias("generated_at")
     )

@@ -204,19 +204,22 @@ def trend_change(daily: DataFrame) -> DataFrame:
 def trend_direction(daily: DataFrame) -> DataFrame:
     """Mean of the last three closings against the first three, for pairs with three rows or more.
 
-    Two limited passes move three rows per pair and partition each; the join reuses their partitioning.
+    Each row stands on both sides, with its place from that side, so one limited pass over one scan finds both ends.
     """
-    ties = ["closing_stock"]
-    slim = daily.select(*PAIR, "date", *ties)
-    last = top_rows(slim, PAIR, newest_first("date", ties), 3).groupBy(*PAIR).agg(
-        F.avg("closing_stock").alias("recent_avg"), F.count(F.lit(1)).alias("_n")
-    )
-    first = top_rows(slim, PAIR, oldest_first("date", ties), 3).groupBy(*[F.col(c).alias(f"_{c}") for c in PAIR]).agg(
-        F.avg("closing_stock").alias("earlier_avg")
-    )
-    same_pair = F.col("location").eqNullSafe(F.col("_location")) & F.col("item").eqNullSafe(F.col("_item"))
+    day = F.unix_date("date")
+    far = F.lit(1 << 40)
+    ends = F.array(
+        F.struct(F.lit(True).alias("recent"), F.coalesce(-day.cast("long"), far).alias("place"), (-F.col("closing_stock")).alias("tie")),
+        F.struct(F.lit(False).alias("recent"), F.coalesce(day.cast("long"), -far).alias("place"), F.col("closing_stock").alias("tie")))
+    sides = daily.select(*PAIR, "closing_stock", F.inline(ends))
+    # Nulls are oldest: last among the recent, first among the earlier.
+    order = [F.col("place").asc(), F.when(F.col("recent"), F.col("tie").isNull()).otherwise(F.col("tie").isNotNull()).asc(), F.col("tie").asc()]
+    near = top_rows(sides, [*PAIR, "recent"], order, 3)
+    pairs = near.groupBy(*PAIR).agg(
+        F.avg(F.when(F.col("recent"), F.col("closing_stock"))).alias("recent_avg"),
+        F.avg(F.when(~F.col("recent"), F.col("closing_stock"))).alias("earlier_avg"), F.count_if(F.col("recent")).alias("_n"))
     improving = F.coalesce(F.col("recent_avg") > F.col("earlier_avg"), F.lit(False))
-    return last.where("_n >= 3").join(first, same_pair).select(
+    return pairs.where("_n >= 3").select(
         *PAIR, "recent_avg", "earlier_avg", F.when(improving, "Improving").otherwise("Declining").alias("direction")
     )
 

@@ -17,7 +17,6 @@ from stockhealth.schema import PAIR
 from stockhealth.session import shared_path
 from stockhealth.sources import contracts, tables
 from stockhealth.streaming import queries as S
-from stockhealth.streaming.state import ALERT_TYPES, CHANGE_TYPES
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -320,22 +319,22 @@ def _staged(df: DataFrame, name: str, files: int = 4) -> tuple[str, str, str]:
     """Write a stream's source folder; returns source, target and checkpoint paths."""
     spark = df.sparkSession
     source = shared_path(spark, name)
-    df.repartition(files).write.parquet(source)
+    df.repartition(files).write.parquet(source)  # rows of any time in every file
     return source, shared_path(spark, f"{name}-out"), shared_path(spark, f"{name}-state")
 
 
 @query("stream_change_log")
 def _stream_change_log(spark, sf_dir):
     source, target, state = _staged(inputs.change_feed(_daily(spark, sf_dir)), "changes")
-    S.stream_change_log(spark, source, target, state).awaitTermination()
-    return S.read_epochs(spark, target, CHANGE_TYPES)
+    S.stream_change_log(spark, source, target, state, max_files=1).awaitTermination()
+    return S.current_change_log(spark, target)
 
 
 @query("stream_alerts")
 def _stream_alerts(spark, sf_dir):
     source, target, state = _staged(inputs.alert_observations(_actions(spark, sf_dir)), "observations")
-    S.stream_alerts(spark, source, target, state).awaitTermination()
-    return S.read_epochs(spark, target, ALERT_TYPES)
+    S.stream_alerts(spark, source, target, state, max_files=1).awaitTermination()
+    return S.current_alerts(spark, target)
 
 
 def _refreshed(spark: SparkSession, sf_dir: str) -> str:
@@ -352,4 +351,4 @@ query("stream_at_risk")(lambda spark, d: S.current_at_risk(spark, _refreshed(spa
 def _freshness(spark, sf_dir):
     daily = _daily(spark, sf_dir)
     newest = daily.agg(F.max(F.col("date").cast("timestamp_ntz"))).scalar()
-    return S.freshness({"stock_daily": daily, "inventory_metrics": M.metrics(daily).where("status = 'red'")}, newest)
+    return S.freshness({"stock_daily": daily, "inventory_metrics": M.metrics(daily)}, newest)

@@ -34,11 +34,11 @@ FROM led
 ACTIONS_SQL = """
 WITH kinds AS (
   SELECT p_type AS item, ROW_NUMBER() OVER (ORDER BY p_type) - 1 AS ix
-  FROM (SELECT DISTINCT p_type FROM {part} ORDER BY p_type LIMIT 6)),
+  FROM (SELECT DISTINCT p_type FROM {part})),
 e AS (
   SELECT event_id, ts, user_id, event_type, value, props,
          variant_get(parse_json(props), '$.k', 'int') AS k,
-         user_id % (SELECT COUNT(*) FROM {supplier}) AS suppkey
+         user_id % (SELECT COUNT(*) FROM {supplier}) AS suppkey, (SELECT COUNT(*) FROM kinds) AS n_kinds
   FROM {events})
 SELECT e.event_id + 1 AS action_id, CAST(e.ts AS TIMESTAMP_NTZ) AS action_timestamp,
   concat('user_', CAST(e.user_id AS STRING)) AS user_id,
@@ -48,7 +48,7 @@ SELECT e.event_id + 1 AS action_id, CAST(e.ts AS TIMESTAMP_NTZ) AS action_timest
   CASE k % 5 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' WHEN 3 THEN 'Low' ELSE 'Unknown' END AS priority,
   e.value AS days_of_cover, CAST(k AS DOUBLE) AS suggested_reorder,
   CASE k % 3 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'COMPLETED' ELSE 'CANCELLED' END AS status
-FROM e JOIN {supplier} s ON s.s_suppkey = e.suppkey JOIN kinds ON kinds.ix = k % 6
+FROM e JOIN {supplier} s ON s.s_suppkey = e.suppkey JOIN kinds ON kinds.ix = k % e.n_kinds
 """
 
 
@@ -88,12 +88,17 @@ def existing_alerts(actions: DataFrame) -> DataFrame:
 
 
 def snapshot_pair(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two versions of the ledger: suppliers 0 mod 10 are new, 1 mod 10 are gone, 2 mod 10 changed."""
+    """Two versions of the ledger: suppliers 0 mod 10 are new, 1 mod 10 are gone.
+
+    The next four kinds changed in stock alone, in usage alone, in lead time alone, and to a missing usage.
+    """
     digit = suppkey_of(F.col("location")) % 10
     old = daily.where(digit != 0)
-    new = daily.where(digit != 1).withColumn(
-        "closing_stock", F.col("closing_stock") + F.when(digit == 2, 1).otherwise(0)
-    )
+    new = daily.where(digit != 1).withColumns({
+        "closing_stock": F.col("closing_stock") + F.when(digit == 2, 1).otherwise(0),
+        "issued": F.when(digit != 5, F.col("issued") + F.when(digit == 3, 1).otherwise(0)),
+        "lead_time_days": F.col("lead_time_days") + F.when(digit == 4, 1).otherwise(0),
+    })
     return old, new
 
 

@@ -23,7 +23,7 @@ action_logs AS MATERIALIZED (
     CASE k % 5 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' WHEN 3 THEN 'Low' ELSE 'Unknown' END AS priority,
     e.value AS days_of_cover, CAST(k AS DOUBLE) AS suggested_reorder,
     CASE k % 3 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'COMPLETED' ELSE 'CANCELLED' END AS status
-  FROM ev e CROSS JOIN ns JOIN supplier s ON s.s_suppkey = e.user_id % ns.n JOIN it ON it.ix = k % 6),
+  FROM ev e CROSS JOIN ns JOIN supplier s ON s.s_suppkey = e.user_id % ns.n JOIN it ON it.ix = k % (SELECT COUNT(*) FROM it)),
 clock AS (SELECT MAX(action_timestamp) AS now FROM action_logs),
 usage AS MATERIALIZED (
   SELECT *, AVG(issued) OVER (PARTITION BY location, item ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS avg_issue,
@@ -130,7 +130,9 @@ app_summary AS (
     END AS summary_text FROM app_text),
 supp AS (SELECT *, CAST(substring(location, 10) AS BIGINT) AS suppkey FROM stock_daily),
 old_stock AS (SELECT * FROM supp WHERE suppkey % 10 <> 0),
-new_stock AS (SELECT * REPLACE (CASE WHEN suppkey % 10 = 2 THEN closing_stock + 1 ELSE closing_stock END AS closing_stock)
+new_stock AS (SELECT * REPLACE (CASE WHEN suppkey % 10 = 2 THEN closing_stock + 1 ELSE closing_stock END AS closing_stock,
+    CASE suppkey % 10 WHEN 3 THEN issued + 1 WHEN 5 THEN NULL ELSE issued END AS issued,
+    CASE WHEN suppkey % 10 = 4 THEN lead_time_days + 1 ELSE lead_time_days END AS lead_time_days)
   FROM supp WHERE suppkey % 10 <> 1),
 feed AS (
   SELECT date, location, item, suppkey, closing_stock + v AS closing_stock,
@@ -398,7 +400,8 @@ SELECT CASE WHEN o.date IS NULL THEN 'INSERT' WHEN n.date IS NULL THEN 'DELETE'
   COALESCE(o.date, n.date) AS date, COALESCE(o.location, n.location) AS location, COALESCE(o.item, n.item) AS item,
   o.closing_stock AS old_closing_stock, n.closing_stock AS new_closing_stock
 FROM old_stock o FULL JOIN new_stock n ON o.date = n.date AND o.location = n.location AND o.item = n.item
-WHERE o.date IS NULL OR n.date IS NULL OR o.closing_stock IS DISTINCT FROM n.closing_stock""")
+WHERE o.date IS NULL OR n.date IS NULL OR (o.opening_stock, o.received, o.issued, o.closing_stock, o.lead_time_days)
+  IS DISTINCT FROM (n.opening_stock, n.received, n.issued, n.closing_stock, n.lead_time_days)""")
 for _name in ("change_log", "stream_change_log"):
     _add(_name, "SELECT * FROM change_log")
 _add("new_alerts", f"""
@@ -416,4 +419,4 @@ _add("stream_at_risk", f"SELECT {_METRICS} FROM at_risk")
 _add("freshness", """
 SELECT 'stock_daily' AS table_name, COUNT(*) AS row_count, MAX(date) AS data_date, CAST(0 AS BIGINT) AS days_behind FROM stock_daily
 UNION ALL SELECT 'inventory_metrics', COUNT(*), MAX(date), date_diff('day', MAX(date), (SELECT MAX(date) FROM stock_daily))
-FROM metrics WHERE status = 'red'""")
+FROM metrics""")

@@ -17,7 +17,6 @@ class Policy:
     cooldown_hours: int = 1       # one alert per pair in this span
     recent_hours: int = 24        # "recent actions" span
     hot_rows: int = 1_000_000     # a window group above this is split
-    max_text_chars: int = 50_000_000  # largest text built into a single value
 
 
 DEFAULT_POLICY = Policy()

@@ -2,19 +2,19 @@
 
 Sources are folders of Parquet files. Every query runs with ``availableNow`` unless given a trigger,
 so an empty source starts no batch and a scheduler may call it as often as it likes. ``max_files``
-bounds a micro-batch. Where rows of a key must be put in time order it has a default, because those of
-one micro-batch are ordered in the memory of one task; size it so that a third of the micro-batch fits.
+bounds a micro-batch and changes no result.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.group import GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stockhealth.functions.columns import is_at_risk
 from stockhealth.operators.actions import clock
+from stockhealth.operators.changes import change_log, cooled_down
 from stockhealth.operators.metrics import score
 from stockhealth.policy import DEFAULT_POLICY, Policy
 from stockhealth.schema import ALERT_OBSERVATIONS, METRIC_COLUMNS, PAIR, STOCK_CHANGES, STOCK_DAILY
@@ -33,7 +34,14 @@ cloudpickle.register_pickle_by_value(state)
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-ORDERED_FILES = 64
+CHANGE_KEY = [*PAIR, "date"]
+CHANGE_TYPES = (
+    "change_timestamp timestamp_ntz, location string, item string, date date, change_type string, "
+    "old_closing_stock long, new_closing_stock long"
+)
+ALERT_TYPES = (
+    "action_id long, alert_timestamp timestamp_ntz, location string, item string, days_of_cover double, suggested_reorder double"
+)
 
 METRICS, AT_RISK = "inventory_metrics_dt", "inventory_at_risk_dt"
 
@@ -67,17 +75,14 @@ def _files(spark: SparkSession, path: str, schema: T.StructType, max_files: int
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
-def _start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None) -> StreamingQuery:
-    writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink)
+def _start(
+    df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None, mode: str = "update"
+) -> StreamingQuery:
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink)
     with _rocksdb(df.sparkSession):
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _write_epoch(table: str) -> Callable[[DataFrame, int], None]:
-    """Each epoch owns one folder and a repeated epoch overwrites it: exactly once."""
-    return lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
-
-
 def stream_metrics(
     spark: SparkSession, source: str, target: str, checkpoint: str, max_files: int | None = None,
     trigger: dict | None = None, policy: Policy = DEFAULT_POLICY,
@@ -143,48 +148,65 @@ def change_stream(spark: SparkSession, source: str, max_files: int | None = None
     return _files(spark, source, STOCK_CHANGES, max_files)
 
 
-def stream_change_log(
-    spark: SparkSession, source: str, target: str, checkpoint: str, max_files: int | None = ORDERED_FILES,
-    trigger: dict | None = None, ttl_ms: int | None = None,
-) -> StreamingQuery:
-    """Log inserts and updates with the previous closing stock, remembered across micro-batches.
+def _rebuilding(
+    target: str, keys: list[str], compute: Callable[[DataFrame], DataFrame]
+) -> Callable[[DataFrame, int], None]:
+    """A sink whose result does not depend on how rows fall into micro-batches, late ones included.
 
-    A one-batch LAG would lose the link to earlier batches; the state keeps it. ``ttl_ms`` lets idle
-    keys expire; by default nothing does.
+    An epoch adds its rows to ``target/rows`` and computes the groups it touched anew from all their rows, in batch
+    form, so an older row that comes late corrects what follows it. A repeated epoch overwrites its own folders.
+    ``current_log`` reads the newest version of each group.
     """
-    kept = change_stream(spark, source, max_files).where(F.col("change_type").isin("INSERT", "UPDATE"))
-    logged = _bucketed(kept, checkpoint, [*PAIR, "date"]).transformWithStateInPandas(
-        state.PreviousVersion(ttl_ms), state.CHANGE_TYPES, "Update", "ProcessingTime" if ttl_ms else "None"
-    )
-    return _start(logged, _write_epoch(target), checkpoint, trigger)
 
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{target}/rows/epoch={epoch}")
+        rows = spark.read.schema(batch.schema).parquet(f"{target}/rows/epoch={epoch}")
+        touched = rows.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        seen = spark.read.parquet(f"{target}/rows").where(F.col("epoch") <= epoch).select(*batch.columns)
+        compute(seen.join(touched, _same(keys), "left_semi")).write.mode("overwrite").parquet(f"{target}/log/epoch={epoch}")
+
+    return sink
 
-def stream_alerts(
-    spark: SparkSession, source: str, target: str, checkpoint: str, max_files: int | None = ORDERED_FILES,
-    trigger: dict | None = None, watermark: str | None = None, policy: Policy = DEFAULT_POLICY,
-) -> StreamingQuery:
-    """One alert per pair and hour over a stream of critical observations.
 
-    Within a micro-batch observations are taken in time order. ``watermark`` drops observations that
-    come later than that; by default none are dropped.
-    """
-    seen = _files(spark, source, ALERT_OBSERVATIONS, max_files)
-    if watermark:
-        at = F.col("alert_timestamp").cast("timestamp")
-        seen = seen.withColumn("_at", at).withWatermark("_at", watermark)
-        seen = seen.select(*ALERT_OBSERVATIONS.fieldNames(), "_at")
-    alerts = _bucketed(seen, checkpoint, PAIR).transformWithStateInPandas(
-        state.AlertCooldown(policy.cooldown_hours), state.ALERT_TYPES, "Update", "EventTime" if watermark else "None"
-    )
-    return _start(alerts, _write_epoch(target), checkpoint, trigger)
+def _same(keys: list[str]) -> Column:
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
 
 
-def read_epochs(spark: SparkSession, table: str, columns: str) -> DataFrame:
-    """All epochs of a log table; empty when no batch has run yet."""
+def current_log(spark: SparkSession, target: str, keys: list[str], columns: str) -> DataFrame:
+    """The newest version of every group of a log kept by ``stream_change_log`` or ``stream_alerts``; empty before the first batch."""
     try:
-        return spark.read.parquet(table).drop("epoch")
+        log = spark.read.parquet(f"{target}/log")
     except AnalysisException:
         return spark.createDataFrame([], columns)
+    newest = log.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("epoch").alias("_epoch"))
+    return log.join(newest, _same(keys) & (F.col("epoch") == F.col("_epoch"))).select(*[c for c in log.columns if c != "epoch"])
+
+
+def stream_change_log(
+    spark: SparkSession, source: str, target: str, checkpoint: str, max_files: int | None = None,
+    trigger: dict | None = None, policy: Policy = DEFAULT_POLICY,
+) -> StreamingQuery:
+    """Log inserts and updates with the previous closing stock by time, whatever the order of arrival."""
+    kept = change_stream(spark, source, max_files).where(F.col("change_type").isin("INSERT", "UPDATE"))
+    return _start(kept, _rebuilding(target, CHANGE_KEY, partial(change_log, policy=policy)), checkpoint, trigger, mode="append")
+
+
+def current_change_log(spark: SparkSession, target: str) -> DataFrame:
+    return current_log(spark, target, CHANGE_KEY, CHANGE_TYPES)
+
+
+def stream_alerts(
+    spark: SparkSession, source: str, target: str, checkpoint: str, max_files: int | None = None,
+    trigger: dict | None = None, policy: Policy = DEFAULT_POLICY,
+) -> StreamingQuery:
+    """One alert per pair and hour over a stream of critical observations, in the order of their time."""
+    seen = _files(spark, source, ALERT_OBSERVATIONS, max_files)
+    return _start(seen, _rebuilding(target, PAIR, partial(cooled_down, policy=policy)), checkpoint, trigger, mode="append")
+
+
+def current_alerts(spark: SparkSession, target: str) -> DataFrame:
+    return current_log(spark, target, PAIR, ALERT_TYPES)
 
 
 _PROGRESS = "run_id string, batch_id long, started_at string, input_rows long, duration_ms long, state_rows long"

@@ -2,21 +2,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 from typing import Any
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PAIR_TYPES = "location string, item string"
-VERSION_KEY = f"{PAIR_TYPES}, date date"
 USAGE_ROWS = "dates array<date>, closing array<long>, issued array<long>, lead array<long>"
 LATEST_TYPES = f"{PAIR_TYPES}, date date, closing_stock long, lead_time_days long, avg_daily_issue double"
-CHANGE_TYPES = (
-    f"change_timestamp timestamp_ntz, {PAIR_TYPES}, date date, change_type string, "
-    "old_closing_stock long, new_closing_stock long"
-)
-ALERT_TYPES = f"action_id long, alert_timestamp timestamp_ntz, {PAIR_TYPES}, days_of_cover double, suggested_reorder double"
 
 _PAIR = ["location", "item"]
 _COUNTS = ["closing_stock", "issued", "lead_time_days"]
@@ -81,70 +74,3 @@ class LatestUsage(StatefulProcessor):
 
     def close(self) -> None:
         pass
-
-
-class PreviousVersion(StatefulProcessor):
-    """Keeps the last closing stock per (location, item, date) of a bucket; emits old and new per change."""
-
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", VERSION_KEY, "closing_stock long", self.ttl_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        keys = [*_PAIR, "date"]
-        frame = pd.concat(list(rows)).sort_values(["change_timestamp", "change_type", "closing_stock"])
-        frame = frame.reset_index(drop=True).astype({"closing_stock": "Int64"})
-        frame["old_closing_stock"] = frame.groupby(keys, dropna=False, sort=False)["closing_stock"].shift(1)
-        first = frame[~frame.duplicated(keys)]
-        for at, version in zip(first.index, first[keys].itertuples(index=False, name=None)):
-            before = self.last.getValue(tuple(_none(v) for v in version))
-            if before is not None:
-                frame.at[at, "old_closing_stock"] = before[0]
-        newest = frame[~frame.duplicated(keys, keep="last")]
-        for *version, closing in newest[[*keys, "closing_stock"]].itertuples(index=False, name=None):
-            self.last.updateValue(tuple(_none(v) for v in version), (_none(closing),))
-        yield frame.rename(columns={"closing_stock": "new_closing_stock"})[
-            ["change_timestamp", *_PAIR, "date", "change_type", "old_closing_stock", "new_closing_stock"]
-        ]
-
-    def close(self) -> None:
-        pass
-
-
-class AlertCooldown(StatefulProcessor):
-    """Emits an observation unless one of its pair was emitted less than the cool-down before it."""
-
-    def __init__(self, cooldown_hours: int):
-        self.cooldown = timedelta(hours=cooldown_hours)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last_alert", PAIR_TYPES, "alert_timestamp timestamp_ntz")
-
-    def _emitted(self, times: pd.Series, last: pd.Timestamp | None) -> list[int]:
-        """Jump from each emission to the first observation a cool-down later; ``times`` ascend."""
-        picked = []
-        at = 0 if last is None else int(times.searchsorted(last + self.cooldown, side="left"))
-        while at < len(times):
-            picked.append(at)
-            at = max(at + 1, int(times.searchsorted(times.iloc[at] + self.cooldown, side="left")))
-        return picked
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["alert_timestamp", "action_id"]).reset_index(drop=True)
-        alerts = []
-        for pair, at in frame.groupby(_PAIR, dropna=False, sort=False).indices.items():
-            pair = tuple(_none(v) for v in pair)
-            times = frame["alert_timestamp"].iloc[at]
-            before = self.last.getValue(pair)
-            picked = self._emitted(times, None if before is None else pd.Timestamp(before[0]))
-            if picked:
-                self.last.updateValue(pair, (times.iloc[picked[-1]].to_pydatetime(),))
-                alerts.extend(at[picked])
-        yield frame.iloc[sorted(alerts)][
-            ["action_id", "alert_timestamp", *_PAIR, "days_of_cover", "suggested_reorder"]
-        ]
-
-    def close(self) -> None:
-        pass

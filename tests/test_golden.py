@@ -100,10 +100,3 @@ def test_empty_texts(seed):
     assert "Critical items (red status):\nNone\n\nWarning items (orange status):\nNone" in N.summary_prompt(empty).first().prompt
     assert N.summary_prompt_lines(empty).where("line = 'None'").count() == 2
     assert tuple(R.kpis(empty).first()) == (0, 0, 0, 0, 0.0)
-
-
-def test_text_size_is_checked(seed):
-    from stockhealth.policy import Policy
-
-    with pytest.raises(ValueError, match="line form"):
-        N.summary_prompt(M.metrics(seed), Policy(max_text_chars=10))
