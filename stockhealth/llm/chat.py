@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 _HEAD, _COLON, _END = "### ", ": ", "</turn>\n"
 _TEXT = {"\\": "\\\\", "#": "\\h", "<": "\\l"}
-_ROLE = _TEXT | {":": "\\c", "\n": "\\n", "^": "\\u"}
-_BACK = {"\\": "\\", "h": "#", "l": "<", "c": ":", "n": "\n", "u": "^"}
+_ROLE = _TEXT | {":": "\\c", "\n": "\\n"}
+_BACK = {"\\": "\\", "h": "#", "l": "<", "c": ":", "n": "\n"}
 _TURN = re.compile(r"### ([^:]*): ([^<]*)</turn>\n")
 LOSS_ROLE = "assistant"
 
@@ -37,10 +37,9 @@ def unescape(text: str) -> str:
 def render(role: str, text: str) -> tuple[str, int, int]:
     """The turn in the template and the code points at which its escaped text starts and ends.
 
-    A role in lower case starts with a capital; any other has ``^`` in front and stays as it is.
+    A role of the letters a to z starts with a capital; any other has ``^`` in front and is escaped.
     """
-    shown = role[:1].upper() + role[1:] if role and role == role.lower() and role.capitalize().lower() == role else "^" + role
-    shown = shown[:1] + _write(shown[1:], _ROLE) if shown[0] not in _ROLE or shown[0] == "^" else "^" + _write(role, _ROLE)
+    shown = role.capitalize() if re.fullmatch("[a-z]+", role) else "^" + _write(role, _ROLE)
     body = _write(text, _TEXT)
     start = len(_HEAD) + len(shown) + len(_COLON)
     return f"{_HEAD}{shown}{_COLON}{body}{_END}", start, start + len(body)
@@ -54,7 +53,7 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
         if not turn:
             raise ValueError(f"no turn at character {at}")
         shown = turn[1]
-        role = unescape(shown[1:]) if shown[:1] == "^" else shown[:1].lower() + unescape(shown[1:])
+        role = unescape(shown[1:]) if shown[:1] == "^" else shown.lower()
         yield role, unescape(turn[2])
         at = turn.end()
 

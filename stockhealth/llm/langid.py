@@ -110,6 +110,8 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate:
     embedding = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM))
     weight, bias = rng.normal(0, 0.1, (k, DIM)), np.zeros(k)
     rows = [(place[y], at, c / c.sum()) for y, at, c in sample if len(at)]
+    if not rows:
+        return Model([], np.zeros((size, 1), np.float32), np.zeros(0), 1.0, 0.0, 0.0)
     held, train = rows[::5], [r for i, r in enumerate(rows) if i % 5] or rows
     seen = np.zeros(size, np.float32)
     for _, at, _ in train:

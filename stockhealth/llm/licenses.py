@@ -26,17 +26,18 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-# Words of customary license notices, with the labels the join adds.
+# Words of customary license notices, with the labels the join adds. Names that differ by a word are short, so that all of
+# their words are needed.
 NOTICES = (
     ("this work is licensed under the gnu general public license version", "gpl"),
-    ("this work is licensed under the gnu lesser general public license version", "lgpl"),
+    ("lesser general public license", "lgpl"),
     ("licensed under the apache license version 2 0", "apache"),
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("subject to the terms of the mozilla public license v 2 0", "mpl"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
+    ("mozilla public license", "mpl"),
+    ("cc by nc", "cc-by-nc"),
+    ("cc by sa", "cc-by-sa"),
 )
 THRESHOLD = 0.8
 BLOCK = 32

@@ -69,12 +69,16 @@ def _count(cosine: float, groups: list[str]):
             weight = frame["_copies"].to_numpy(np.int64)
             block = frame["_b"].to_numpy()
             signature = np.frombuffer(b"".join(frame["_signature"]), "<u4").reshape(len(frame), -1)
-            vectors = unit(np.stack(frame["_vector"].to_list()).astype(float))
+            place, by_length = np.zeros(len(frame), np.int64), {}
+            for at, matrix in _stacked(frame["_vector"]):
+                place[at] = np.arange(len(at))
+                by_length[matrix.shape[1]] = unit(matrix)
             for lo, hi in zip(starts, np.append(starts[1:], len(frame))):
                 table, x, y = int(frame["_table"].iat[lo]), *(int(frame[c].iat[lo]) for c in ("_x", "_y"))
                 own = np.arange(lo, hi)
                 left, right = (own, own) if x == y else (own[block[own] == x], own[block[own] == y])
-                near = vectors[left] @ vectors[right].T >= cosine - 1e-9
+                vectors = by_length[int(frame["_length"].iat[lo])]
+                near = vectors[place[left]] @ vectors[place[right]].T >= cosine - 1e-9
                 if x == y:
                     near = np.triu(near, 1)
                 a, b = np.nonzero(near)
@@ -85,7 +89,7 @@ def _count(cosine: float, groups: list[str]):
                 exact = np.zeros(len(a))
                 for part in range(0, len(a), 1 << 16):
                     s = slice(part, part + (1 << 16))
-                    exact[s] = np.einsum("ij,ij->i", vectors[a[s]], vectors[b[s]])
+                    exact[s] = np.einsum("ij,ij->i", vectors[place[a[s]]], vectors[place[b[s]]])
                 a, b = a[exact >= cosine], b[exact >= cosine]
                 np.add.at(linked, a, weight[b])
                 np.add.at(linked, b, weight[a])

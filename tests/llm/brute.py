@@ -75,7 +75,7 @@ def op8(rows, cosine=0.93):
     pairs = []
     for j, (b, y, m) in enumerate(fit):
         for a, x, lab in fit[:j]:
-            if lab == m and x @ y / math.sqrt((x @ x) * (y @ y)) >= cosine:
+            if lab == m and len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= cosine:
                 pairs.append((a, b))
     root = roots([r[0] for r in rows], pairs)
     n = {r[0]: 0 for r in rows}

@@ -1,0 +1,232 @@
+"""Operators against brute force on small tables with nulls, empty and long texts, ties, copies and clashing columns."""
+import hashlib
+import random
+
+import brute
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from stockhealth.llm import chat, crosspolytope, langid, licenses, mixing, pstable, secrets, sentencepiece_bpe, simhash, suffixes
+from stockhealth.llm.common import components
+from stockhealth.llm.oracle import ORACLES
+from stockhealth.llm.queries import QUERIES, model_path
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, component_id string, score string, f0 string"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(["an", "ber", "cos", "de", "é", "fu"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    base = [prose(rng, rng.randint(5, 120)) for _ in range(30)]
+    passage = prose(rng, 60)
+    near = [base[0].replace(base[0].split()[k], "zz", 1) for k in range(12)]
+    return [*base, *near, base[1], base[1], passage, f"{prose(rng, 30)} {passage}", f"{passage[:70]} x", f"x{passage[5:]}", "", "   ", None, None,
+            "a", "a b", "A B", "é", prose(rng, 30_000), "aaaa" * 60, "aaaa" * 50, "word " * 200, "Licensed under CC BY-NC 4.0. MIT License, mit license"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    langs, sources = ["en", "de", None], ["s1", "s2", None, "a", "z"]
+    rows = [(i, t, langs[i % 3], sources[i % 5], 0, 1, "x", "y", "z") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def result(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(150)] + [(7, 7)] + [(500, 500 + i) for i in range(40)]
+    want = brute.roots({x for p in pairs for x in p}, pairs)
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert all(got.get(i, i) == r for i, r in want.items())
+
+
+def test_simhash(docs, texts, empty, spark):
+    found = simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")), "component_id")
+    assert result(found) == sorted(brute.op1(list(enumerate(texts))), key=repr)
+    assert simhash.near_duplicates(empty).count() == 0
+    nulls = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (None, "x")], "doc_id long, text string")
+    assert sorted(map(str, (r.component_id for r in simhash.near_duplicates(nulls).collect()))) == ["5", "5", "5", "None"]
+
+
+def test_simhash_search_finds_every_close_pair():
+    rng = np.random.default_rng(4)
+    prints = np.unique(np.concatenate([rng.integers(0, 2**64, 50, np.uint64), *[np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 64, 200, np.uint64))]]))
+    forest = simhash.Forest(prints[:, None], np.zeros(len(prints), int))
+    got = {(int(a), int(b)) for q, n in forest.close(np.arange(len(prints)), 2) for a, b in zip(q, n)}
+    assert got == {(a, b) for a in range(len(prints)) for b in range(len(prints)) if (int(prints[a]) ^ int(prints[b])).bit_count() <= 2}
+    masks = [m for m, in simhash.exact_keys(2)]
+    for _ in range(300):
+        x, bits = int(rng.integers(0, 2**63)), rng.choice(64, 2, replace=False)
+        assert any(x & m == (x ^ (1 << int(bits[0])) ^ (1 << int(bits[1]))) & m for m in masks)
+
+
+def test_suffix_array():
+    rng = random.Random(2)
+    for _ in range(500):
+        t = bytes(rng.choice(b"ab\0c") for _ in range(rng.randint(0, 40)))
+        assert suffixes.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+def test_repeats(docs, texts, empty, spark, monkeypatch):
+    want = sorted(brute.op2(list(enumerate(texts))), key=repr)
+    assert result(suffixes.remove_repeats(docs)) == want
+    monkeypatch.setattr(suffixes, "GROUP", 1)  # every group is split
+    assert result(suffixes.remove_repeats(docs)) == want
+    assert suffixes.remove_repeats(empty).count() == 0
+    twice = spark.createDataFrame([(1, "q" * 80), (1, "q" * 80), (None, "q" * 80), (2, "q" * 80)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in suffixes.remove_repeats(twice).collect()) == [0, 0, 0, 80]
+
+
+def test_chat_round_trip():
+    rng = random.Random(5)
+    for _ in range(2000):
+        turns = [("".join(rng.choice(["user", "A", "^", ":", "\n", "#", "\\", "<", "é", " "]) for _ in range(rng.randint(0, 4))),
+                  "".join(rng.choice(["### ", "</turn>", "\\", "\n", "h", "l", "<", "User: "]) for _ in range(rng.randint(0, 6)))) for _ in range(3)]
+        assert list(chat.parse("".join(chat.render(r, t)[0] for r, t in turns))) == turns
+
+
+def test_chat_fold(spark):
+    log = [(1, 0, 0, "delta", "user", "he"), (1, 0, 1, "delta", None, "llo"), (1, 1, 5, "regenerate", None, None), (1, 1, 4, "delta", "assistant", "bad"),
+           (1, 1, 6, "delta", None, "go"), (1, 1, 7, "delta", None, None), (1, 1, 8, "edit", None, "good"), (None, None, 0, "delta", None, None), (1, 1, 9, "other", None, "?")]
+    events = spark.createDataFrame(log, "conv_id long, turn int, seq long, kind string, role string, text string").withColumn("loss_end", F.lit("x"))
+    turns = chat.format_log(events)
+    assert result(turns.select("conv_id", "turn", "formatted")) == [(1, 0, "### User: hello</turn>\n"), (1, 1, "### Assistant: good</turn>\n"), (None, None, "### ^: </turn>\n")]
+    said = {r.conv_id: r for r in chat.read_back(turns).collect()}
+    assert said[1].loss_sha256 == hashlib.sha256(b"good").hexdigest() and said[1].turns_sha256 == hashlib.sha256(b"user\nhello\nassistant\ngood\n").hexdigest()
+    assert said[None].n_turns == 1 and chat.read_back(chat.format_log(events.where("false"))).count() == 0
+
+
+def test_sentencepiece(docs, texts, empty):
+    library = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    codec = sentencepiece_bpe.Codec.read(model_path())
+    rng = random.Random(6)
+    odd = ["a  b", " " * 40, "▁▁x", "\r\n\t);\r", "🙂é́", "\x00", *("".join(rng.choice(["ab e", "▁", " ", "\n", "th", "ing", "é", "12"]) for _ in range(rng.randint(0, 50))) for _ in range(2000))]
+    for t in odd:
+        ids = library.encode(t, add_bos=True, add_eos=True)
+        assert np.frombuffer(codec.encode(t), "<u4").tolist() == ids and codec.decode(codec.encode(t)) == library.decode(ids)
+    got = {r.doc_id: r for r in sentencepiece_bpe.tokens(docs, model_path()).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_bos=True, add_eos=True)
+        assert got[i].ids == ids and got[i].decoded == library.decode(ids)
+    assert sentencepiece_bpe.digests(empty, model_path()).count() == 0
+
+
+def test_secrets(docs, empty):
+    forest = secrets.trained()
+    rows = secrets.labelled_findings(1500, seed=77)
+    x = np.array([secrets.features(t, a, b, k, frozenset()) for t, a, b, k, _ in rows], float)
+    truth = np.array([r[4] for r in rows])
+    assert ((forest.score(x) >= secrets.LEVEL) == truth).mean() > 0.97
+    text = 'so token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" end'
+    found = [f for f in secrets.scan_text(text, forest) if f[3] >= secrets.LEVEL]
+    assert secrets.redact(text, found) == 'so token = "[TOKEN REMOVED]" end'
+    assert result(secrets.scan(docs).select("n_secrets").distinct()) == [(0,)]
+    assert secrets.scan(docs).where("text IS NULL AND redacted IS NOT NULL" if "text" in secrets.scan(docs).columns else "redacted IS NULL").count() == 2
+    assert secrets.scan(empty).count() == 0
+
+
+def test_langid(spark, docs, empty):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(table.where("doc_id % 2 = 0"))
+    found = langid.predict(table.where("doc_id % 2 = 1"), model, keep=("lang",))
+    assert found.where("lang = lang_pred").count() > 0.9 * found.count()
+    odd = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    assert len(odd) == docs.count() and sum(r.lang_pred == "und" for r in odd.values()) == 4 and all(0 <= r.score <= 1 for r in odd.values())
+    assert langid.predict(empty, langid.train(empty)).count() == 0
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, n_links string"
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(160, 16))
+    near = base[0] + 0.1 * rng.normal(size=(40, 16))
+    rows = [(i, v.tolist(), i % 2, "x") for i, v in enumerate([*base, *near, base[3] * 5, base[3], base[3]])]
+    odd = [None, [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] * 16, [1.0, 2.0], []]
+    rows += [(300 + i, v, 0, "x") for i, v in enumerate(odd)] + [(400, base[5].tolist(), None, "x")]
+    return rows
+
+
+def test_neighbours(spark, vectors):
+    table = spark.createDataFrame(vectors, VECTORS)
+    got = {}
+    for r in crosspolytope.search(table, F.col("vec_id") % 20 == 0, 10).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute.op7([(r[0], np.float32(r[1]).tolist() if r[1] and None not in r[1] else r[1]) for r in vectors if r[1] is None or len(r[1]) == 16], 10)
+    hits = sum(len({v for v, _ in w} & {v for v, _ in got[q]}) for q, w in want.items())
+    assert set(got) == set(want) and hits >= 0.9 * sum(map(len, want.values()))
+    assert all(dict(want[q]).get(v, s) == pytest.approx(s, abs=1e-12) for q, g in got.items() for v, s in g)
+    assert crosspolytope.search(table.where("false"), F.lit(True)).count() == 0
+
+
+def test_embedding_duplicates(spark, vectors, monkeypatch):
+    table = spark.createDataFrame(vectors, VECTORS)
+    want = brute.op8([(r[0], np.float32(r[1]).tolist() if r[1] and None not in r[1] else r[1], r[2]) for r in vectors])
+    assert result(pstable.near_duplicates(table)) == sorted(want, key=repr)
+    monkeypatch.setattr(pstable, "BLOCK", 8)  # buckets are cut into cells
+    assert result(pstable.near_duplicates(table)) == sorted(want, key=repr)
+    assert pstable.near_duplicates(table.where("false")).count() == 0
+
+
+def test_mixing(docs, empty, spark):
+    taken = mixing.mix(docs)
+    per = mixing.mix(docs, keep=["source"]).groupBy("source", "target").agg(F.sum("taken").alias("t")).collect()
+    assert [(r.t, r.target) for r in per if not -1e-6 <= r.target - r.t < 1] == []
+    assert taken.where("taken > 2 * size").count() == 0 and taken.count() == docs.count()
+    assert sum(r.target for r in per) == pytest.approx(1.5 * taken.agg(F.sum("size")).first()[0])
+    assert result(mixing.mix(docs.repartition(7))) == result(taken) and mixing.mix(empty).count() == 0
+    kept = mixing.copies(mixing.mix(docs.select("doc_id", "text", "source"), keep=["doc_id", "text"]), ["doc_id", "text"])
+    words = kept.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
+    assert words == taken.agg(F.sum("taken")).first()[0]
+
+
+def test_licenses(docs, empty):
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    last = got[max(got)]
+    assert (last.n_base, last.first_word, last.last_word, last.base_labels, last.labels) == (3, 2, 9, "cc-by,mit", "cc-by,cc-by-nc,mit")
+    assert last.score == 1.0 and all(r.n_base == 0 and r.first_word is None for i, r in got.items() if i != max(got))
+    assert licenses.scan(empty).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    from oracle_check import connect, differences
+
+    assert differences(QUERIES[name](spark, SF), connect(SF), ORACLES[name]) == []
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, SF)
+    assert kept.columns == docs.columns
+    shingles = {r.doc_id: set(zip(*[(r.text.split())[i:] for i in range(5)])) or {r.text} for r in docs.collect()}
+    ids = sorted(r.doc_id for r in kept.collect())
+    alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    gone = set(shingles) - set(ids)
+    assert all(max(alike(d, k) for k in shingles if k != d) > 0.4 for d in gone)  # clean documents stay
+    assert sum(alike(a, b) >= 0.9 for i, a in enumerate(ids) for b in ids[:i]) == 0
+    done = corpus_pipeline.run(spark, SF)
+    assert done.where("NOT lossless OR n_tokens < 2").count() == 0 and done.count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs.where("false") if "text" in docs.columns else docs, SF)
+    assert docs.count() == 0
