@@ -43,7 +43,8 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     share: float = 1.5, weights: Sequence[int] = (5, 2, 1), cap: int = 2, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The words each document gives to the mix: id, ``size``, ``source_size``, ``target``, ``taken``, and ``keep``.
+    """The words each document gives to the mix: id, ``size``, ``source_size``, ``target``, ``taken``, and ``keep``
+    (the id stands once).
 
     A source's budget is its target without the fraction. It takes ``budget / source_size`` whole epochs, and of
     the last one the documents in key order until the budget is reached; the document at the cut gives the words
@@ -72,7 +73,7 @@ def mix(
     room = F.col("_rest") - F.col("_offset") - F.col("_before")
     taken = F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), room))
     out = [F.col("_id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken")]
-    return placed.select(*out, *([F.col(f"_keep.{c}").alias(c) for c in keep]))
+    return placed.select(*out, *([F.col(f"_keep.{c}").alias(c) for c in keep if c != id_col]))
 
 
 def copies(mixed: DataFrame, columns: Sequence[str], text_col: str = "text") -> DataFrame:
