@@ -3,8 +3,9 @@
 A byte goes if it lies in a string of ``SIZE`` bytes that also starts in a document with a smaller id. The place of
 the smallest hash among the ``GRAM``-byte strings of a window is its anchor; it depends on the window's bytes
 alone, so equal windows have equal anchors at equal places. Windows with the same anchor are a piece of text.
-Anchors are counted over all documents; only pieces whose anchor is in two documents or more go on, equal pieces
-collapse to one with the smallest id, and the different pieces of an anchor are sorted together in one suffix array.
+Marks of all pieces (anchor and digest of the bytes, no text) meet by anchor once. A piece that a smaller document has
+too goes as a whole, within a batch before the marks move, so an anchor of very many copies is no large key. What is left
+of an anchor are different pieces; only for these text is fetched, one for each, and they are sorted together in one suffix array.
 Neighbouring suffixes that agree in ``SIZE`` bytes are the equal windows, and the smallest id among them decides.
 
 The suffix array comes from a linear grouping: suffixes are grouped by their Lyndon prefix, found from right to left
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockhealth.llm.common import pin, small_batches
@@ -31,6 +32,8 @@ SIZE, GRAM = 50, 16
 GROUP = 2000  # pieces of an anchor that go into one suffix array
 _PART = 1 << 20  # bytes hashed at a time
 _LOW = np.uint64(0xFFFFFF)
+_TAGS = 1 << 15  # texts under one id are told apart by a tag
+_START = (1 << 32) - 1
 
 
 def suffix_array(text: bytes) -> list[int]:
@@ -132,33 +135,55 @@ def smallest(pieces: list[bytes], ids: list[int], size: int = SIZE) -> list[list
     return out
 
 
-def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pieces of every text. ``packed`` is tag << 48 | start << 16 | windows << 8 | place of the anchor.
+
+    ``packed`` is inverted if a smaller document of the batch has the same piece; nothing more is to be found out then, and
+    the anchor is replaced by a number that spreads.
+    """
+    digest = xxhash.xxh3_64_intdigest
     for frame in batches:
         for at in range(0, len(frame), 500):
             part = frame.iloc[at:at + 500]
-            found = [anchors(t.encode()) for t in part["_text"]]
-            yield pd.DataFrame({"anchor": np.concatenate([h for h, _ in found]), "packed": np.concatenate([p for _, p in found]),
-                                "_id": np.repeat(part["_id"].to_numpy(np.int64), [len(h) for h, _ in found])})
+            anchor, content, ids, packed = [], [], [], []
+            for i, tag, text in zip(part["_id"].tolist(), part["_tag"].tolist(), part["_text"]):
+                text = text.encode()
+                hashes, places = anchors(text)
+                starts = places >> 16
+                ends = starts + (places >> 8 & 255) + SIZE - 1
+                content.append(np.fromiter(map(digest, map(text.__getitem__, map(slice, starts.tolist(), ends.tolist()))), np.uint64, len(starts)))
+                anchor.append(hashes)
+                ids.append(np.full(len(starts), i, np.int64))
+                packed.append(places | tag << 48)
+            anchor, content, ids, packed = (np.concatenate(x) for x in (anchor, content, ids, packed))
+            content = content.view(np.int64)
+            order = np.lexsort((ids, content))
+            first = np.concatenate(([True], content[order][1:] != content[order][:-1])) if len(order) else np.empty(0, bool)
+            later = np.empty(len(order), bool)
+            later[order] = ids[order] > ids[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+            spread = (ids ^ packed << 20 ^ packed >> 12) * -0x61C8864680B583EB
+            yield pd.DataFrame({"_id": ids, "packed": np.where(later, ~packed, packed), "anchor": np.where(later, spread, anchor), "content": content})
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     for frame in batches:
-        yield pd.DataFrame({"_id": frame["_id"], "_pressed": [press.compress((t or "").encode()) for t in frame["_text"]]})
+        yield pd.DataFrame({"_id": frame["_id"], "_tag": frame["_tag"], "_pressed": [press.compress((t or "").encode()) for t in frame["_text"]]})
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pieces of a document whose anchors are in other documents as well."""
+    """The text of the pieces asked for; one whose anchor has very many goes to the bytes beside the anchor."""
     press = zstandard.ZstdDecompressor()
     for frame in batches:
         rows = []
-        for i, pressed, found in zip(frame["_id"], frame["_pressed"], frame["_anchors"]):
+        for i, pressed, found in zip(frame["_id"], frame["_pressed"], frame["_found"]):
             text = press.decompress(pressed)
             for one in found:
-                start, windows, place = one["packed"] >> 16, one["packed"] >> 8 & 255, one["packed"] & 255
+                start, windows, place = one["packed"] >> 16 & _START, one["packed"] >> 8 & 255, one["packed"] & 255
                 piece = text[start:start + windows + SIZE - 1]
-                rows.append((one["anchor"], xxhash.xxh3_64_intdigest(piece) - 2**63, i, start, place, piece))
-        yield pd.DataFrame(rows, columns=["anchor", "content", "_id", "start", "place", "piece"])
+                parts = [xxhash.xxh3_64_intdigest(x) - 2**63 for x in _beside(piece, place)] if one["many"] else [0]
+                rows.extend((one["anchor"], part, one["content"], i, place, piece) for part in parts)
+        yield pd.DataFrame(rows, columns=["anchor", "_part", "content", "_low", "place", "piece"])
 
 
 def _beside(piece: bytes, place: int) -> Iterator[bytes]:
@@ -173,14 +198,8 @@ def _beside(piece: bytes, place: int) -> Iterator[bytes]:
         yield b"<" + piece[place - reach:place + GRAM]
 
 
-def _sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        rows = [(*row[:-1], xxhash.xxh3_64_intdigest(part) - 2**63) for row in frame.itertuples(index=False) for part in _beside(row.piece, row.place)]
-        yield pd.DataFrame(rows, columns=[*frame.columns[:-1], "_part"])
-
-
 def _decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces that share a window with a piece of a smaller id, and the smallest id of each of their windows."""
+    """Byte runs of the pieces whose windows are also in a piece of a smaller id."""
     for frame in chunks(batches, ["anchor", "_part"], 20_000):
         anchor, part = frame["anchor"].to_numpy(), frame["_part"].to_numpy()
         starts = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
@@ -192,9 +211,10 @@ def _decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             able = [k for k, xs in zip(range(lo, hi), sides) if any(met[x] > 1 for x in xs)]
             if len(able) > 1:
                 for k, low in zip(able, smallest([pieces[k] for k in able], [ids[k] for k in able])):
-                    if any(x < ids[k] for x in low):
-                        rows.append((anchor[k], content[k], low))
-        yield pd.DataFrame(rows, columns=["anchor", "content", "lows"])
+                    gone = np.concatenate(([0], np.array(low) < ids[k], [0])).astype(np.int8)
+                    edge = np.diff(gone)
+                    rows.extend((anchor[k], content[k], x, y + SIZE - 1) for x, y in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)))
+        yield pd.DataFrame(rows, columns=["anchor", "content", "a", "b"])
 
 
 def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,8 +225,8 @@ def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = press.decompress(pressed)
             edge = np.zeros(len(text) + 1, np.int64)
             for s in spans if spans is not None else ():
-                edge[s["a"]] += 1
-                edge[s["b"]] -= 1
+                edge[min(s["a"], len(text))] += 1
+                edge[min(s["b"], len(text))] -= 1
             gone = np.cumsum(edge)[:-1] > 0
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
@@ -223,39 +243,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"))
+    tag = F.pmod(F.xxhash64(docs[text_col]), F.lit(_TAGS))
+    rows = docs.select(docs[id_col].cast("long").alias("_id"), tag.alias("_tag"), docs[text_col].alias("_text"))
     text = rows.where(f"_id IS NOT NULL AND octet_length(_text) >= {SIZE}")
-    marks = text.mapInPandas(_anchored, "anchor long, packed long, _id long")
-    shared = marks.groupBy("anchor").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low < _high")
-    shared = marks.join(shared.select("anchor"), "anchor", "left_semi")
-    lists = shared.groupBy("_id").agg(F.collect_set(F.struct("anchor", "packed")).alias("_anchors"))
-    pressed = rows.mapInPandas(_packed, "_id long, _pressed binary")
-    pieces = pressed.join(lists, "_id").mapInPandas(_pieces, "anchor long, content long, _id long, start long, place int, piece binary")
-    pieces = pin(pieces, "pieces")
-
-    different = pieces.groupBy("anchor", "content").agg(F.min(F.struct("_id", "piece", "place")).alias("v"))
-    different = pin(different.select("anchor", "content", F.col("v._id").alias("_low"), "v.piece", "v.place"), "different")
-    # Groups too large for one array are split by the bytes beside the anchor, of which equal windows share a part.
-    sizes = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    grouped = different.join(sizes, "anchor")
-    columns = ["anchor", "content", "_low", "piece", "place", F.lit(0).cast("long").alias("_part")]
-    plain = grouped.where(F.col("_n") <= GROUP).select(*columns)
-    split = grouped.where(F.col("_n") > GROUP).select(*columns)
-    split = split.mapInPandas(_sides, split.schema)
-    keys = ["anchor", "_part"]
-    dealt = plain.unionByName(split).repartition(*keys).sortWithinPartitions(*keys)
-    lows = dealt.mapInPandas(_decided, "anchor long, content long, lows array<long>")
-    lows = lows.groupBy("anchor", "content").agg(F.collect_list("lows").alias("_lows"))  # two at most
-
-    own = different.select("anchor", "content", "_low").join(lows, ["anchor", "content"], "left")
-    found = pieces.select("anchor", "content", "_id", "start", F.octet_length("piece").alias("_length")).join(own, ["anchor", "content"])
-    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("_length")).alias("b")))
-    windows = F.flatten(F.transform("_lows", lambda x: F.filter(
-        F.transform(x, lambda low, k: F.when(low < F.col("_id"), F.struct((F.col("start") + k).alias("a"), (F.col("start") + k + SIZE).alias("b")))),
-        lambda s: s.isNotNull())))
-    spans = F.when(F.col("_low") < F.col("_id"), whole).when(F.col("_lows").isNotNull(), windows)
-    spans = found.select("_id", F.explode(spans).alias("s")).groupBy("_id").agg(F.collect_list("s").alias("_spans"))
-    # Rows without an id keep their place in the join by the left side.
-    done = pressed.join(spans, "_id", "left").mapInPandas(_digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return done.withColumnRenamed("doc_id", id_col)
-
+    marks = text.mapInPandas(_marks, "_id long, packed long, anchor long, content long")
+
+    # All rows of an anchor, then of a piece: one exchange serves both windows, and a large group spills.
+    anchor, piece = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
+    met = marks.select("*", F.min("_id").over(anchor).alias("_first"), F.max("_id").over(anchor).alias("_last"),
+                       (F.min("content").over(anchor) < F.max("content").over(anchor)).alias("_differ"))
+    met = met.where("packed < 0 OR _first < _last").withColumn("_low", F.min("_id").over(piece))
+    whole = (F.col("packed") < 0) | (F.col("_low") < F.col("_id"))
+    met = met.where(whole | F.col("_differ")).select(
+        "_id", F.greatest("packed", F.bitwise_not("packed")).alias("packed"), *[F.when(~whole, F.col(c)).alias(c) for c in ("anchor", "content")])
+    met = pin(met.withColumn("_tag", F.shiftright("packed", 48)), "met")
+    start = F.shiftright("packed", 16).bitwiseAND(F.lit(_START))
+    windows = F.shiftright("packed", 8).bitwiseAND(F.lit(255))
+
+    # Different pieces of an anchor: one text for each. Groups too large for one array are split by the bytes beside the anchor,
+    # of which equal windows share a part.
+    open_ = met.where("anchor IS NOT NULL")
+    one = open_.groupBy("anchor", "content").agg(F.min(F.struct("_id", "_tag", "packed")).alias("v")).select("anchor", "content", "v.*")
+    many = open_.groupBy("anchor").agg(F.count_distinct("content").alias("_n")).where(F.col("_n") > GROUP).select("anchor", F.lit(True).alias("many"))
+    asked = one.join(many, "anchor", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    asked = asked.groupBy("_id", "_tag").agg(F.collect_list(F.struct("anchor", "content", "packed", "many")).alias("_found"))
+    # Both joins below read the same exchange of the texts.
+    pressed = rows.where("_id IS NOT NULL").mapInPandas(_packed, "_id long, _tag long, _pressed binary").where("_id IS NOT NULL AND _tag IS NOT NULL")
+    pieces = pressed.join(asked, ["_id", "_tag"]).mapInPandas(_pieces, "anchor long, _part long, content long, _low long, place int, piece binary")
+    dealt = pieces.repartition("anchor", "_part").sortWithinPartitions("anchor", "_part")
+    runs = dealt.mapInPandas(_decided, "anchor long, content long, a long, b long")
+
+    parts = open_.join(runs, ["anchor", "content"]).select("_id", "_tag", (start + F.col("a")).alias("a"), (start + F.col("b")).alias("b"))
+    spans = met.where("anchor IS NULL").select("_id", "_tag", start.alias("a"), (start + windows + SIZE - 1).alias("b")).unionByName(parts)
+    spans = spans.groupBy("_id", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    done = pressed.join(spans, ["_id", "_tag"], "left").mapInPandas(_digested, schema)
+    alone = rows.where("_id IS NULL").mapInPandas(_packed, "_id long, _tag long, _pressed binary")
+    alone = alone.withColumn("_spans", F.lit(None).cast("array<struct<a: long, b: long>>")).mapInPandas(_digested, schema)
+    return done.unionByName(alone).withColumnRenamed("doc_id", id_col)
