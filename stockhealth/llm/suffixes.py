@@ -32,8 +32,7 @@ SIZE, GRAM = 50, 16
 GROUP = 2000  # pieces of an anchor that go into one suffix array
 _PART = 1 << 20  # bytes hashed at a time
 _LOW = np.uint64(0xFFFFFF)
-_TAGS = 1 << 15  # texts under one id are told apart by a tag
-_START = (1 << 32) - 1
+_TAGS = 1 << 12  # texts under one id are told apart by a tag
 
 
 def suffix_array(text: bytes) -> list[int]:
@@ -136,10 +135,10 @@ def smallest(pieces: list[bytes], ids: list[int], size: int = SIZE) -> list[list
 
 
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pieces of every text. ``packed`` is tag << 48 | start << 16 | windows << 8 | place of the anchor.
+    """The pieces of every text. ``packed`` is start << 24 | tag << 12 | windows << 6 | place of the anchor.
 
     ``packed`` is inverted if a smaller document of the batch has the same piece; nothing more is to be found out then, and
-    the anchor is replaced by a number that spreads.
+    the id stands for the anchor, so these rows spread. Small numbers come last in a row, where they compress.
     """
     digest = xxhash.xxh3_64_intdigest
     for frame in batches:
@@ -154,15 +153,15 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 content.append(np.fromiter(map(digest, map(text.__getitem__, map(slice, starts.tolist(), ends.tolist()))), np.uint64, len(starts)))
                 anchor.append(hashes)
                 ids.append(np.full(len(starts), i, np.int64))
-                packed.append(places | tag << 48)
+                packed.append(starts << 24 | tag << 12 | (places >> 8 & 255) << 6 | places & 255)
             anchor, content, ids, packed = (np.concatenate(x) for x in (anchor, content, ids, packed))
             content = content.view(np.int64)
             order = np.lexsort((ids, content))
             first = np.concatenate(([True], content[order][1:] != content[order][:-1])) if len(order) else np.empty(0, bool)
             later = np.empty(len(order), bool)
             later[order] = ids[order] > ids[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-            spread = (ids ^ packed << 20 ^ packed >> 12) * -0x61C8864680B583EB
-            yield pd.DataFrame({"_id": ids, "packed": np.where(later, ~packed, packed), "anchor": np.where(later, spread, anchor), "content": content})
+            yield pd.DataFrame({"_id": ids, "anchor": np.where(later, ids, anchor), "content": np.where(later, 0, content),
+                                "packed": np.where(later, ~packed, packed)})
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,7 +178,7 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, pressed, found in zip(frame["_id"], frame["_pressed"], frame["_found"]):
             text = press.decompress(pressed)
             for one in found:
-                start, windows, place = one["packed"] >> 16 & _START, one["packed"] >> 8 & 255, one["packed"] & 255
+                start, windows, place = one["packed"] >> 24, one["packed"] >> 6 & 63, one["packed"] & 63
                 piece = text[start:start + windows + SIZE - 1]
                 parts = [xxhash.xxh3_64_intdigest(x) - 2**63 for x in _beside(piece, place)] if one["many"] else [0]
                 rows.extend((one["anchor"], part, one["content"], i, place, piece) for part in parts)
@@ -239,14 +238,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
     Texts are UTF-8 bytes, null is empty, matches never cross documents. Rows with one id are one document as far as
-    order goes, so they take nothing from each other; a row with a null id loses nothing and takes nothing. An empty table gives an
+    order goes, so they take nothing from each other (different texts under one id are told apart by ``_TAGS`` tags, so two of
+    them may, by chance, be cut at each other's spans); a row with a null id loses nothing and takes nothing. An empty table gives an
     empty result.
     """
     small_batches(docs.sparkSession)
     tag = F.pmod(F.xxhash64(docs[text_col]), F.lit(_TAGS))
     rows = docs.select(docs[id_col].cast("long").alias("_id"), tag.alias("_tag"), docs[text_col].alias("_text"))
     text = rows.where(f"_id IS NOT NULL AND octet_length(_text) >= {SIZE}")
-    marks = text.mapInPandas(_marks, "_id long, packed long, anchor long, content long")
+    marks = text.mapInPandas(_marks, "_id long, anchor long, content long, packed long")
 
     # All rows of an anchor, then of a piece: one exchange serves both windows, and a large group spills.
     anchor, piece = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
@@ -256,9 +256,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = (F.col("packed") < 0) | (F.col("_low") < F.col("_id"))
     met = met.where(whole | F.col("_differ")).select(
         "_id", F.greatest("packed", F.bitwise_not("packed")).alias("packed"), *[F.when(~whole, F.col(c)).alias(c) for c in ("anchor", "content")])
-    met = pin(met.withColumn("_tag", F.shiftright("packed", 48)), "met")
-    start = F.shiftright("packed", 16).bitwiseAND(F.lit(_START))
-    windows = F.shiftright("packed", 8).bitwiseAND(F.lit(255))
+    met = pin(met.withColumn("_tag", F.shiftright("packed", 12).bitwiseAND(F.lit(_TAGS - 1))), "met")
+    start, windows = F.shiftright("packed", 24), F.shiftright("packed", 6).bitwiseAND(F.lit(63))
 
     # Different pieces of an anchor: one text for each. Groups too large for one array are split by the bytes beside the anchor,
     # of which equal windows share a part.
