@@ -6,16 +6,13 @@ bounds a micro-batch and changes no result.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 from datetime import datetime
 from functools import partial, reduce
 from operator import and_
 
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql.group import GroupedData
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -23,16 +20,10 @@ from pyspark.sql.streaming import StreamingQuery
 from stockhealth.functions.columns import is_at_risk
 from stockhealth.operators.actions import clock
 from stockhealth.operators.changes import change_log, cooled_down
-from stockhealth.operators.metrics import score
+from stockhealth.operators.keyed import newest_first, top_rows
+from stockhealth.operators.metrics import SCORE_TIES, metrics
 from stockhealth.policy import DEFAULT_POLICY, Policy
 from stockhealth.schema import ALERT_OBSERVATIONS, METRIC_COLUMNS, PAIR, STOCK_CHANGES, STOCK_DAILY
-from stockhealth.streaming import state
-
-# Executors need not have this package installed: the processors travel with the query.
-cloudpickle.register_pickle_by_value(state)
-
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 CHANGE_KEY = [*PAIR, "date"]
 CHANGE_TYPES = (
@@ -43,31 +34,8 @@ ALERT_TYPES = (
     "action_id long, alert_timestamp timestamp_ntz, location string, item string, days_of_cover double, suggested_reorder double"
 )
 
-METRICS, AT_RISK = "inventory_metrics_dt", "inventory_at_risk_dt"
-
-
-def _bucketed(df: DataFrame, checkpoint: str, keys: list[str]) -> GroupedData:
-    """Hash keys into groups for a stateful operator, so Python is called per group and not per key.
-
-    Two groups per shuffle partition; the number is kept beside the checkpoint, because a key must
-    find its state again after the session's settings change.
-    """
-    spark = df.sparkSession
-    note = f"{checkpoint.rstrip('/')}-buckets"
-    wanted = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.createDataFrame([(wanted,)], "buckets int").coalesce(1).write.mode("ignore").json(note)
-    buckets = spark.read.schema("buckets int").json(note).first()[0]
-    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
-
-
-@contextmanager
-def _rocksdb(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+METRICS, AT_RISK, USAGE, DONE = "inventory_metrics_dt", "inventory_at_risk_dt", "recent_usage", "done"
+FOLD = 16  # every so many epochs all pairs are written, so no read goes back further
 
 
 def _files(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None) -> DataFrame:
@@ -76,11 +44,10 @@ def _files(spark: SparkSession, path: str, schema: T.StructType, max_files: int
 
 
 def _start(
-    df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None, mode: str = "update"
+    df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None
 ) -> StreamingQuery:
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink)
-    with _rocksdb(df.sparkSession):
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
+    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_metrics(
@@ -89,42 +56,61 @@ def stream_metrics(
 ) -> StreamingQuery:
     """Keep the metrics and at-risk tables below ``target`` up to date with appended stock rows.
 
-    State is the newest 7 rows per pair; a late row counts if it belongs among them, as in batch.
-    An epoch writes only the pairs it touched (both tables from one pass); ``current`` reads the
-    newest version of each pair and ``compact`` folds the epochs together.
+    An epoch merges its rows with the newest 7 kept for each pair it touched; a late row counts if it belongs among
+    them, as in batch. It writes the pairs it touched, and all pairs every ``FOLD`` epochs. A repeated epoch overwrites its
+    own folders, and readers see both tables of an epoch once it is noted as done.
     """
-    newest = partial(state.newest_per_pair, n=policy.window_rows)
-    slim = _files(spark, source, STOCK_DAILY, max_files).select(*PAIR, "date", "closing_stock", "issued", "lead_time_days")
-    cut = slim.mapInPandas(newest, slim.schema)
-    usage = _bucketed(cut, checkpoint, PAIR).transformWithStateInPandas(
-        state.LatestUsage(policy.window_rows), state.LATEST_TYPES, "Update", "None"
-    )
+    slim = _files(spark, source, STOCK_DAILY, max_files).select(*PAIR, "date", *SCORE_TIES)
+    order, pair = newest_first("date", SCORE_TIES), Window.partitionBy(*PAIR)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        scored = score(batch, policy).select(*METRIC_COLUMNS)
+        spark = batch.sparkSession
+        rows = top_rows(batch, PAIR, order, policy.window_rows).select(*slim.columns, F.lit(epoch).cast("long").alias("epoch"))
+        if epoch:
+            rows = rows.unionByName(_epochs(spark, f"{target}/{USAGE}", epoch - 1))
+        before = F.max(F.when(F.col("epoch") < epoch, F.col("epoch"))).over(pair)
+        rows = rows.withColumns({"_before": before, "_newest": F.max("epoch").over(pair)})
+        rows = rows.where((F.col("epoch") == epoch) | (F.col("epoch") == F.col("_before")))
+        if epoch % FOLD:
+            rows = rows.where(F.col("_newest") == epoch)
+        path = f"{target}/{USAGE}/epoch={epoch}"
+        top_rows(rows, PAIR, order, policy.window_rows).select(*slim.columns).write.mode("overwrite").parquet(path)
+        kept = spark.read.schema(slim.schema).parquet(path)
         path = f"{target}/{METRICS}/epoch={epoch}"
-        scored.write.mode("overwrite").parquet(path)
+        metrics(kept, policy).write.mode("overwrite").parquet(path)
         # The at-risk table is chained on the metrics just written. Pairs that left it are kept with
         # the flag off, so an older at-risk version of theirs does not come back.
-        written = batch.sparkSession.read.parquet(path)
+        written = spark.read.parquet(path)
         flagged = written.withColumn("at_risk", is_at_risk(F.col("days_of_cover"), policy.orange_days))
         flagged.write.mode("overwrite").parquet(f"{target}/{AT_RISK}/epoch={epoch}")
+        _done(spark, target, epoch)
+
+    return _start(slim, sink, checkpoint, trigger)
+
+
+def _done(spark: SparkSession, target: str, epoch: int) -> None:
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{target}/{DONE}/epoch={epoch}")
+
 
-    return _start(usage, sink, checkpoint, trigger)
+def _epochs(spark: SparkSession, path: str, newest: int) -> DataFrame:
+    """A table's folders from the last epoch that holds all pairs to ``newest``."""
+    table = spark.read.parquet(path).withColumn("epoch", F.col("epoch").cast("long"))
+    return table.where(F.col("epoch").between(newest - newest % FOLD, newest))
 
 
-def _versions(spark: SparkSession, path: str) -> DataFrame:
-    epochs = spark.read.parquet(path)
+def _versions(spark: SparkSession, target: str, name: str) -> DataFrame:
+    newest = spark.read.parquet(f"{target}/{DONE}").agg(F.max("epoch")).first()[0]
+    epochs = _epochs(spark, f"{target}/{name}", newest)
     return epochs.groupBy(*PAIR).agg(F.max_by(F.struct(*epochs.columns), "epoch").alias("v")).select("v.*").drop("epoch")
 
 
 def current_metrics(spark: SparkSession, target: str) -> DataFrame:
     """The newest version of each pair."""
-    return _versions(spark, f"{target}/{METRICS}").select(*METRIC_COLUMNS)
+    return _versions(spark, target, METRICS).select(*METRIC_COLUMNS)
 
 
 def current_at_risk(spark: SparkSession, target: str) -> DataFrame:
-    return _versions(spark, f"{target}/{AT_RISK}").where("at_risk").select(*METRIC_COLUMNS)
+    return _versions(spark, target, AT_RISK).where("at_risk").select(*METRIC_COLUMNS)
 
 
 def refresh(
@@ -139,8 +125,9 @@ def refresh(
 def compact(spark: SparkSession, target: str, compacted: str) -> None:
     """Write the current tables to a fresh folder as one epoch each."""
     current_metrics(spark, target).write.parquet(f"{compacted}/{METRICS}/epoch=-1")
-    flagged = _versions(spark, f"{target}/{AT_RISK}").where("at_risk")
+    flagged = _versions(spark, target, AT_RISK).where("at_risk")
     flagged.write.parquet(f"{compacted}/{AT_RISK}/epoch=-1")
+    _done(spark, compacted, -1)
 
 
 def change_stream(spark: SparkSession, source: str, max_files: int | None = None) -> DataFrame:
@@ -189,7 +176,7 @@ def stream_change_log(
 ) -> StreamingQuery:
     """Log inserts and updates with the previous closing stock by time, whatever the order of arrival."""
     kept = change_stream(spark, source, max_files).where(F.col("change_type").isin("INSERT", "UPDATE"))
-    return _start(kept, _rebuilding(target, CHANGE_KEY, partial(change_log, policy=policy)), checkpoint, trigger, mode="append")
+    return _start(kept, _rebuilding(target, CHANGE_KEY, partial(change_log, policy=policy)), checkpoint, trigger)
 
 
 def current_change_log(spark: SparkSession, target: str) -> DataFrame:
@@ -202,7 +189,7 @@ def stream_alerts(
 ) -> StreamingQuery:
     """One alert per pair and hour over a stream of critical observations, in the order of their time."""
     seen = _files(spark, source, ALERT_OBSERVATIONS, max_files)
-    return _start(seen, _rebuilding(target, PAIR, partial(cooled_down, policy=policy)), checkpoint, trigger, mode="append")
+    return _start(seen, _rebuilding(target, PAIR, partial(cooled_down, policy=policy)), checkpoint, trigger)
 
 
 def current_alerts(spark: SparkSession, target: str) -> DataFrame:

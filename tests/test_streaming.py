@@ -16,7 +16,9 @@ def six(df):
     return rows(df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"}))
 
 
-def test_metrics_in_steps_out_of_order(spark, daily, fresh):
+@pytest.mark.parametrize("fold", [2, 16])
+def test_metrics_in_steps_out_of_order(spark, daily, fresh, monkeypatch, fold):
+    monkeypatch.setattr(S, "FOLD", fold)
     source, target, state = fresh("in"), fresh("out"), fresh("state")
     part = F.pmod(F.hash("date"), F.lit(3))
     history = []
