@@ -55,6 +55,15 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return simple.unionByName(single)
 
 
+def changes_from_diff(diff: DataFrame, as_of: datetime | Column | None = None) -> DataFrame:
+    """``snapshot_diff`` in the form of the change stream, all at one time; a deletion has the stock of the removed row."""
+    return diff.select(
+        clock(as_of).alias("change_timestamp"), *PAIR, "date", "change_type",
+        F.when(F.col("change_type") == "DELETE", F.col("old_closing_stock")).otherwise(F.col("new_closing_stock"))
+        .alias("closing_stock"),
+    )
+
+
 def change_log(changes: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Inserts and updates with the closing stock of the row's previous version."""
     kept = changes.where(F.col("change_type").isin("INSERT", "UPDATE")).select(
@@ -76,12 +85,15 @@ def change_log(changes: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame
 def new_alerts(
     snapshot: DataFrame, alerts: DataFrame, as_of: datetime | Column | None = None, policy: Policy = DEFAULT_POLICY
 ) -> DataFrame:
-    """Pairs with two days or less that had no alert in the last hour."""
+    """Pairs with two days or less that had no alert in the last hour. A pair with a null half is a pair like any other."""
     since = clock(as_of) - F.make_dt_interval(hours=F.lit(policy.cooldown_hours))
+    if "alert_date" in alerts.columns:  # the folder column of a stored table
+        alerts = alerts.where(F.col("alert_date") >= F.to_date(since))
     # One row per pair: a pair that alerts often must not weigh on the join.
-    recent = alerts.where(F.col("alert_timestamp") > since).select(*PAIR).distinct()
+    recent = alerts.where(F.col("alert_timestamp") > since).select(*[F.col(c).alias(f"_{c}") for c in PAIR]).distinct()
+    same_pair = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PAIR])
     critical = snapshot.where(F.col("days_of_cover") <= policy.alert_days)
-    return critical.join(recent, PAIR, "left_anti").select(
+    return critical.join(recent, same_pair, "left_anti").select(
         clock(as_of).alias("alert_timestamp"), *PAIR, "days_of_cover", "closing_stock", "suggested_reorder"
     )
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from stockhealth.operators import changes, forecast as FC, metrics as M, narrati
 from stockhealth.operators.keyed import with_position
 from stockhealth.plans import inputs
 from stockhealth.schema import PAIR
-from stockhealth.session import shared_path
+from stockhealth.session import pin, shared_path
 from stockhealth.sources import contracts, tables
 from stockhealth.streaming import queries as S
 
@@ -309,6 +310,16 @@ on(_daily, "snapshot_diff", lambda d: changes.snapshot_diff(*inputs.snapshot_pai
 on(_daily, "change_log", lambda d: changes.change_log(inputs.change_feed(d)))
 
 
+@query("diff_change_log")
+def _diff_change_log(spark, sf_dir):
+    """A first load and a second version, captured as row changes and logged."""
+    old, new = inputs.snapshot_pair(pin(_daily(spark, sf_dir), "ledger"))
+    now = inputs.latest_timestamp(_actions(spark, sf_dir))
+    first = changes.changes_from_diff(changes.snapshot_diff(old.where("false"), old), now)
+    later = changes.changes_from_diff(changes.snapshot_diff(old, new), now + F.make_dt_interval(hours=F.lit(1)))
+    return changes.change_log(first.unionByName(later))
+
+
 @query("new_alerts")
 def _new_alerts(spark, sf_dir):
     log = _actions(spark, sf_dir)
@@ -347,8 +358,33 @@ query("stream_metrics")(lambda spark, d: S.current_metrics(spark, _refreshed(spa
 query("stream_at_risk")(lambda spark, d: S.current_at_risk(spark, _refreshed(spark, d)))
 
 
+# Refreshes: minutes after the data's own clock, days before its newest day up to which rows have arrived.
+_REFRESHES = ((0, 90), (30, 60), (60, 30), (100, 0))
+
+
+def _in_refreshes(spark: SparkSession, sf_dir: str) -> tuple[str, list[dict]]:
+    """A stock folder refreshed after each arrival, alerts included; the target folder and the progress."""
+    daily = pin(_daily(spark, sf_dir), "ledger")
+    now = _actions(spark, sf_dir).agg(F.max("action_timestamp")).first()[0]
+    newest = daily.agg(F.max("date")).first()[0]
+    source, target, state = (shared_path(spark, f"refreshed-{name}") for name in ("in", "out", "state"))
+    history, after = [], date(1900, 1, 1)
+    for minutes, back in _REFRESHES:
+        until, at = newest - timedelta(days=back), now + timedelta(minutes=minutes)
+        daily.where((F.col("date") > after) & (F.col("date") <= until)).write.mode("append").parquet(source)
+        history += S.refresh(spark, source, target, state, alert_clock=lambda at=at: at)
+        after = until
+    return target, history
+
+
+query("alert_upkeep")(lambda spark, d: S.critical_alerts(spark, _in_refreshes(spark, d)[0]))
+query("refresh_history")(lambda spark, d: S.refresh_history(spark, _in_refreshes(spark, d)[1])
+                         .where("input_rows > 0").select("batch_id", "input_rows"))
+
+
 @query("freshness")
 def _freshness(spark, sf_dir):
     daily = _daily(spark, sf_dir)
     newest = daily.agg(F.max(F.col("date").cast("timestamp_ntz"))).scalar()
-    return S.freshness({"stock_daily": daily, "inventory_metrics": M.metrics(daily)}, newest)
+    kept = S.current_metrics(spark, _refreshed(spark, sf_dir))
+    return S.freshness({"stock_daily": daily, "inventory_metrics": M.metrics(daily), "inventory_metrics_dt": kept}, newest)

@@ -75,8 +75,10 @@ def latest_timestamp(actions: DataFrame) -> Column:
 
 
 def alert_observations(actions: DataFrame) -> DataFrame:
-    return actions.where("priority = 'Critical' AND location IS NOT NULL").select(
-        "action_id", F.col("action_timestamp").alias("alert_timestamp"), "location", "item",
+    """Critical actions; those of suppliers 3 mod 7 have lost their location."""
+    known = F.when(suppkey_of(F.col("location")) % 7 != 3, F.col("location")).alias("location")
+    return actions.where("priority = 'Critical'").select(
+        "action_id", F.col("action_timestamp").alias("alert_timestamp"), known, "item",
         "days_of_cover", "suggested_reorder",
     )
 

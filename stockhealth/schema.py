@@ -60,6 +60,15 @@ ALERT_OBSERVATIONS = T.StructType([
     T.StructField("suggested_reorder", T.DoubleType()),
 ])
 
+CRITICAL_ALERTS = T.StructType([
+    T.StructField("alert_timestamp", T.TimestampNTZType()),
+    T.StructField("location", T.StringType()),
+    T.StructField("item", T.StringType()),
+    T.StructField("days_of_cover", T.DoubleType()),
+    T.StructField("closing_stock", T.LongType()),
+    T.StructField("suggested_reorder", T.DoubleType()),
+])
+
 # The data contract's enumerations.
 STATUSES = ["red", "orange", "green", "unknown"]
 PRIORITIES = ["Critical", "High", "Medium", "Low", "Unknown"]

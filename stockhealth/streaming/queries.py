@@ -19,11 +19,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stockhealth.functions.columns import is_at_risk
 from stockhealth.operators.actions import clock
-from stockhealth.operators.changes import change_log, cooled_down
+from stockhealth.operators.changes import change_log, cooled_down, new_alerts
 from stockhealth.operators.keyed import newest_first, top_rows
 from stockhealth.operators.metrics import SCORE_TIES, metrics
 from stockhealth.policy import DEFAULT_POLICY, Policy
-from stockhealth.schema import ALERT_OBSERVATIONS, METRIC_COLUMNS, PAIR, STOCK_CHANGES, STOCK_DAILY
+from stockhealth.schema import ALERT_OBSERVATIONS, CRITICAL_ALERTS, METRIC_COLUMNS, PAIR, STOCK_CHANGES, STOCK_DAILY
 
 CHANGE_KEY = [*PAIR, "date"]
 CHANGE_TYPES = (
@@ -35,6 +35,7 @@ ALERT_TYPES = (
 )
 
 METRICS, AT_RISK, USAGE, DONE = "inventory_metrics_dt", "inventory_at_risk_dt", "recent_usage", "done"
+ALERTS = "critical_items_alerts"
 FOLD = 16  # every so many epochs all pairs are written, so no read goes back further
 
 
@@ -52,13 +53,14 @@ def _start(
 
 def stream_metrics(
     spark: SparkSession, source: str, target: str, checkpoint: str, max_files: int | None = None,
-    trigger: dict | None = None, policy: Policy = DEFAULT_POLICY,
+    trigger: dict | None = None, policy: Policy = DEFAULT_POLICY, alert_clock: Callable[[], datetime] | None = None,
 ) -> StreamingQuery:
     """Keep the metrics and at-risk tables below ``target`` up to date with appended stock rows.
 
     An epoch merges its rows with the newest 7 kept for each pair it touched; a late row counts if it belongs among
     them, as in batch. It writes the pairs it touched, and all pairs every ``FOLD`` epochs. A repeated epoch overwrites its
-    own folders, and readers see both tables of an epoch once it is noted as done.
+    own folders, and readers see both tables of an epoch once it is noted as done. With ``alert_clock`` every epoch then
+    adds alerts at that time, for all critical pairs of the current metrics that the alert table holds none of the last hour for.
     """
     slim = _files(spark, source, STOCK_DAILY, max_files).select(*PAIR, "date", *SCORE_TIES)
     order, pair = newest_first("date", SCORE_TIES), Window.partitionBy(*PAIR)
@@ -84,6 +86,11 @@ def stream_metrics(
         flagged = written.withColumn("at_risk", is_at_risk(F.col("days_of_cover"), policy.orange_days))
         flagged.write.mode("overwrite").parquet(f"{target}/{AT_RISK}/epoch={epoch}")
         _done(spark, target, epoch)
+        if alert_clock:
+            seen = _stored_alerts(spark, target).where(F.col("epoch") < epoch)
+            alerts = new_alerts(current_metrics(spark, target), seen, alert_clock(), policy)
+            dated = alerts.withColumn("alert_date", F.to_date("alert_timestamp"))
+            dated.write.mode("overwrite").partitionBy("alert_date").parquet(f"{target}/{ALERTS}/epoch={epoch}")
 
     return _start(slim, sink, checkpoint, trigger)
 
@@ -113,11 +120,25 @@ def current_at_risk(spark: SparkSession, target: str) -> DataFrame:
     return _versions(spark, target, AT_RISK).where("at_risk").select(*METRIC_COLUMNS)
 
 
+def _stored_alerts(spark: SparkSession, target: str) -> DataFrame:
+    schema = T.StructType([*CRITICAL_ALERTS, T.StructField("epoch", T.LongType()), T.StructField("alert_date", T.DateType())])
+    try:
+        return spark.read.schema(schema).parquet(f"{target}/{ALERTS}")
+    except AnalysisException:  # no epoch has written alerts yet
+        return spark.createDataFrame([], schema)
+
+
+def critical_alerts(spark: SparkSession, target: str) -> DataFrame:
+    """All alerts that ``stream_metrics`` added."""
+    return _stored_alerts(spark, target).select(*CRITICAL_ALERTS.names)
+
+
 def refresh(
-    spark: SparkSession, source: str, target: str, checkpoint: str, policy: Policy = DEFAULT_POLICY
+    spark: SparkSession, source: str, target: str, checkpoint: str, policy: Policy = DEFAULT_POLICY,
+    alert_clock: Callable[[], datetime] | None = None,
 ) -> list[dict]:
     """Process everything new in the source, then return; the progress of the run."""
-    query = stream_metrics(spark, source, target, checkpoint, policy=policy)
+    query = stream_metrics(spark, source, target, checkpoint, policy=policy, alert_clock=alert_clock)
     query.awaitTermination()
     return list(query.recentProgress)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stockhealth.operators import changes as CH
 from stockhealth.operators import metrics as M
 from stockhealth.plans import inputs
-from stockhealth.schema import ALERT_OBSERVATIONS
+from stockhealth.schema import ALERT_OBSERVATIONS, STOCK_CHANGES
 from stockhealth.streaming import queries as S
 
 
@@ -83,6 +83,28 @@ def test_alert_cooldown_is_independent_of_the_batches(spark, fresh, max_files):
     assert sorted(r.action_id for r in S.current_alerts(spark, target).collect()) == greedy(observed.collect())
 
 
+def test_alert_upkeep_repeats_after_exactly_an_hour(spark, seed, fresh):
+    source, target, state = fresh("in"), fresh("out"), fresh("state")
+    start = datetime(2026, 1, 1, 23, 30)  # the hour goes over midnight
+    rows_of = seed.withColumn("location", F.when(F.col("location") != "West", F.col("location")))
+    critical = M.metrics(rows_of).where("days_of_cover <= 2").count()
+    counts = []
+    for minutes in (0, 30, 59, 60, 61, 120):
+        rows_of.where("false" if minutes else "true").coalesce(1).write.mode("append").parquet(source)
+        S.refresh(spark, source, target, state, alert_clock=lambda m=minutes: start + timedelta(minutes=m))
+        counts.append(S.critical_alerts(spark, target).count())
+    assert critical and counts == [critical, critical, critical, 2 * critical, 2 * critical, 3 * critical]
+
+
+def test_diff_as_changes(spark, seed):
+    later = seed.where("location <> 'East'").withColumn("closing_stock", F.col("closing_stock") + 1)
+    got = CH.changes_from_diff(CH.snapshot_diff(seed, later), datetime(2026, 1, 3))
+    assert got.columns == STOCK_CHANGES.names
+    want = seed.select("location", "item", "date", F.when(F.col("location") == "East", "DELETE").otherwise("UPDATE"),
+                       F.col("closing_stock") + F.when(F.col("location") == "East", 0).otherwise(1))
+    assert rows(got.drop("change_timestamp")) == rows(want)
+
+
 def test_empty_source_runs_no_batch(spark, fresh):
     source, target = fresh("in"), fresh("out")
     spark.createDataFrame([], ALERT_OBSERVATIONS).write.parquet(source)
