@@ -31,22 +31,32 @@ _ROWS = 60_000  # rows of small shards that are searched together
 _PAIRS = 2_000_000  # pairs of query and node in flight
 
 
-def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> list[int]:
-    """``lanes`` signed 64-bit numbers. Lane 0 takes the bits of each shingle's XXH64, the others bits mixed from it.
-
-    A bit is 1 if over half of the shingles (repeats included) have it. Null or no words: all zero.
-    """
+def shingles(text: str | None, words: int = 3) -> np.ndarray:
+    """XXH64 of each run of ``words`` words, repeats included; a shorter text is one shingle, a wordless one has none."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return [0] * lanes
+        return np.empty(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(parts) - words + 1)
     pairs = zip(starts[:n].tolist(), ends[min(words, len(parts)) - 1:].tolist())
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(joined[s:e], SEED) for s, e in pairs], np.uint64, n)
-    out = []
+    return np.fromiter([digest(joined[s:e], SEED) for s, e in pairs], np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> list[int]:
+    """``lanes`` signed 64-bit numbers. Lane 0 takes the bits of each shingle's XXH64, the others bits mixed from it.
+
+    A bit is 1 if over half of the shingles (repeats included) have it. Null or no words: all zero.
+    """
+    return _print(shingles(text, words), lanes)
+
+
+def _print(h: np.ndarray, lanes: int) -> list[int]:
+    n, out = len(h), []
+    if not n:
+        return [0] * lanes
     for lane in range(lanes):
         ones = np.zeros(64, np.int64)
         for at in range(0, n, 255 * 256):
@@ -95,9 +105,9 @@ def exact_keys(radius: int, spare: int = 6) -> list[list[int]]:
     return [[sum(kept)] for kept in combinations(parts, spare)]
 
 
-def sampled_keys(n: int, lanes: int, radius: int, recall: float) -> list[list[int]]:
-    """Masks with about log2(n) random bits, as many as find a pair at ``radius`` with probability ``recall``."""
-    bits, width = 64 * lanes, max(12, math.ceil(math.log2(max(n, 2))))
+def sampled_keys(n: int, lanes: int, radius: int, recall: float, width: int | None = None) -> list[list[int]]:
+    """Masks with ``width`` (about log2(n)) random bits, as many as find a pair at ``radius`` with probability ``recall``."""
+    bits, width = 64 * lanes, width or max(12, math.ceil(math.log2(max(n, 2))))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / bits) ** width))
     rng = np.random.default_rng(SEED)
     masks = []
@@ -241,3 +251,137 @@ def near_duplicates(
     classes = classes.select(*[F.col(c).alias(f"_{c}") for c in names], F.coalesce("root", "_node").alias("component_id"))
     same: Column = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_{c}") for c in names])
     return prints.join(classes, same).select(F.col("_id").alias(id_col), *names, "component_id")
+
+
+# Near-duplicates by the Jaccard similarity of shingle sets. A pair at 0.8 differs in about 39 of 256 bits (48 if one text has four
+# shingles and the other five), unrelated texts in 128. The keys find a pair at ``PLAN`` bits with probability ``FOUND``.
+RADIUS, PLAN, FOUND, WIDTH = 64, 60, 0.99, 10
+MEMBERS, SHINGLES = 1024, 500_000  # texts and shingles of a block of candidates
+
+
+def _sets(words: int, lanes: Sequence[str], keys: Sequence[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            sets = [np.unique(shingles(t, words)) for t in frame["_text"]]
+            out = frame[list(keys)].copy()
+            for name, values in zip(lanes, np.array([_print(h, len(lanes)) for h in sets], np.int64).reshape(-1, len(lanes)).T):
+                out[name] = values
+            out["_set"] = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            out["_size"] = [len(h) for h in sets]
+            yield out
+
+    return run
+
+
+def _candidates(lanes: Sequence[str], radius: int, keys: Sequence[str]):
+    """Edges that connect the rows of a shard within the radius: so wide a radius leaves a BK-tree nothing to skip."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in chunks(batches, keys, _ROWS):
+            values = frame[list(keys)].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (values[1:] != values[:-1]).any(axis=1))))
+            prints = np.ascontiguousarray(frame[list(lanes)].to_numpy(np.int64).T).view(np.uint64)
+            label = np.arange(len(frame))
+            for low, high in zip(starts.tolist(), np.append(starts[1:], len(frame)).tolist()):
+                mine = label[low:high] - low
+                for at in range(0, high - low, 256):
+                    some = slice(low + at, min(low + at + 256, high))
+                    far = np.zeros((some.stop - some.start, high - low - at), np.uint16)
+                    for lane in prints:
+                        far += np.bitwise_count(lane[some, None] ^ lane[None, low + at:high])
+                    a, b = np.nonzero(far <= radius)
+                    a, b = a + at, b + at
+                    apart = mine[a] != mine[b]
+                    mine = join_labels(mine, a[apart], b[apart])
+                label[low:high] = mine + low
+            node = frame["_node"].to_numpy()
+            linked = label != np.arange(len(frame))
+            yield pd.DataFrame({"a": node[linked], "b": node[label[linked]]})
+
+    return run
+
+
+def _alike(words: int, percent: int, keys: Sequence[str]):
+    """Edges that connect the texts of a cell whose shingle sets have a Jaccard similarity of at least ``percent``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in chunks(batches, keys, 2 * MEMBERS):
+            values = frame[list(keys)].to_numpy()
+            group = np.concatenate(([0], np.cumsum((values[1:] != values[:-1]).any(axis=1)))).astype(np.uint64)
+            sets = [np.unique(shingles(t, words)) for t in frame.pop("_text")]
+            size = np.array([len(h) for h in sets])
+            owner = np.repeat(np.arange(len(sets)), size)
+            every = np.concatenate([*sets, np.empty(0, np.uint64)])
+            order = np.lexsort((every, group[owner]))
+            every, holder = every[order], owner[order]
+            new = np.concatenate(([True], (every[1:] != every[:-1]) | (group[holder][1:] != group[holder][:-1])))[:len(every)]
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(every)))
+            which = np.empty(len(every), np.int64)
+            which[order] = np.cumsum(new) - 1
+            begin = np.concatenate(([0], np.cumsum(size)))
+            label = np.arange(len(sets))
+            for x in range(len(sets)):
+                mine = which[begin[x]:begin[x + 1]]
+                mine = mine[count[mine] > 1]
+                n = count[mine]
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                shared = np.bincount(holder[np.repeat(first[mine], n) + inside], minlength=1)
+                other = np.flatnonzero(shared[:x])
+                # shared / (all of both - shared) >= percent / 100, in whole numbers
+                other = other[(100 + percent) * shared[other] >= percent * (size[x] + size[other])]
+                other = other[label[other] != label[x]]
+                if len(other):
+                    label = join_labels(label, np.full(len(other), x), other)
+            node = frame["_node"].to_numpy()
+            linked = label != np.arange(len(sets))
+            yield pd.DataFrame({"a": node[linked], "b": node[label[linked]]})
+
+    return run
+
+
+def first_of_alike(docs: DataFrame, keys: Sequence[str], text_col: str = "text", words: int = 5, lanes: int = 4, percent: int = 80) -> DataFrame:
+    """The smallest ``keys`` (no nulls, numbers) of every group of texts linked by a Jaccard similarity of at least ``percent`` hundredths.
+
+    Texts with one set of shingles form a class. SimHash links classes within ``RADIUS`` bits that share a key of ``WIDTH`` sampled
+    bits; these links only propose groups. Any two members of a proposed group meet in a cell, where their sets are
+    compared, and only edges that reach the similarity count. Wordless texts are one class.
+    """
+    small_batches(docs.sparkSession)
+    names, keys = [f"f{i}" for i in range(lanes)], list(keys)
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    rows = docs.select(*keys, docs[text_col].alias("_text"))
+    prints = rows.mapInPandas(_sets(words, names, keys), f"{kinds}, {', '.join(f'{c} long' for c in names)}, _set long, _size long")
+    classes = prints.groupBy(*names, "_set").agg(F.min(F.struct(*keys)).alias("_key"), F.max("_size").alias("_size"))
+    classes = pin(classes.withColumn("_node", F.monotonically_increasing_id()), "classes")
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = sampled_keys(0, lanes, PLAN, FOUND, WIDTH)
+    buckets = F.array(*[F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(signed(m))) for c, m in zip(names, mask)]) for i, mask in enumerate(masks)])
+    spread = classes.select("_node", *names, F.explode(buckets).alias("_bucket"))
+    hot = pin(spread.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * BLOCK), "hot")
+    if (n := hot.count()) and n <= 100_000:
+        hot = F.broadcast(hot)
+    blocks = F.coalesce(F.ceil(F.col("_n") / BLOCK), F.lit(1)).cast("int")
+    spread = spread.join(hot, "_bucket", "left").withColumn("_m", blocks) if n else spread.withColumn("_m", F.lit(1))
+    spread = _paired(spread).select("_node", *names, "_bucket", "_cell")
+    cell = ["_bucket", "_cell"]
+    sharded = spread.repartition(*cell).sortWithinPartitions(*cell)
+    roots = components(sharded.mapInPandas(_candidates(names, RADIUS, cell), "a long, b long"))
+
+    members = classes.join(roots, classes["_node"] == roots["node"], "left").select("_node", "_key.*", "_size", F.coalesce("root", "_node").alias("_group"))
+    sizes = members.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_all")).where("_n > 1")
+    blocks = F.greatest(F.when(F.col("_n") > 2 * MEMBERS, F.ceil(F.col("_n") / MEMBERS)).otherwise(1),
+                        F.when(F.col("_all") > 2 * SHINGLES, F.least("_n", F.ceil(F.col("_all") / SHINGLES))).otherwise(1)).cast("int")
+    members = members.join(sizes.select("_group", blocks.alias("_m")), "_group")
+    texts = members.join(rows, keys).select("_group", "_m", "_node", "_text")
+    cell = ["_group", "_cell"]
+    texts = _paired(texts).select(*cell, "_node", "_text").repartition(*cell).sortWithinPartitions(*cell)
+    found = components(texts.mapInPandas(_alike(words, percent, cell), "a long, b long"))
+    whole = classes.join(found, classes["_node"] == found["node"], "left").select("_key", F.coalesce("root", "_node").alias("_group"))
+    return whole.groupBy("_group").agg(F.min("_key").alias("_key")).select("_key.*")
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """Rows of a group cut into ``_m`` blocks, once for each ``_cell`` of two blocks, so that any two rows meet."""
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_node"), F.col("_m").cast("long")))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m").cast("long") - 1)))
+    return rows.withColumn("_cell", F.least("_b", "_o") * F.lit(1 << 31) + F.greatest("_b", "_o"))

@@ -230,3 +230,20 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs.where("false") if "text" in docs.columns else docs, SF)
     assert docs.count() == 0
+
+
+def test_near_dedup_is_exact_at_its_similarity(spark):
+    rng = random.Random(12)
+    new = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    rows = []
+    for k in range(300):  # 100 shingles, of which the last eleven (0.802) or twelve (0.786) are others
+        base, other = new(104), 11 + k % 2
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-other], *new(other)]))]
+    few = new(8)
+    rows += [(1000, " ".join(few)), (1001, " ".join([*few, "x"])), (1002, " ".join(few[1:6])), (1003, f"{' '.join(few)} " * 50)]
+    chain = new(300)
+    rows += [(2000 + i, " ".join(chain[10 * i:10 * i + 104])) for i in range(12)]  # each like the next one only
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    want = {2 * k for k in range(300)} | {2 * k + 1 for k in range(300) if k % 2} | {1000, 1002, 1003, 2000}
+    assert kept == want
