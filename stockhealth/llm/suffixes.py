@@ -29,7 +29,7 @@ from stockhealth.llm.common import pin, small_batches
 from stockhealth.llm.simhash import chunks
 
 SIZE, GRAM = 50, 16
-GROUP = 2000  # pieces of an anchor that go into one suffix array
+GROUP = 2000  # pieces of an anchor that go into one suffix array at most
 _PART = 1 << 20  # bytes hashed at a time
 _LOW = np.uint64(0xFFFFFF)
 _TAGS = 1 << 12  # texts under one id are told apart by a tag
@@ -171,7 +171,7 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The text of the pieces asked for; one whose anchor has very many goes to the bytes beside the anchor."""
+    """The text of the pieces asked for."""
     press = zstandard.ZstdDecompressor()
     for frame in batches:
         rows = []
@@ -180,9 +180,17 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for one in found:
                 start, windows, place = one["packed"] >> 24, one["packed"] >> 6 & 63, one["packed"] & 63
                 piece = text[start:start + windows + SIZE - 1]
-                parts = [xxhash.xxh3_64_intdigest(x) - 2**63 for x in _beside(piece, place)] if one["many"] else [0]
-                rows.extend((one["anchor"], part, one["content"], i, place, piece) for part in parts)
-        yield pd.DataFrame(rows, columns=["anchor", "_part", "content", "_low", "place", "piece"])
+                rows.append((one["anchor"], one["content"], i, place, piece))
+        yield pd.DataFrame(rows, columns=["anchor", "content", "_low", "place", "piece"])
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digest of every window of a piece."""
+    for frame in batches:
+        rows = []
+        for anchor, content, i, piece in zip(frame["anchor"], frame["content"], frame["_low"], frame["piece"]):
+            rows.extend((anchor, content, i, k, xxhash.xxh3_64_intdigest(piece[k:k + SIZE]) - 2**63) for k in range(len(piece) - SIZE + 1))
+        yield pd.DataFrame(rows, columns=["anchor", "content", "_low", "at", "window"])
 
 
 def _beside(piece: bytes, place: int) -> Iterator[bytes]:
@@ -199,9 +207,9 @@ def _beside(piece: bytes, place: int) -> Iterator[bytes]:
 
 def _decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Byte runs of the pieces whose windows are also in a piece of a smaller id."""
-    for frame in chunks(batches, ["anchor", "_part"], 20_000):
-        anchor, part = frame["anchor"].to_numpy(), frame["_part"].to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
+    for frame in chunks(batches, ["anchor"], 20_000):
+        anchor = frame["anchor"].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         pieces, ids, content, place = (frame[c].tolist() for c in ("piece", "_low", "content", "place"))
         rows = []
         for lo, hi in zip(starts, np.append(starts[1:], len(frame))):
@@ -259,18 +267,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = pin(met.withColumn("_tag", F.shiftright("packed", 12).bitwiseAND(F.lit(_TAGS - 1))), "met")
     start, windows = F.shiftright("packed", 24), F.shiftright("packed", 6).bitwiseAND(F.lit(63))
 
-    # Different pieces of an anchor: one text for each. Groups too large for one array are split by the bytes beside the anchor,
-    # of which equal windows share a part.
+    # Different pieces of an anchor: one text for each. Groups too large for one array go by digests of their windows, of which
+    # the smallest id is a minimum combined before it moves.
     open_ = met.where("anchor IS NOT NULL")
     one = open_.groupBy("anchor", "content").agg(F.min(F.struct("_id", "_tag", "packed")).alias("v")).select("anchor", "content", "v.*")
-    many = open_.groupBy("anchor").agg(F.count_distinct("content").alias("_n")).where(F.col("_n") > GROUP).select("anchor", F.lit(True).alias("many"))
-    asked = one.join(many, "anchor", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    asked = asked.groupBy("_id", "_tag").agg(F.collect_list(F.struct("anchor", "content", "packed", "many")).alias("_found"))
-    # Both joins below read the same exchange of the texts.
+    many = pin(open_.groupBy("anchor").agg(F.count_distinct("content").alias("_n")).where(F.col("_n") > GROUP).select("anchor"), "many")
+    # The joins below read the same exchange of the texts.
     pressed = rows.where("_id IS NOT NULL").mapInPandas(_packed, "_id long, _tag long, _pressed binary").where("_id IS NOT NULL AND _tag IS NOT NULL")
-    pieces = pressed.join(asked, ["_id", "_tag"]).mapInPandas(_pieces, "anchor long, _part long, content long, _low long, place int, piece binary")
-    dealt = pieces.repartition("anchor", "_part").sortWithinPartitions("anchor", "_part")
+
+    def pieces(wanted: DataFrame) -> DataFrame:
+        asked = wanted.groupBy("_id", "_tag").agg(F.collect_list(F.struct("anchor", "content", "packed")).alias("_found"))
+        return pressed.join(asked, ["_id", "_tag"]).mapInPandas(_pieces, "anchor long, content long, _low long, place int, piece binary")
+
+    dealt = pieces(one.join(many, "anchor", "left_anti")).repartition("anchor").sortWithinPartitions("anchor")
     runs = dealt.mapInPandas(_decided, "anchor long, content long, a long, b long")
+    if not many.isEmpty():
+        each = pieces(one.join(many, "anchor", "left_semi")).mapInPandas(_windows, "anchor long, content long, _low long, at int, window long")
+        each = pin(each, "windows")
+        low = each.groupBy("anchor", "window").agg(F.min("_low").alias("_first"), F.max("_low").alias("_last")).where("_first < _last")
+        gone = each.join(low, ["anchor", "window"]).where("_first < _low").groupBy("anchor", "content").agg(F.array_sort(F.collect_set("at")).alias("_at"))
+        edge = lambda step: F.filter("_at", lambda k: ~F.array_contains("_at", k + step))
+        gone = gone.select("anchor", "content", F.inline(F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b"))))
+        runs = runs.unionByName(gone.select("anchor", "content", F.col("a").cast("long").alias("a"), (F.col("b") + SIZE).cast("long").alias("b")))
 
     parts = open_.join(runs, ["anchor", "content"]).select("_id", "_tag", (start + F.col("a")).alias("a"), (start + F.col("b")).alias("b"))
     spans = met.where("anchor IS NULL").select("_id", "_tag", start.alias("a"), (start + windows + SIZE - 1).alias("b")).unionByName(parts)

@@ -247,3 +247,21 @@ def test_near_dedup_is_exact_at_its_similarity(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
     want = {2 * k for k in range(300)} | {2 * k + 1 for k in range(300) if k % 2} | {1000, 1002, 1003, 2000}
     assert kept == want
+
+
+def test_repeats_around_a_passage_that_many_share(spark, monkeypatch):
+    rng = random.Random(21)
+    passage = prose(rng, 40)
+    texts = [(i, f"{rng.getrandbits(200):x} {passage} {rng.getrandbits(200):x}") for i in range(3000)]
+    docs, whole = spark.createDataFrame(texts, "doc_id long, text string"), suffixes._decided
+    monkeypatch.setattr(suffixes, "GROUP", most := 100)
+
+    def bounded(batches):
+        import pandas as pd
+
+        frame = pd.concat(list(batches) or [pd.DataFrame({"anchor": []})])
+        assert frame.groupby([c for c in ("anchor", "_part") if c in frame]).size().max() <= most or frame.empty
+        return whole(iter([frame] if len(frame) else []))
+
+    monkeypatch.setattr(suffixes, "_decided", bounded)
+    assert result(suffixes.remove_repeats(docs)) == sorted(brute.op2(texts), key=repr)
