@@ -102,7 +102,8 @@ def cooled_down(observed: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFra
     """Observations that alert: in time order, those without an alert of their pair less than the cool-down before.
 
     A greedy rule needs the order: pairs are dealt to tasks, sorted, and read once with the last alert in hand, so memory
-    is one batch however many rows a pair has.
+    is one batch however many rows a pair has. Observations
+    without a time come last and start no cool-down: one of them alerts only for a pair that has no observation with a time.
     """
     wait = timedelta(hours=policy.cooldown_hours)
     columns = ["action_id", "alert_timestamp", *PAIR, "days_of_cover", "suggested_reorder"]
@@ -113,10 +114,11 @@ def cooled_down(observed: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFra
             picked = []
             halves = [frame[c].where(frame[c].notna(), None) for c in PAIR]
             for row, (key, at) in enumerate(zip(zip(*halves), frame["alert_timestamp"])):
-                if key != pair or last is None or at >= last + wait:
+                if key != pair or pd.notna(at) and at >= last + wait:
                     pair, last = key, at
                     picked.append(row)
             yield frame.iloc[picked]
 
-    rows = observed.select(*columns).repartition(*PAIR).sortWithinPartitions(*PAIR, "alert_timestamp", "action_id")
+    rows = observed.select(*columns).repartition(*PAIR)
+    rows = rows.sortWithinPartitions(*PAIR, F.asc_nulls_last("alert_timestamp"), "action_id")
     return rows.mapInPandas(run, rows.schema)

@@ -83,6 +83,16 @@ def test_alert_cooldown_is_independent_of_the_batches(spark, fresh, max_files):
     assert sorted(r.action_id for r in S.current_alerts(spark, target).collect()) == greedy(observed.collect())
 
 
+def test_alerts_of_a_pair_outlast_an_observation_without_a_time(spark, fresh):
+    start = datetime(2026, 1, 1)
+    at = [None, start, start + timedelta(minutes=30), start + timedelta(hours=5), None]
+    data = [(i, t, "a", "x", 1.0, 2.0) for i, t in enumerate(at)] + [(10, None, "b", "x", 1.0, 2.0), (11, None, "b", "x", 1.0, 2.0)]
+    source, target, state = fresh("in"), fresh("out"), fresh("state")
+    spark.createDataFrame(data, ALERT_OBSERVATIONS).repartition(3, F.hash("action_id")).write.parquet(source)
+    S.stream_alerts(spark, source, target, state, max_files=1).awaitTermination()
+    assert sorted(r.action_id for r in S.current_alerts(spark, target).collect()) == [1, 3, 10]
+
+
 def test_alert_upkeep_repeats_after_exactly_an_hour(spark, seed, fresh):
     source, target, state = fresh("in"), fresh("out"), fresh("state")
     start = datetime(2026, 1, 1, 23, 30)  # the hour goes over midnight
