@@ -1,7 +1,7 @@
 """License scans as an exact set-similarity join of text blocks with notice templates, DataFrame functions only.
 
 A block is ``BLOCK`` words, a new one starts every half block, so a passage of up to half a block plus a word
-lies inside one. A template matches a block that holds at least ``threshold`` of its distinct words. Words are
+lies inside one; a longer template has longer blocks, so that a passage of its length always does. A template matches a block that holds at least ``threshold`` of its distinct words. Words are
 ordered by how many documents have them, over the whole corpus, rarest first; a block can only reach ``o`` of a
 template's ``m`` words if it has one of the template's first ``m - o + 1`` (prefix), has at least ``o`` template
 words at all (length), and enough words remain behind the place where the prefixes meet (position). What is
@@ -99,12 +99,13 @@ def scan(
     # Document frequencies of the template words only: bounded by the templates.
     counts = {r[0]: r[1] for r in kept.select(F.explode("_has").alias("w")).groupBy("w").count().collect()}
     place = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+    halves = [max(block // 2, len(text.split()) - 1) for text, _ in notices]
     entries = []
     for number, (words, label) in enumerate(templates):
         ordered, needed = sorted(words, key=place.get), _needed(words, threshold)
         for i, w in enumerate(ordered[: len(ordered) - needed + 1]):
             entries.append(F.struct(
-                F.lit(w).alias("w"), F.lit(number).alias("template"), F.lit(i).alias("i"), F.lit(len(words)).alias("m"),
+                F.lit(w).alias("w"), F.lit(halves[number]).alias("half"), F.lit(number).alias("template"), F.lit(i).alias("i"), F.lit(len(words)).alias("m"),
                 F.lit(needed).alias("o"), F.lit(label).alias("label"), _array(ordered).alias("words")))
     index = spark.range(1).select(F.inline(F.array(*entries)))
 
@@ -122,13 +123,12 @@ def scan(
         F.array_max(every).cast("long").alias("last_word"),
         F.filter(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(base, phrases)]), lambda x: x.isNotNull()).alias("_base"))
 
-    half = block // 2
     order = F.create_map(*[x for w, i in place.items() for x in (F.lit(w), F.lit(i))])
-    blocks = spread.select("_row", F.explode("hits").alias("h")).select(
-        "_row", F.col("h.w").alias("w"), F.explode(F.array(F.floor(F.col("h.pos") / half), F.floor(F.col("h.pos") / half) - 1)).alias("_block"))
-    blocks = blocks.groupBy("_row", "_block").agg(F.collect_set("w").alias("_set"))  # at most the template words
+    at = [F.struct(F.lit(half).alias("half"), (F.floor(F.col("h.pos") / half) - back).alias("_block")) for half in sorted(set(halves)) for back in (0, 1)]
+    blocks = spread.select("_row", F.explode("hits").alias("h")).select("_row", F.col("h.w").alias("w"), F.inline(F.array(*at)))
+    blocks = blocks.groupBy("_row", "half", "_block").agg(F.collect_set("w").alias("_set"))  # at most the template words
     blocks = blocks.withColumn("_set", F.transform(F.array_sort(F.transform("_set", lambda w: F.struct(order[w].alias("at"), w.alias("w")))), lambda s: s["w"]))
-    met = blocks.select("_row", "_block", "_set", F.posexplode("_set").alias("j", "w")).join(index, "w")
+    met = blocks.select("_row", "half", "_block", "_set", F.posexplode("_set").alias("j", "w")).join(index, ["w", "half"])
     met = met.where((F.size("_set") >= F.col("o")) & (1 + F.least(F.col("m") - F.col("i") - 1, F.size("_set") - F.col("j") - 1) >= F.col("o")))
     shared = F.size(F.array_intersect("_set", "words"))
     matched = met.where(shared >= F.col("o")).select("_row", "label", (shared / F.col("m")).alias("score"))

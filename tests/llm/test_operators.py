@@ -265,3 +265,10 @@ def test_repeats_around_a_passage_that_many_share(spark, monkeypatch):
 
     monkeypatch.setattr(suffixes, "_decided", bounded)
     assert result(suffixes.remove_repeats(docs)) == sorted(brute.op2(texts), key=repr)
+
+
+def test_licenses_with_a_template_longer_than_a_block(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80)]
+    docs = spark.createDataFrame([(i, f"{'other ' * i}{' '.join(words)} end") for i in range(0, 90, 7)], "doc_id long, text string")
+    found = licenses.scan(docs, notices=[(" ".join(words), "long"), ("mit license", "mit")]).collect()
+    assert {(r.labels, r.score) for r in found} == {("long", 1.0)}
