@@ -23,18 +23,19 @@ from stockhealth.llm.common import slices, small_batches
 
 # Public key formats.
 FORMATS = (
-    ("aws", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("github", r"\bgh[pousr]_[0-9A-Za-z]{36,}\b"),
-    ("slack", r"\bxox[abprs]-[0-9A-Za-z-]{10,}"),
-    ("google", r"\bAIza[0-9A-Za-z_-]{35}"),
-    ("stripe", r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}\b"),
-    ("openai", r"\bsk-[0-9A-Za-z_-]{20,}"),
-    ("jwt", r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
+    ("aws", r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    ("github", r"(?<![0-9A-Za-z])gh[pousr]_[0-9A-Za-z]{36,}"),
+    ("slack", r"(?<![0-9A-Za-z])xox[abprs]-[0-9A-Za-z-]{10,}"),
+    ("google", r"(?<![0-9A-Za-z])AIza[0-9A-Za-z_-]{35}"),
+    ("stripe", r"(?<![0-9A-Za-z])[rs]k_(?:live|test)_[0-9A-Za-z]{16,}\b"),
+    ("openai", r"(?<![0-9A-Za-z])sk-[0-9A-Za-z_-]{20,}"),
+    ("jwt", r"(?<![0-9A-Za-z])eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
 )
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----|[0-9A-Za-z+/=\s]*)")
 SHORTEST = 16  # characters of a candidate, also of every format above
-GENERIC = r"(?<![0-9A-Za-z+/_=.-])[0-9A-Za-z+/_=.-]{16,}"
-_CANDIDATE = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FORMATS) + f"|(?P<token>{GENERIC})")
+GENERIC = r"[0-9A-Za-z+/_=.-]{16,}"
+_FORMAT = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FORMATS))
+_TOKEN = re.compile(GENERIC)
 # Words near a secret, words near a harmless token, and common words of identifiers.
 SECRET_WORDS = frozenset(
     "access api apikey auth authorization bearer client credential credentials key passphrase passwd password private pwd "
@@ -108,18 +109,25 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _in_word(text: str, first: int, last: int) -> Iterator[tuple[int, int, str]]:
-    for m in _CANDIDATE.finditer(text, first, last):
-        start, end = m.span()
-        if m.lastgroup == "token":
-            # a name with its value: only the value; sentence marks at the end do not belong to it
-            stripped = m[0].rstrip(".=-_/")
-            if (at := stripped.find("=")) > 0 and len(stripped) - at > 12:
-                start += at + 1
-                stripped = stripped[at + 1:]
-            if len(stripped) < SHORTEST or not any(c.isdigit() for c in stripped):
-                continue
-            end = start + len(stripped)
-        yield start, end, m.lastgroup
+    """Key formats are found first; generic tokens are what lies between them."""
+    for m in _FORMAT.finditer(text, first, last):
+        yield from _tokens(text, first, m.start())
+        yield *m.span(), m.lastgroup
+        first = m.end()
+    yield from _tokens(text, first, last)
+
+
+def _tokens(text: str, first: int, last: int) -> Iterator[tuple[int, int, str]]:
+    for m in _TOKEN.finditer(text, first, last):
+        start = m.start()
+        # a name with its value: only the value; sentence marks at the end do not belong to it
+        stripped = m[0].rstrip(".=-_/")
+        if (at := stripped.find("=")) > 0 and len(stripped) - at > 12:
+            start += at + 1
+            stripped = stripped[at + 1:]
+        if len(stripped) < SHORTEST or not any(c.isdigit() for c in stripped):
+            continue
+        yield start, start + len(stripped), "token"
 
 
 @dataclass(frozen=True)
@@ -206,7 +214,7 @@ def labelled_findings(n: int = 3000, seed: int = 23) -> list[tuple[str, int, int
                 lambda: some(hexa, pick([32, 40, 48, 64])), lambda: some(hexa.upper(), pick([32, 40, 64])), lambda: some(mixed, number(20, 60)), lambda: some(mixed + "+/", number(24, 64)) + "="])()
             bare = value[:4] in ("AKIA", "AIza", "xoxb") or value[:3] in ("ghp", "gho", "ghu", "ghs", "sk_", "sk-")
             q = quote()
-            before = f"{pick(['', '', 'Authorization: Bearer '])}{q}" if bare and rng.random() < 0.4 else f"{name()}{pick([' = ', '=', ': ', ' := '])}{q}"
+            before = f"{pick(['', '', 'Authorization: Bearer ', 'https://host.com/', 'auth/', 'v1.', 'key_', 'x-'])}{q}" if bare and rng.random() < 0.4 else f"{name()}{pick([' = ', '=', ': ', ' := '])}{q}"
         else:
             q = ""
             value, before = pick([
