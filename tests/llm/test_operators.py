@@ -282,3 +282,11 @@ def test_secrets_inside_paths_and_key_blocks():
             assert [(text[a:b], k) for a, b, k, s in secrets.scan_text(text, forest) if s >= secrets.LEVEL] == [(value, kind)]
     block = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\nMIIEow" + key + "\n-----END RSA PRIVATE KEY-----"
     assert [(k, a, b) for a, b, k in secrets.candidates(f"x {block} y")] == [("pem", 2, 2 + len(block))]
+
+
+def test_near_dedup_keeps_different_texts_under_one_id(spark):
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a, "en"), (1, b, "en"), (1, b, "de"), (1, b, "de"), (None, c, None), (None, c, None), (None, a, "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == sorted([(1, a), (1, b), (0, c)])
