@@ -6,9 +6,9 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from stockhealth.session import build_session, shared_path  # noqa: E402
+from helpers import SF  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+from stockhealth.session import build_session, shared_path  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -56,8 +56,3 @@ def actions(spark):
     path = shared_path(spark, "log")
     action_logs(spark, SF).write.parquet(path)
     return spark.read.parquet(path)
-
-
-def rows(df, *columns):
-    """Sorted plain tuples."""
-    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)

@@ -1,6 +1,6 @@
 """Expected values on the 18-row seed."""
 import pytest
-from conftest import rows
+from helpers import rows
 
 from stockhealth.operators import forecast as FC
 from stockhealth.operators import metrics as M

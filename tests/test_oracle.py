@@ -1,6 +1,6 @@
 """Every catalogue query against its SQL oracle."""
 import pytest
-from conftest import SF
+from helpers import SF
 from oracle_check import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries

@@ -2,7 +2,7 @@
 from datetime import date, datetime
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from stockhealth.operators import actions as A
 from stockhealth.operators import changes as CH

@@ -2,7 +2,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from stockhealth.operators import changes as CH
