@@ -139,16 +139,6 @@ new_stock AS (SELECT * REPLACE (CASE WHEN suppkey % 10 = 2 THEN closing_stock +
     CASE suppkey % 10 WHEN 3 THEN issued + 1 WHEN 5 THEN NULL ELSE issued END AS issued,
     CASE WHEN suppkey % 10 = 4 THEN lead_time_days + 1 ELSE lead_time_days END AS lead_time_days)
   FROM supp WHERE suppkey % 10 <> 1),
-feed AS (
-  SELECT date, location, item, suppkey, v, closing_stock + v AS closing_stock,
-    CAST(date AS TIMESTAMP) + v * INTERVAL 1 HOUR AS change_timestamp,
-    CASE WHEN v = 3 AND suppkey % 9 = 8 THEN 'DELETE' WHEN v = 1 THEN 'INSERT' ELSE 'UPDATE' END AS change_type
-  FROM supp, unnest(range(1, 2 + suppkey % 3)) AS t(v)),
-change_log AS (
-  SELECT f.change_timestamp, f.location, f.item, f.date, f.change_type, p.closing_stock AS old_closing_stock,
-    f.closing_stock AS new_closing_stock
-  FROM feed f LEFT JOIN feed p ON p.date = f.date AND p.location = f.location AND p.item = f.item AND p.v = f.v - 1
-  WHERE f.change_type <> 'DELETE'),
 refreshes(step, minutes, back_days) AS (VALUES (0, 0, 90), (1, 30, 60), (2, 60, 30), (3, 100, 0)),
 critical AS (
   SELECT now + to_minutes(step.minutes) AS ts, s.location, s.item, s.days_of_cover, s.closing_stock, s.suggested_reorder
@@ -415,13 +405,33 @@ _add("daily_summary", """
 SELECT CAST(now AS DATE) AS summary_date, summary_text, now AS generated_at FROM app_summary CROSS JOIN clock""")
 
 # --- change capture and streaming
-_add("snapshot_diff", """
-SELECT CASE WHEN o.date IS NULL THEN 'INSERT' WHEN n.date IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS change_type,
-  COALESCE(o.date, n.date) AS date, COALESCE(o.location, n.location) AS location, COALESCE(o.item, n.item) AS item,
-  o.closing_stock AS old_closing_stock, n.closing_stock AS new_closing_stock
-FROM old_stock o FULL JOIN new_stock n ON o.date = n.date AND o.location = n.location AND o.item = n.item
-WHERE o.date IS NULL OR n.date IS NULL OR (o.opening_stock, o.received, o.issued, o.closing_stock, o.lead_time_days)
-  IS DISTINCT FROM (n.opening_stock, n.received, n.issued, n.closing_stock, n.lead_time_days)""")
+# These two need the ledger alone: no recursive part, and no join of two large sides.
+_STOCK = f"WITH stock_daily AS MATERIALIZED ({_LEDGER}),\nsupp AS (SELECT *, CAST(substring(location, 10) AS BIGINT) AS suppkey FROM stock_daily)"
+ORACLES["snapshot_diff"] = f"""{_STOCK},
+versions AS (
+  SELECT 'old' AS version, date, location, item, closing_stock, [opening_stock, received, issued, closing_stock, lead_time_days] AS stock
+  FROM supp WHERE suppkey % 10 <> 0
+  UNION ALL
+  SELECT 'new', date, location, item, closing_stock + CASE suppkey % 10 WHEN 2 THEN 1 ELSE 0 END,
+    [opening_stock, received, CASE suppkey % 10 WHEN 3 THEN issued + 1 WHEN 5 THEN NULL ELSE issued END,
+     closing_stock + CASE suppkey % 10 WHEN 2 THEN 1 ELSE 0 END, lead_time_days + CASE suppkey % 10 WHEN 4 THEN 1 ELSE 0 END]
+  FROM supp WHERE suppkey % 10 <> 1),
+sides AS (
+  SELECT date, location, item, COUNT(*) FILTER (version = 'old') AS n_old, COUNT(*) FILTER (version = 'new') AS n_new,
+    MAX(closing_stock) FILTER (version = 'old') AS old_closing_stock, MAX(closing_stock) FILTER (version = 'new') AS new_closing_stock,
+    MAX(CAST(stock AS VARCHAR)) FILTER (version = 'old') AS old_row, MAX(CAST(stock AS VARCHAR)) FILTER (version = 'new') AS new_row
+  FROM versions GROUP BY date, location, item)
+SELECT CASE WHEN n_old = 0 THEN 'INSERT' WHEN n_new = 0 THEN 'DELETE' ELSE 'UPDATE' END AS change_type, date, location, item,
+  old_closing_stock, new_closing_stock
+FROM sides WHERE old_row IS DISTINCT FROM new_row"""
+_CHANGE_LOG = f"""{_STOCK},
+feed AS (
+  SELECT location, item, date, closing_stock + v AS closing_stock, CAST(date AS TIMESTAMP) + v * INTERVAL 1 HOUR AS change_timestamp,
+    CASE WHEN v = 3 AND suppkey % 9 = 8 THEN 'DELETE' WHEN v = 1 THEN 'INSERT' ELSE 'UPDATE' END AS change_type
+  FROM supp, unnest(range(1, 2 + suppkey % 3)) AS t(v))
+SELECT change_timestamp, location, item, date, change_type,
+  LAG(closing_stock) OVER (PARTITION BY location, item, date ORDER BY change_timestamp) AS old_closing_stock, closing_stock AS new_closing_stock
+FROM feed WHERE change_type <> 'DELETE'"""
 _add("diff_change_log", """
 SELECT now AS change_timestamp, location, item, date, 'INSERT' AS change_type, CAST(NULL AS BIGINT) AS old_closing_stock,
   closing_stock AS new_closing_stock FROM clock CROSS JOIN old_stock
@@ -431,8 +441,7 @@ SELECT now + INTERVAL 1 HOUR, n.location, n.item, n.date, CASE WHEN o.date IS NU
 FROM clock CROSS JOIN new_stock n LEFT JOIN old_stock o ON o.date = n.date AND o.location = n.location AND o.item = n.item
 WHERE o.date IS NULL OR (o.opening_stock, o.received, o.issued, o.closing_stock, o.lead_time_days)
   IS DISTINCT FROM (n.opening_stock, n.received, n.issued, n.closing_stock, n.lead_time_days)""")
-for _name in ("change_log", "stream_change_log"):
-    _add(_name, "SELECT * FROM change_log")
+ORACLES["change_log"] = ORACLES["stream_change_log"] = _CHANGE_LOG
 _add("new_alerts", f"""
 SELECT now AS alert_timestamp, m.location, m.item, {_r("days_of_cover")}, closing_stock, {_r("suggested_reorder")}
 FROM metrics m CROSS JOIN clock WHERE days_of_cover <= 2 AND NOT EXISTS (
