@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockhealth.llm import chat, crosspolytope, langid, licenses, mixing, pstable, secrets, sentencepiece_bpe, simhash, suffixes
+from stockhealth.llm import chat, crosspolytope, decontaminate, langid, licenses, mixing, pstable, secrets, sentencepiece_bpe, simhash, suffixes
 from stockhealth.llm.common import read_table
 
 MODEL = "piece_bpe_32k.model"
@@ -87,7 +87,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents", ["doc_id", "text"]), read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    return decontaminate.report(docs, items)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_simhash, op2_suffixes, op3_chat, op4_sentencepiece, op5_secrets, op6_langid, op7_crosspolytope, op8_pstable, op9_mixing, op10_licenses)
+        op1_simhash, op2_suffixes, op3_chat, op4_sentencepiece, op5_secrets, op6_langid, op7_crosspolytope, op8_pstable, op9_mixing, op10_licenses, op13_decontaminate)
 }

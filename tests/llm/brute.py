@@ -83,3 +83,46 @@ def op8(rows, cosine=0.93):
         n[a] += 1
         n[b] += 1
     return sorted((i, n[i], root[i], root[i] == i) for i in n)
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def op13(docs, items, window=10):
+    windows = []
+    for name, text in items:
+        w = plain_words(text)
+        size = min(window, len(w))
+        windows += [(w[i:i + size], name) for i in range(len(w) - size + 1)] if w else []
+    out = []
+    for d, text in docs:
+        w, hit, named = plain_words(text), set(), set()
+        for said, name in windows:
+            for i in range(len(w) - len(said) + 1):
+                if w[i:i + len(said)] == said:
+                    hit |= set(range(i, i + len(said)))
+                    named |= {str(name)} if name is not None else set()
+        out.append((d, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+def longest(docs, items, least):
+    """(item, word) -> (words, places, first place) of the longest match of each item suffix."""
+    out, texts = {}, [(d, plain_words(t)) for d, t in docs]
+    for name, text in items:
+        w = plain_words(text)
+        for s in range(len(w)):
+            best, places = 0, []
+            for d, words in texts:
+                for i in range(len(words)):
+                    n = 0
+                    while s + n < len(w) and i + n < len(words) and w[s + n] == words[i + n]:
+                        n += 1
+                    if n > best:
+                        best, places = n, []
+                    if n == best and n:
+                        places.append((d, i))
+            if best >= least:
+                out[str(name), s] = (best, len(places), min(places))
+    return out
