@@ -150,10 +150,13 @@ def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()), which
 
 
-def _shards(rows: Iterable[np.ndarray], tests: Tests) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts in shards: the numbers, and per piece its row, its place in the shard and its place in the row's text."""
+def _shards(rows: Iterable[np.ndarray], tests: Tests) -> Iterator[tuple[np.ndarray, ...]]:
+    """Texts in shards: the numbers, and per piece its row, its place in the shard, its place in the row's text and where it ends.
+
+    A piece overlaps the next one of its text by one word less than the longest item; a match that starts in the overlap is the next one's.
+    """
     size, over = tests.shard, max(tests.depth - 1, 0)
-    parts, row, place, start, total = [], [], [], [], 0
+    parts, row, place, start, end, total = [], [], [], [], [], 0
     gap = np.zeros(1, np.int32)
     for i, numbers in enumerate(rows):
         for at in range(0, max(len(numbers) - over, 1), size):
@@ -161,19 +164,20 @@ def _shards(rows: Iterable[np.ndarray], tests: Tests) -> Iterator[tuple[np.ndarr
             row.append(i)
             place.append(total)
             start.append(at)
+            end.append(total + (size if at + size < len(numbers) - over else len(piece)))
             parts += [piece, gap]
             total += len(piece) + 1
             if total >= size:
-                yield np.concatenate(parts), np.array(row), np.array(place), np.array(start)
-                parts, row, place, start, total = [], [], [], [], 0
+                yield np.concatenate(parts), np.array(row), np.array(place), np.array(start), np.array(end)
+                parts, row, place, start, end, total = [], [], [], [], [], 0
     if parts:
-        yield np.concatenate(parts), np.array(row), np.array(place), np.array(start)
+        yield np.concatenate(parts), np.array(row), np.array(place), np.array(start), np.array(end)
 
 
 def _hits(tests: Tests, rows: int, texts: Iterable[np.ndarray]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
     """Per row the runs of its text that are inside windows (they may overlap) and the names of the items."""
     runs, items = [[] for _ in range(rows)], [set() for _ in range(rows)]
-    for text, row, place, start in _shards(texts, tests):
+    for text, row, place, start, _ in _shards(texts, tests):
         order = suffix_array(text, len(tests.vocabulary), tests.depth)
         low, high, *_ = search(text, order, tests)
         found = np.flatnonzero(low < high)
@@ -311,7 +315,7 @@ def longest_matches(
     def run(tests: Tests, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ids = frame["_id"]
-            for text, row, place, start in _shards(map(tests.numbers, frame["_text"]), tests):
+            for text, row, place, start, end in _shards(map(tests.numbers, frame["_text"]), tests):
                 order = suffix_array(text, len(tests.vocabulary), tests.depth)
                 *_, length, low, high = search(text, order, tests)
                 found = np.flatnonzero(length >= least)
@@ -320,14 +324,19 @@ def longest_matches(
                 slots, which = _expand(low[found], high[found])
                 at = order[slots]
                 piece = np.searchsorted(place, at, side="right") - 1
-                out = pd.DataFrame({"which": which, "_id": ids.iloc[row[piece]].to_numpy(), "word": at - place[piece] + start[piece]})
-                # A match in the overlap of two pieces of one text is one place.
-                out = out.drop_duplicates().sort_values(["which", "_id", "word"])
-                n = out.groupby("which").size()
-                out = out.drop_duplicates("which").reset_index(drop=True)
+                own = at < end[piece]
+                at, which, piece = at[own], which[own], piece[own]
+                out = pd.DataFrame({"which": which, "_id": ids.iloc[row[piece]].to_numpy(), "_word": at - place[piece] + start[piece]})
+                out = out.sort_values(["which", "_id", "_word"])
+                out["n_places"] = out.groupby("which")["which"].transform("size")
+                out = out.drop_duplicates("which")
+                found = found[out.pop("which").to_numpy()]
+                if not len(found):
+                    continue
+                suffix = tests.starts[found]
                 yield pd.DataFrame({
-                    "item_id": [tests.names[o] for o in tests.owner[tests.starts[found]]], "item_word": tests.offset[found],
-                    "n_words": length[found], "n_places": n.to_numpy(), "_id": out["_id"], "_word": out["word"]})
+                    "item_id": [tests.names[o] for o in tests.owner[suffix]], "item_word": tests.offset[found], "n_words": length[found],
+                    "n_places": out["n_places"].to_numpy(), "_id": out["_id"].to_numpy(), "_word": out["_word"].to_numpy()})
 
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     schema = f"item_id string, item_word long, n_words long, n_places long, _id {kind}, _word long"

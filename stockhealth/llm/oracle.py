@@ -111,19 +111,19 @@ WITH item AS (
     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
   FROM benchmark
 ), win AS (
-  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[at + 1 : at + least(len(words), 10)], ' ') AS said
-  FROM item, unnest(range(greatest(len(words) - 9, 1))) AS t(at) WHERE len(words) > 0
+  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[k + 1 : k + least(len(words), 10)], ' ') AS said
+  FROM item, unnest(range(greatest(len(words) - 9, 1))) AS t(k) WHERE len(words) > 0
 ), doc AS (
   SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
   FROM documents
 ), place AS (
-  SELECT r, at, size, words[at + 1 : at + size] AS said FROM doc, unnest(range(len(words))) AS t(at), (SELECT DISTINCT size FROM win)
-  WHERE at + size <= len(words)
+  SELECT r, k, size, words[k + 1 : k + size] AS said FROM doc, unnest(range(len(words))) AS t(k), (SELECT DISTINCT size FROM win)
+  WHERE k + size <= len(words)
 ), found AS (
-  SELECT r, at, p.size, item_id FROM (SELECT r, at, size, array_to_string(said, ' ') AS said FROM place) p JOIN win USING (size, said)
+  SELECT r, k, p.size, item_id FROM (SELECT r, k, size, array_to_string(said, ' ') AS said FROM place) p JOIN win USING (size, said)
 ), hit AS (
-  SELECT r, count(DISTINCT w) AS n FROM found, unnest(range(at, at + size)) AS t(w) GROUP BY r
+  SELECT r, count(DISTINCT w) AS n FROM found, unnest(range(k, k + size)) AS u(w) GROUP BY r
 ), named AS (
   SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS items
   FROM (SELECT DISTINCT r, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r
