@@ -126,3 +126,21 @@ def longest(docs, items, least):
             if best >= least:
                 out[str(name), s] = (best, len(places), min(places))
     return out
+
+
+def op11(rows, top=16):
+    """(id, component) -> (n, deviation, size of the whitened value, explained) by an eigenvalue routine of numpy."""
+    ok = [(i, v) for i, v in rows if v is not None and len(v) and None not in v and all(map(math.isfinite, v))]
+    x = [(i, [math.floor(64 * c) + 1_000_000 for c in v]) for i, v in ok]
+    fit = sorted({tuple(v) for _, v in x})
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    centred = np.array([[float(n * c - s) / n for c, s in zip(v, sums)] for v in fit])
+    covariance = centred.T @ centred / n
+    e, u = np.linalg.eigh(covariance)
+    out = {}
+    for i, v in x:
+        d = [n * c - s for c, s in zip(v, sums)]
+        for k in range(1, min(top, int((e > 1e-9 * e[-1]).sum())) + 1):
+            whitened = float(np.array(d, float) / n @ u[:, -k]) / math.sqrt(e[-k])
+            out[i, k] = (n, sum(c * c for c in d), abs(whitened), e[-k] / np.trace(covariance))
+    return out
