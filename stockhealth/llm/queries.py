@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockhealth.llm import chat, crosspolytope, decontaminate, langid, licenses, mixing, pstable, secrets, sentencepiece_bpe, simhash, suffixes, whitening
+from stockhealth.llm import chat, crosspolytope, decontaminate, langid, licenses, mixing, prefixes, pstable, secrets, sentencepiece_bpe, simhash, suffixes, whitening
 from stockhealth.llm.common import read_table
 
 MODEL = "piece_bpe_32k.model"
@@ -91,6 +91,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents", ["doc_id", "text"]), read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
     return decontaminate.report(docs, items)
@@ -98,5 +102,5 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_simhash, op2_suffixes, op3_chat, op4_sentencepiece, op5_secrets, op6_langid, op7_crosspolytope, op8_pstable, op9_mixing, op10_licenses, op11_whitening, op13_decontaminate)
+        op1_simhash, op2_suffixes, op3_chat, op4_sentencepiece, op5_secrets, op6_langid, op7_crosspolytope, op8_pstable, op9_mixing, op10_licenses, op11_whitening, op12_trie, op13_decontaminate)
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -144,3 +145,25 @@ def op11(rows, top=16):
             whitened = float(np.array(d, float) / n @ u[:, -k]) / math.sqrt(e[-k])
             out[i, k] = (n, sum(c * c for c in d), abs(whitened), e[-k] / np.trace(covariance))
     return out
+
+
+def op12(rows, group=20, heads=4):
+    """Nodes of the trie of rebuilt conversations; rows are (conv, turn, role, text) without ties."""
+    turns = {}
+    for c, t, r, x in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        turns.setdefault(c, []).append((r or "", x or ""))
+    nodes, ends = {}, {}
+    for c in sorted(turns):
+        h = zlib.crc32(str(c).encode()) % heads
+        whole = tuple(turns.get(c - c % group, [])[:h] + turns[c][h:])
+        ends.setdefault(whole, []).append(c)
+        for d in range(len(whole) + 1):
+            nodes.setdefault(whole[:d], []).append(c)
+    out = []
+    for key, members in nodes.items():
+        below = [k for k in nodes if k[:len(key)] == key]
+        saved = sum((len(nodes[k]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", k[-1][1])) for k in below if k)
+        out.append((members[0], len(key), nodes[key[:-1]][0] if key else None, len(members), sum(len(k) == len(key) + 1 for k in below),
+                    sum(not any(len(x) == len(k) + 1 and x[:len(k)] == k for x in below) for k in below), saved,
+                    hashlib.sha256(",".join(map(str, ends.get(key, []))).encode()).hexdigest()))
+    return sorted(out, key=repr)
