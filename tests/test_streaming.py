@@ -16,21 +16,20 @@ def six(df):
     return rows(df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"}))
 
 
-@pytest.mark.parametrize("fold", [2, 16])
-def test_metrics_in_steps_out_of_order(spark, daily, fresh, monkeypatch, fold):
-    monkeypatch.setattr(S, "FOLD", fold)
+@pytest.mark.parametrize("buckets", [1, S.BUCKETS])
+def test_metrics_in_steps_out_of_order(spark, daily, fresh, buckets):
     source, target, state = fresh("in"), fresh("out"), fresh("state")
     part = F.pmod(F.hash("date"), F.lit(3))
     history = []
     for step in (2, 0, 1):  # days arrive in no order
         daily.where(part == step).coalesce(2).write.mode("append").parquet(source)
-        history += S.refresh(spark, source, target, state)
+        history += S.refresh(spark, source, target, state, buckets=buckets)
     assert six(S.current_metrics(spark, target)) == six(M.metrics(daily))
     assert six(S.current_at_risk(spark, target)) == six(M.at_risk(M.metrics(daily)))
     done = S.refresh_history(spark, history)
     assert done.agg(F.sum("input_rows")).first()[0] == daily.count()
     assert done.where("input_rows > 0").count() == 3
-    assert sum(p["numInputRows"] for p in S.refresh(spark, source, target, state)) == 0  # nothing new: nothing done
+    assert sum(p["numInputRows"] for p in S.refresh(spark, source, target, state, buckets=buckets)) == 0  # nothing new: nothing done
     compacted = fresh("compact")
     S.compact(spark, target, compacted)
     assert six(S.current_at_risk(spark, compacted)) == six(M.at_risk(M.metrics(daily)))
@@ -50,13 +49,13 @@ def test_metrics_with_nulls_and_repeats(spark, seed, fresh):
     assert six(S.current_metrics(spark, target)) == six(M.metrics(odd))
 
 
-@pytest.mark.parametrize("max_files", [1, 2, None])
-def test_change_log_is_independent_of_the_batches(spark, daily, fresh, max_files):
+@pytest.mark.parametrize("max_files, run_rows", [(1, 3), (2, S.RUN), (None, 5)])
+def test_change_log_is_independent_of_the_batches(spark, daily, fresh, max_files, run_rows):
     feed = inputs.change_feed(daily.where("location < 'Supplier#000000003'"))
     feed = feed.withColumn("location", F.when(F.col("item") < "M", F.col("location")))  # a null half of the key
     source, target, state = fresh("in"), fresh("out"), fresh("state")
     feed.repartition(5).write.parquet(source)  # rows of any time in every file
-    S.stream_change_log(spark, source, target, state, max_files=max_files).awaitTermination()
+    S.stream_change_log(spark, source, target, state, max_files=max_files, run_rows=run_rows).awaitTermination()
     assert rows(S.current_change_log(spark, target)) == rows(CH.change_log(feed))
 
 
@@ -70,8 +69,8 @@ def greedy(observed):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("max_files", [1, 2, None])
-def test_alert_cooldown_is_independent_of_the_batches(spark, fresh, max_files):
+@pytest.mark.parametrize("max_files, run_rows", [(1, 2), (2, S.RUN), (None, 1)])
+def test_alert_cooldown_is_independent_of_the_batches(spark, fresh, max_files, run_rows):
     start = datetime(2026, 1, 1)
     minutes = [0, 0, 30, 59, 60, 61, 119, 120, 121, 300, 359, 360]
     data = [(i * 10 + j, start + timedelta(minutes=m), loc, "x", 1.0, 2.0)
@@ -79,7 +78,7 @@ def test_alert_cooldown_is_independent_of_the_batches(spark, fresh, max_files):
     observed = spark.createDataFrame(data, ALERT_OBSERVATIONS)
     source, target, state = fresh("in"), fresh("out"), fresh("state")
     observed.repartition(5, F.hash("action_id")).write.parquet(source)
-    S.stream_alerts(spark, source, target, state, max_files=max_files).awaitTermination()
+    S.stream_alerts(spark, source, target, state, max_files=max_files, run_rows=run_rows).awaitTermination()
     assert sorted(r.action_id for r in S.current_alerts(spark, target).collect()) == greedy(observed.collect())
 
 
