@@ -91,7 +91,7 @@ def main() -> None:
         seconds[name] = best(lambda: build().write.format("noop").mode("overwrite").save(), runs)
 
     def stream() -> None:
-        S.refresh(spark, f"{root}/daily", shared_path(spark, "out"), shared_path(spark, "state"))
+        S.refresh(spark, f"{root}/daily", shared_path(spark, "out"), shared_path(spark, "state"), buckets=int(cpus))
 
     seconds["stream_metrics"] = best(stream, 1)
     rows = daily.count()

@@ -18,6 +18,7 @@ from stockhealth.schema import PAIR
 from stockhealth.session import pin, shared_path
 from stockhealth.sources import contracts, tables
 from stockhealth.streaming import queries as S
+from stockhealth.streaming.history import RefreshLog, read_history, refresh_status
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -348,9 +349,12 @@ def _stream_alerts(spark, sf_dir):
     return S.current_alerts(spark, target)
 
 
+_PARTS = 4  # buckets of the maintained tables: these have a few thousand pairs
+
+
 def _refreshed(spark: SparkSession, sf_dir: str) -> str:
     source, target, state = _staged(_daily(spark, sf_dir), "stock-stream")
-    S.stream_metrics(spark, source, target, state, max_files=1).awaitTermination()
+    S.stream_metrics(spark, source, target, state, max_files=1, buckets=_PARTS).awaitTermination()
     return target
 
 
@@ -362,7 +366,7 @@ query("stream_at_risk")(lambda spark, d: S.current_at_risk(spark, _refreshed(spa
 _REFRESHES = ((0, 90), (30, 60), (60, 30), (100, 0))
 
 
-def _in_refreshes(spark: SparkSession, sf_dir: str) -> tuple[str, list[dict]]:
+def _in_refreshes(spark: SparkSession, sf_dir: str, log: RefreshLog | None = None) -> tuple[str, list[dict]]:
     """A stock folder refreshed after each arrival, alerts included; the target folder and the progress."""
     daily = pin(_daily(spark, sf_dir), "ledger")
     now = _actions(spark, sf_dir).agg(F.max("action_timestamp")).first()[0]
@@ -372,7 +376,7 @@ def _in_refreshes(spark: SparkSession, sf_dir: str) -> tuple[str, list[dict]]:
     for minutes, back in _REFRESHES:
         until, at = newest - timedelta(days=back), now + timedelta(minutes=minutes)
         daily.where((F.col("date") > after) & (F.col("date") <= until)).write.mode("append").parquet(source)
-        history += S.refresh(spark, source, target, state, alert_clock=lambda at=at: at)
+        history += S.refresh(spark, source, target, state, alert_clock=lambda at=at: at, buckets=_PARTS, log=log, name="inventory_metrics_dt")
         after = until
     return target, history
 
@@ -382,6 +386,43 @@ query("refresh_history")(lambda spark, d: S.refresh_history(spark, _in_refreshes
                          .where("input_rows > 0").select("batch_id", "input_rows"))
 
 
+def _history_table(spark: SparkSession, sf_dir: str) -> str:
+    path = shared_path(spark, "refresh-history")
+    _in_refreshes(spark, sf_dir, RefreshLog(spark, path))
+    return path
+
+
+@query("refresh_log")
+def _refresh_log(spark, sf_dir):
+    """The stored history of all refreshes: an epoch each, and the end of each run."""
+    rows = read_history(spark, _history_table(spark, sf_dir)).where("batch_id IS NULL OR input_rows > 0")
+    return rows.select("query_name", "state", "batch_id", "input_rows", F.col("error").isNotNull().alias("failed"))
+
+
+@query("refresh_status")
+def _refresh_status(spark, sf_dir):
+    """Status half a minute after the last refresh, by the history alone."""
+    history = read_history(spark, _history_table(spark, sf_dir)).where("batch_id IS NULL OR input_rows > 0")
+    last = history.where("state = 'FINISHED'").agg(F.max("started_at") + F.make_dt_interval(secs=F.lit(30))).scalar()
+    return refresh_status(history, last).select("query_name", "state", "epochs", "failures", "input_rows", "lag_seconds", "within_target")
+
+
+@query("stream_rebuild")
+def _stream_rebuild(spark, sf_dir):
+    """A full refresh after half of the rows came through the stream, and one more epoch after it."""
+    daily = pin(_daily(spark, sf_dir), "ledger")
+    source, target, state = (shared_path(spark, f"rebuilt-{name}") for name in ("in", "out", "state"))
+    part = F.pmod(F.hash("date"), F.lit(4))
+    daily.where(part < 2).write.parquet(source)
+    S.refresh(spark, source, target, state, buckets=_PARTS)
+    daily.where(part == 2).write.mode("append").parquet(source)
+    S.rebuild(spark, source, target, state, buckets=_PARTS)
+    S.vacuum(spark, target)
+    daily.where(part == 3).write.mode("append").parquet(source)
+    S.refresh(spark, source, target, state, buckets=_PARTS)
+    return S.current_metrics(spark, target)
+
+
 @query("freshness")
 def _freshness(spark, sf_dir):
     daily = _daily(spark, sf_dir)

@@ -461,6 +461,16 @@ _add("refresh_history", """
 SELECT CAST(step AS BIGINT) AS batch_id, COUNT(*) AS input_rows FROM (
   SELECT MIN(r.step) AS step FROM stock_daily d JOIN refreshes r ON d.date <= (SELECT MAX(date) FROM stock_daily) - r.back_days
   GROUP BY d.date, d.location, d.item) GROUP BY step""")
+_STEPS = """SELECT CAST(step AS BIGINT) AS batch_id, COUNT(*) AS input_rows FROM (
+  SELECT MIN(r.step) AS step FROM stock_daily d JOIN refreshes r ON d.date <= (SELECT MAX(date) FROM stock_daily) - r.back_days
+  GROUP BY d.date, d.location, d.item) GROUP BY step"""
+_add("refresh_log", f"""
+SELECT 'inventory_metrics_dt' AS query_name, 'SUCCEEDED' AS state, batch_id, input_rows, FALSE AS failed FROM ({_STEPS})
+UNION ALL SELECT 'inventory_metrics_dt', 'FINISHED', NULL, NULL, FALSE FROM refreshes""")
+_add("refresh_status", f"""
+SELECT 'inventory_metrics_dt' AS query_name, 'FINISHED' AS state, COUNT(*) AS epochs, CAST(0 AS BIGINT) AS failures,
+  CAST(SUM(input_rows) AS BIGINT) AS input_rows, 30.0::DOUBLE AS lag_seconds, TRUE AS within_target FROM ({_STEPS})""")
+_add("stream_rebuild", f"SELECT {_METRICS} FROM metrics")
 _add("freshness", """
 SELECT 'stock_daily' AS table_name, COUNT(*) AS row_count, MAX(date) AS data_date, CAST(0 AS BIGINT) AS days_behind FROM stock_daily
 UNION ALL SELECT name, COUNT(*), MAX(date), date_diff('day', MAX(date), (SELECT MAX(date) FROM stock_daily))

@@ -20,9 +20,9 @@ NEVER, NO_TIME = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 class Runs:
     """The ordered rows of one key: a structured array cut into runs. ``order`` names its fields, ``id`` numbers rows by arrival."""
 
-    def __init__(self, kind: np.dtype, order: list[str], index, runs, size: int = RUN):
-        self.kind, self.order, self.state, self.store, self.size = kind, order, index, runs, size
-        self.entry = np.dtype([("run", "<i8"), ("alert", "<i8"), ("first", kind), ("last", kind)])
+    def __init__(self, kind: np.dtype, order: list[str], index, runs, size: int = RUN, ttl: int | None = None):
+        self.kind, self.order, self.state, self.store, self.size, self.ttl = kind, order, index, runs, size, ttl
+        self.entry = np.dtype([("run", "<i8"), ("held", "<i8"), ("newest", "<i8"), ("alert", "<i8"), ("first", kind), ("last", kind)])
         self.next_id, self.next_run, self.index = 0, 0, np.empty(0, self.entry)
         if index.exists():
             blob = index.get()[0]
@@ -34,11 +34,12 @@ class Runs:
         return rows[np.lexsort([rows[f] for f in reversed([*self.order, "id"])])]
 
     def run(self, at: int) -> np.ndarray:
-        """The rows of a run. Of a run that has outlived its time to live, its last row is known."""
+        """The rows of a run. Of a run that has outlived its time to live, the last row is known."""
         if at not in self.loaded:
-            key = (int(self.index["run"][at]),)
-            held = self.store.getValue(key)
-            self.loaded[at] = np.frombuffer(held[0], self.kind).copy() if held else self.index["last"][at:at + 1].copy()
+            if self.index["held"][at]:
+                self.loaded[at] = np.frombuffer(self.store.getValue((int(self.index["run"][at]),))[0], self.kind).copy()
+            else:
+                self.loaded[at] = self.index["last"][at:at + 1].copy()
         return self.loaded[at]
 
     def add(self, rows: np.ndarray) -> list[int]:
@@ -80,11 +81,15 @@ class Runs:
                     one["run"], self.next_run = self.next_run, self.next_run + 1
                 else:
                     one["run"] = self.index["run"][at]
-                one["first"], one["last"] = part[0], part[-1]
+                one["first"], one["last"], one["held"], one["newest"] = part[0], part[-1], 1, part["at"].max()
                 one["alert"] = part["at"][part["alert"] == 1].max() if "alert" in self.kind.names and part["alert"].any() else NEVER
                 self.store.updateValue((int(one["run"][0]),), (part.tobytes(),))
                 entries.append(one)
         self.index = np.concatenate(entries)
+        if self.ttl is not None:
+            for entry in self.index[(self.index["held"] == 1) & (self.index["newest"] < self.index["newest"].max() - self.ttl)]:
+                self.store.removeKey((int(entry["run"]),))
+            self.index["held"][self.index["newest"] < self.index["newest"].max() - self.ttl] = 0
         self.state.update((np.array([self.next_id, self.next_run], "<i8").tobytes() + self.index.tobytes(),))
 
 
@@ -116,15 +121,15 @@ CHANGE_OUT = ("location string, item string, day long, at long, kind long, has_s
 class ChangeLog(StatefulProcessor):
     """Every change with the stock of the version before it; a row that comes late corrects the one after it."""
 
-    def __init__(self, ttl_ms: int | None = None, size: int = RUN):
-        self.ttl_ms, self.size = ttl_ms, size
+    def __init__(self, ttl: timedelta | None = None, size: int = RUN):
+        self.ttl, self.size = None if ttl is None else ttl // timedelta(microseconds=1), size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.index = handle.getValueState("index", "blob binary")
-        self.runs = handle.getMapState("runs", "run long", "blob binary", self.ttl_ms)
+        self.runs = handle.getMapState("runs", "run long", "blob binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = Runs(CHANGE, ["day", "at", "kind", "has_stock", "stock"], self.index, self.runs, self.size)
+        held = Runs(CHANGE, ["day", "at", "kind", "has_stock", "stock"], self.index, self.runs, self.size, self.ttl)
         fresh = held.next_id
         touched = held.add(_arrived(rows, CHANGE))
         for at in touched:
@@ -153,12 +158,12 @@ ALERT_OUT = ("location string, item string, at long, has_action long, action lon
 class Cooldown(StatefulProcessor):
     """Observations that alert. A late one may change the chain of alerts after it, up to the first alert that both chains share."""
 
-    def __init__(self, wait: timedelta, ttl_ms: int | None = None, size: int = RUN):
-        self.wait, self.ttl_ms, self.size = wait // timedelta(microseconds=1), ttl_ms, size
+    def __init__(self, wait: timedelta, size: int = RUN):
+        self.wait, self.size = wait // timedelta(microseconds=1), size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.index = handle.getValueState("index", "blob binary")
-        self.runs = handle.getMapState("runs", "run long", "blob binary", self.ttl_ms)
+        self.runs = handle.getMapState("runs", "run long", "blob binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = Runs(ALERT, ["at", "has_action", "action"], self.index, self.runs, self.size)

@@ -310,15 +310,14 @@ def stream_change_log(
     """Log inserts and updates with the previous closing stock by time, whatever the order of arrival.
 
     The versions of a pair's rows are in keyed state, so an epoch reads its own rows and no earlier ones; a late row corrects the row
-    after it. With ``ttl`` runs of versions that were not touched for so long keep their last version only: a late row is then
-    compared with that one. The default forgets nothing. Result: ``current_change_log``.
+    after it. With ``ttl`` a pair's runs of versions that are all older, by their own time, than its newest one less ``ttl`` keep
+    just their last version: later rows are right, and a late row among them is compared with that one. The default forgets nothing. Result: ``current_change_log``.
     """
     rows = change_stream(spark, source, max_files).where(F.col("change_type").isin("INSERT", "UPDATE")).select(
         *PAIR, F.coalesce(F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long"), F.lit(NEVER)).alias("day"),
         F.coalesce(_micros("change_timestamp"), F.lit(NEVER)).alias("at"), (F.col("change_type") == "UPDATE").cast("long").alias("kind"),
         F.col("closing_stock").isNotNull().cast("long").alias("has_stock"), F.coalesce("closing_stock", F.lit(0)).alias("stock"))
-    processor = ChangeLog(ttl // timedelta(milliseconds=1) if ttl else None, run_rows)
-    return _start(_keyed(rows, processor, CHANGE_OUT, "processingTime" if ttl else "none"), _logging(target), checkpoint, trigger)
+    return _start(_keyed(rows, ChangeLog(ttl, run_rows), CHANGE_OUT), _logging(target), checkpoint, trigger)
 
 
 def current_change_log(spark: SparkSession, target: str) -> DataFrame:
@@ -348,7 +347,7 @@ def stream_alerts(
         has("suggested_reorder").alias("has_reorder"), F.coalesce("suggested_reorder", F.lit(0.0)).alias("reorder"))
     wait = timedelta(hours=policy.cooldown_hours)
     if watermark is None:
-        told = _keyed(rows, Cooldown(wait, size=run_rows), ALERT_OUT)
+        told = _keyed(rows, Cooldown(wait, run_rows), ALERT_OUT)
     else:
         timed = rows.where(F.col("at") != NO_TIME).withColumn("event", F.timestamp_micros("at")).withWatermark("event", watermark)
         told = _keyed(timed, TimedCooldown(wait), ALERT_OUT, "eventTime")
