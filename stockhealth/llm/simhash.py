@@ -226,7 +226,7 @@ def links(classes: DataFrame, lanes: Sequence[str], masks: list[list[int]], radi
     rows = classes.select("_node", *lanes, F.inline(F.array(*keys)))
     cell = ["_table", "_key", "_x", "_y"]
     sharded = cells(rows, ["_table", "_key"], BLOCK, F.xxhash64("_node")).drop("_b")
-    sharded = sharded.repartition(*cell).sortWithinPartitions(*cell)
+    sharded = sharded.repartition(*cell).sortWithinPartitions(*cell, "_node")
     return sharded.mapInPandas(_search(lanes, radius, cell), "a long, b long")
 
 
@@ -274,28 +274,30 @@ def _sets(words: int, lanes: Sequence[str], keys: Sequence[str]):
 
 
 def _candidates(lanes: Sequence[str], radius: int, keys: Sequence[str]):
-    """Edges that connect the rows of a shard within the radius: so wide a radius leaves a BK-tree nothing to skip."""
+    """Edges that connect the rows of a shard within the radius: so wide a radius leaves a BK-tree nothing to skip.
+
+    Rows are sorted by shard and node. What the shards of a chunk link is joined first, so a chunk sends at most one edge for each
+    node, to the smallest node that it is linked with.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, keys, _ROWS):
             values = frame[list(keys)].to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], (values[1:] != values[:-1]).any(axis=1))))
             prints = np.ascontiguousarray(frame[list(lanes)].to_numpy(np.int64).T).view(np.uint64)
-            label = np.arange(len(frame))
+            nodes, place = np.unique(frame["_node"].to_numpy(), return_inverse=True)
+            label = np.arange(len(nodes))
             for low, high in zip(starts.tolist(), np.append(starts[1:], len(frame)).tolist()):
-                mine = label[low:high] - low
                 for at in range(0, high - low, 256):
                     some = slice(low + at, min(low + at + 256, high))
                     far = np.zeros((some.stop - some.start, high - low - at), np.uint16)
                     for lane in prints:
                         far += np.bitwise_count(lane[some, None] ^ lane[None, low + at:high])
                     a, b = np.nonzero(far <= radius)
-                    a, b = a + at, b + at
-                    apart = mine[a] != mine[b]
-                    mine = join_labels(mine, a[apart], b[apart])
-                label[low:high] = mine + low
-            node = frame["_node"].to_numpy()
-            linked = label != np.arange(len(frame))
-            yield pd.DataFrame({"a": node[linked], "b": node[label[linked]]})
+                    a, b = place[low + at + a], place[low + at + b]
+                    apart = label[a] != label[b]
+                    label = join_labels(label, a[apart], b[apart]) if apart.any() else label
+            linked = label != np.arange(len(nodes))
+            yield pd.DataFrame({"a": nodes[linked], "b": nodes[label[linked]]})
 
     return run
 
@@ -364,7 +366,7 @@ def first_of_alike(docs: DataFrame, keys: Sequence[str], text_col: str = "text",
     spread = spread.join(hot, "_bucket", "left").withColumn("_m", blocks) if n else spread.withColumn("_m", F.lit(1))
     spread = _paired(spread).select("_node", *names, "_bucket", "_cell")
     cell = ["_bucket", "_cell"]
-    sharded = spread.repartition(*cell).sortWithinPartitions(*cell)
+    sharded = spread.repartition(*cell).sortWithinPartitions(*cell, "_node")
     roots = components(sharded.mapInPandas(_candidates(names, RADIUS, cell), "a long, b long"))
 
     members = classes.join(roots, classes["_node"] == roots["node"], "left").select("_node", "_key.*", "_size", F.coalesce("root", "_node").alias("_group"))
@@ -374,7 +376,7 @@ def first_of_alike(docs: DataFrame, keys: Sequence[str], text_col: str = "text",
     members = members.join(sizes.select("_group", blocks.alias("_m")), "_group")
     texts = members.join(rows, keys).select("_group", "_m", "_node", "_text")
     cell = ["_group", "_cell"]
-    texts = _paired(texts).select(*cell, "_node", "_text").repartition(*cell).sortWithinPartitions(*cell)
+    texts = _paired(texts).select(*cell, "_node", "_text").repartition(*cell).sortWithinPartitions(*cell, "_node")
     found = components(texts.mapInPandas(_alike(words, percent, cell), "a long, b long"))
     whole = classes.join(found, classes["_node"] == found["node"], "left").select("_key", F.coalesce("root", "_node").alias("_group"))
     return whole.groupBy("_group").agg(F.min("_key").alias("_key")).select("_key.*")
