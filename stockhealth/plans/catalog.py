@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockhealth.functions import columns as C
+from stockhealth.functions.sql_functions import register_text_functions
 from stockhealth.operators import actions as A
 from stockhealth.operators import changes, forecast as FC, metrics as M, narrative as N, reports as R
 from stockhealth.operators.keyed import with_position
 from stockhealth.plans import inputs
-from stockhealth.schema import PAIR
+from stockhealth.schema import PAIR, STOCK_DAILY
 from stockhealth.session import pin, shared_path
 from stockhealth.sources import contracts, tables
 from stockhealth.streaming import queries as S
@@ -125,6 +126,39 @@ def _ingest_validate(spark, sf_dir):
     return contracts.validate_upload(tables.read_upload_csv(spark, path))
 
 
+def _spoiled_upload(daily: DataFrame, path: str) -> None:
+    """Lines without a header; of every ten suppliers one has a bad number, one a bad day, one a field too few and one a field too many."""
+    digit = inputs.suppkey_of(F.col("location")) % 10
+    fields = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in STOCK_DAILY.names}
+    fields["issued"] = F.when(digit == 3, "n/a").otherwise(fields["issued"])
+    fields["date"] = F.when(digit == 4, "soon").otherwise(fields["date"])
+    line = F.concat_ws(",", *[fields[c] for c in STOCK_DAILY.names])
+    short = F.concat_ws(",", *[fields[c] for c in STOCK_DAILY.names[:-1]])
+    daily.select(F.when(digit == 5, short).when(digit == 6, F.concat(line, F.lit(",x"))).otherwise(line)).write.text(path)
+
+
+@query("ingest_quarantine")
+def _ingest_quarantine(spark, sf_dir):
+    """The bad lines of an upload with their reasons, and how many rows of each location went on."""
+    path, stock, bad = (shared_path(spark, f"upload-{n}") for n in ("in", "stock", "bad"))
+    _spoiled_upload(_daily(spark, sf_dir), path)
+    tables.load_upload(spark, path, stock, bad, STOCK_DAILY.names)
+    good = tables.read_stock(spark, stock).groupBy("location").agg(F.count(F.lit(1)).alias("n"))
+    lines = spark.read.parquet(bad).select("line", "reason", F.lit(None).cast("long").alias("n"))
+    return lines.unionByName(good.select(F.col("location").alias("line"), F.lit("loaded").alias("reason"), "n"))
+
+
+@query("src_seed")
+def _src_seed(spark, sf_dir):
+    """The table holds other rows before; the seed replaces them."""
+    source, path = shared_path(spark, "seed-csv"), shared_path(spark, "seeded")
+    daily = _daily(spark, sf_dir)
+    tables.export_csv(daily, source)
+    tables.append_stock(daily.where("item = 'PROMO'"), path)
+    tables.seed(spark, source, path)
+    return tables.read_stock(spark, path)
+
+
 @query("ingest_append")
 def _ingest_append(spark, sf_dir):
     path = shared_path(spark, "stock")
@@ -284,6 +318,18 @@ on(_metrics, "summary_prompt", N.summary_prompt)
 on(_metrics, "summary_prompt_lines", N.summary_prompt_lines)
 
 
+@query("text_functions")
+def _text_functions(spark, sf_dir):
+    """Both texts by the catalog's SQL functions, for all pairs and some that are not in the snapshot."""
+    snapshot = pin(_metrics(spark, sf_dir), "metrics")
+    register_text_functions(snapshot)
+    snapshot.select(*PAIR).createOrReplaceTempView("asked_pairs")
+    return spark.sql("""
+        SELECT location, item, explain_reorder(location, item) AS text FROM asked_pairs
+        UNION ALL SELECT location, concat(item, ' (old)'), explain_reorder(location, concat(item, ' (old)')) FROM asked_pairs
+        UNION ALL SELECT 'all', 'all', inventory_summary_prompt()""")
+
+
 @query("explain_reorder")
 def _explain_reorder(spark, sf_dir):
     snapshot = _metrics(spark, sf_dir)
@@ -311,6 +357,18 @@ on(_daily, "snapshot_diff", lambda d: changes.snapshot_diff(*inputs.snapshot_pai
 on(_daily, "change_log", lambda d: changes.change_log(inputs.change_feed(d)))
 
 
+@query("diff_versions")
+def _diff_versions(spark, sf_dir):
+    """Two stored versions that differ in every other quarter; a day of the stored tables is the first of its quarter."""
+    old, new = inputs.snapshot_pair(pin(_daily(spark, sf_dir), "ledger"))
+    quarterly = lambda df: df.withColumns({"item": F.concat("item", F.lit(" "), F.col("date").cast("string")), "date": F.trunc("date", "quarter")})
+    old, new, touched = quarterly(old), quarterly(new), F.quarter("date") % 2 == 0
+    before, after = shared_path(spark, "version"), shared_path(spark, "version")
+    changes.save_version(old, before)
+    changes.save_version(old.where(~touched).unionByName(new.where(touched)), after)
+    return changes.diff_versions(spark, before, after)
+
+
 @query("diff_change_log")
 def _diff_change_log(spark, sf_dir):
     """A first load and a second version, captured as row changes and logged."""

@@ -191,7 +191,7 @@ _BY_RISK = "ORDER BY rank, days_of_cover NULLS LAST, location, item"
 _LOG = "action_id, action_timestamp, user_id, action_type, location, item, priority, days_of_cover, suggested_reorder"
 
 # --- sources, sinks, contracts
-for _name in ("src_csv", "src_table", "ingest_append"):
+for _name in ("src_csv", "src_table", "src_seed", "ingest_append"):
     _add(_name, f"SELECT {_DAILY} FROM stock_daily")
 _add("src_coerce", f"""
 SELECT location, item, CAST(closing_stock AS DOUBLE) AS closing_stock,
@@ -203,6 +203,14 @@ SELECT date, location, item, CAST(closing_stock AS DOUBLE) AS closing_stock, {_r
   {_r("potential_waste", "optimal_stock")}, {_FORECAST}, 'view' AS source FROM attached""")
 _add("ingest_validate", """
 SELECT 'received' AS missing_columns, COUNT(*) AS row_count, COUNT(*) FILTER (suppkey % 10 IN (3, 4)) AS bad_rows FROM supp""")
+_add("ingest_quarantine", """
+SELECT CASE suppkey % 10 WHEN 5 THEN head WHEN 6 THEN head || ',' || lead || ',x' ELSE head || ',' || lead END AS line,
+  CASE suppkey % 10 WHEN 3 THEN 'issued: n/a' WHEN 4 THEN 'date: soon' ELSE 'number of fields' END AS reason, CAST(NULL AS BIGINT) AS n
+FROM (SELECT suppkey, COALESCE(CAST(lead_time_days AS VARCHAR), '') AS lead,
+    CASE suppkey % 10 WHEN 4 THEN 'soon' ELSE CAST(date AS VARCHAR) END || ',' || location || ',' || item || ',' || opening_stock || ',' || received
+    || ',' || CASE suppkey % 10 WHEN 3 THEN 'n/a' ELSE CAST(issued AS VARCHAR) END || ',' || closing_stock AS head FROM supp)
+WHERE suppkey % 10 BETWEEN 3 AND 6
+UNION ALL SELECT location, 'loaded', COUNT(*) FROM supp WHERE suppkey % 10 NOT BETWEEN 3 AND 6 GROUP BY location""")
 _add("export_priority", f"SELECT {_METRICS} FROM at_risk")
 _add("export_po", f"SELECT priority, item, location, {_r('suggested_reorder')}, lead_time_days FROM orders")
 _add("dq_contract", " UNION ALL ".join(
@@ -396,6 +404,9 @@ SELECT q.location, q.item, {_EXPLAIN} FROM (
   SELECT location, item FROM metrics UNION ALL
   SELECT location, item || ' (old)' FROM metrics WHERE CAST(substring(location, 10) AS BIGINT) % 10 = 0) q
 LEFT JOIN facts f ON f.location = q.location AND f.item = q.item""")
+_add("text_functions", ORACLES["explain_reorder"].removeprefix(_PREFIX).replace("AS explanation", "AS text").replace(
+    " WHERE CAST(substring(location, 10) AS BIGINT) % 10 = 0", "") + "\nUNION ALL SELECT 'all', 'all', ("
+    + ORACLES["summary_prompt"].removeprefix(_PREFIX) + ")")
 _add("explain_critical", f"""
 SELECT q.location, q.item, ROUND(q.days_of_cover, 6) AS days_of_cover, ROUND(q.suggested_reorder, 6) AS suggested_reorder,
   {_EXPLAIN}, ROW_NUMBER() OVER (ORDER BY q.days_of_cover, q.location, q.item) AS pos
@@ -424,6 +435,9 @@ sides AS (
 SELECT CASE WHEN n_old = 0 THEN 'INSERT' WHEN n_new = 0 THEN 'DELETE' ELSE 'UPDATE' END AS change_type, date, location, item,
   old_closing_stock, new_closing_stock
 FROM sides WHERE old_row IS DISTINCT FROM new_row"""
+ORACLES["diff_versions"] = f"""
+SELECT change_type, CAST(date_trunc('quarter', date) AS DATE) AS date, location, item || ' ' || CAST(date AS VARCHAR) AS item,
+  old_closing_stock, new_closing_stock FROM ({ORACLES["snapshot_diff"]}) WHERE quarter(date) % 2 = 0"""
 _CHANGE_LOG = f"""{_STOCK},
 feed AS (
   SELECT location, item, date, closing_stock + v AS closing_stock, CAST(date AS TIMESTAMP) + v * INTERVAL 1 HOUR AS change_timestamp,

@@ -4,16 +4,21 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockhealth.schema import ACTION_STATUSES, ACTION_TYPES, METRIC_COLUMNS, PAIR, PRIORITIES, STOCK_DAILY
+from stockhealth.session import pin
+
+
+def missing_columns_of(present: list[str], required: list[str] | None = None) -> list[str]:
+    return [c for c in required or STOCK_DAILY.fieldNames() if c not in set(present)]
 
 
 def missing_columns(df: DataFrame, required: list[str] | None = None) -> list[str]:
     """Required upload columns that are absent, in contract order."""
-    present = set(df.columns)
-    return [c for c in required or STOCK_DAILY.fieldNames() if c not in present]
+    return missing_columns_of(df.columns, required)
 
 
 def validate_upload(df: DataFrame) -> DataFrame:
@@ -29,6 +34,31 @@ def validate_upload(df: DataFrame) -> DataFrame:
     )
 
 
+def split_upload(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """An uploaded CSV as its good rows, in the contract's types, and its bad lines with the reason.
+
+    Bad is a line with too few or too many fields, or with a value that does not fit its type; every such line comes back as it
+    was sent. A quote inside a quoted field is doubled. ``columns`` names the fields of files without a header. A required column that is absent is an error.
+    """
+    names = columns or spark.read.option("header", True).csv(path).columns
+    missing = missing_columns_of(names)
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    text = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    typed = T.StructType([STOCK_DAILY[c] if c in STOCK_DAILY.names else T.StructField(c, T.StringType()) for c in names])
+    reader = spark.read.schema(typed.add("_corrupt_record", T.StringType())).option("header", columns is None)
+    # All fields are parsed whatever is selected, or a bad value in a field that is not read would go unseen.
+    rows = pin(reader.option("mode", "PERMISSIVE").option("columnPruning", False).option("escape", '"').csv(path), "upload")  # parsed once for both halves
+    good = rows.where("_corrupt_record IS NULL").select(*STOCK_DAILY.names)
+    again = F.from_csv("line", F.lit(text.add("_ragged", T.StringType()).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")),
+                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_ragged", "escape": '"'})
+    bad = rows.where("_corrupt_record IS NOT NULL").select(F.col("_corrupt_record").alias("line")).withColumn("f", again)
+    misfits = [F.when(F.col(f"f.{c}").isNotNull() & F.col(f"f.{c}").try_cast(STOCK_DAILY[c].dataType).isNull(), F.concat(F.lit(f"{c}: "), F.col(f"f.{c}")))
+               for c in names if c in STOCK_DAILY.names]
+    reason = F.when(F.col("f._ragged").isNotNull(), F.lit("number of fields")).otherwise(F.concat_ws(", ", *misfits))
+    return good, bad.select("line", F.when(reason == "", "value").otherwise(reason).alias("reason"))
+
+
 def check_contract(df: DataFrame, required: list[str] = METRIC_COLUMNS) -> DataFrame:
     """Per required column: is it there (any letter case), and in how many rows it has a value.
 

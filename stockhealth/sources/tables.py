@@ -9,6 +9,7 @@ from stockhealth.operators.metrics import metrics_rounded
 from stockhealth.operators.reports import risk_order
 from stockhealth.policy import DEFAULT_POLICY, Policy
 from stockhealth.schema import NUMERIC_METRICS, STOCK_DAILY
+from stockhealth.sources.contracts import split_upload
 
 
 def read_stock_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -61,6 +62,13 @@ def append_stock(rows: DataFrame, path: str) -> None:
     typed_stock(rows).write.mode("append").parquet(path)
 
 
+def load_upload(spark: SparkSession, upload: str, path: str, quarantine: str, columns: list[str] | None = None) -> None:
+    """Append an upload's good rows to the stock table and its bad lines, with reason and upload, to the quarantine table."""
+    good, bad = split_upload(spark, upload, columns)
+    bad.withColumn("upload", F.lit(upload)).write.mode("append").parquet(quarantine)
+    append_stock(good, path)
+
+
 def read_stock(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STOCK_DAILY).parquet(path)
 
