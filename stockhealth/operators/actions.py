@@ -1,6 +1,7 @@
 """Action log: writing with defaults, reading, summaries and export logging."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -38,11 +39,13 @@ def log_actions(
     order: list[Column] | None = None,
     user: str | None = None,
     as_of: datetime | Column | None = None,
+    id_at: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Complete a batch of actions: next ids, time, user and status PENDING where not given.
 
     Ids continue after the highest one in ``existing`` and follow ``order`` without gaps; ``order``
-    may use columns of ``new`` that the log does not keep. One writer at a time may append to a log.
+    may use columns of ``new`` that the log does not keep. One writer at a time may append to such a log.
+    With ``id_at`` ids come from the position in ``order`` instead (``tables.append_as_writer``).
     """
     absent = [f for f in ACTION_LOGS.fields if f.name not in new.columns and f.name != "action_id"]
     padded = new.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent})
@@ -52,8 +55,10 @@ def log_actions(
         "status": F.coalesce(F.col("status"), F.lit("PENDING")),
     })
     order = order or [F.col(c).asc_nulls_last() for c in ("action_timestamp", "location", "item", "action_type")]
-    start = F.lit(0) if existing is None else F.coalesce(existing.agg(F.max("action_id")).scalar(), F.lit(0))
-    numbered = with_position(filled, order, "_n").withColumn("action_id", start + F.col("_n"))
+    if id_at is None:
+        start = F.lit(0) if existing is None else F.coalesce(existing.agg(F.max("action_id")).scalar(), F.lit(0))
+        id_at = lambda n: start + n
+    numbered = with_position(filled, order, "_n").withColumn("action_id", id_at(F.col("_n")))
     return numbered.select(*[F.col(f.name).cast(f.dataType) for f in ACTION_LOGS.fields])
 
 

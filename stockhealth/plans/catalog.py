@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 from functools import wraps
 
@@ -199,6 +200,15 @@ def _dq_row_counts(spark, sf_dir):
     })
 
 
+@query("dq_footers")
+def _dq_footers(spark, sf_dir):
+    """Counts and dates of the stored ledger and action log, by their Parquet footers."""
+    paths = {name: shared_path(spark, name.replace("_", "-")) for name in ("stock_daily", "action_logs")}
+    tables.append_stock(_daily(spark, sf_dir), paths["stock_daily"])
+    tables.append_actions(_actions(spark, sf_dir), paths["action_logs"])
+    return contracts.footer_profile(spark, paths)
+
+
 @query("dq_enums")
 def _dq_enums(spark, sf_dir):
     spoiled = _actions(spark, sf_dir).withColumns({
@@ -282,6 +292,23 @@ def _log_actions(spark, sf_dir):
     return A.log_actions(new, log, order, user=A.LOCAL_USER, as_of=inputs.latest_timestamp(log))
 
 
+@query("log_actions_writers")
+def _log_actions_writers(spark, sf_dir):
+    """Two writers append to one log at the same time: no id twice, ids ascend within a batch."""
+    log = pin(_actions(spark, sf_dir).withColumnRenamed("action_id", "_given").drop("user_id"), "batch")
+    path = shared_path(spark, "writers")
+
+    def write(n: int) -> None:
+        tables.append_as_writer(log.where(F.col("_given") % 2 == n), path, [F.col("_given").asc()], user=f"writer_{n}", block=1000)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, range(2)))
+    both = tables.read_actions(spark, path)
+    repeated = both.groupBy("action_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).scalar()
+    placed = with_position(both, [F.col("user_id").asc(), F.col("action_id").asc()])
+    return placed.select("pos", "user_id", "action_type", *PAIR, "status", repeated.alias("repeated_ids"))
+
+
 on(_actions, "action_json", lambda a: A.render_details(
     A.parse_details(a).select("action_id", A.detail("k", "long").alias("k"), "action_details")))
 on(_daily, "action_details_build", lambda d: d.select(

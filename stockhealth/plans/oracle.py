@@ -225,6 +225,9 @@ SELECT 'stock_daily' AS table_name, COUNT(*) AS row_count FROM stock_daily
 UNION ALL SELECT 'inventory_metrics', COUNT(*) FROM metrics UNION ALL SELECT 'inventory_at_risk', COUNT(*) FROM at_risk
 UNION ALL SELECT 'action_logs', COUNT(*) FROM action_logs
 UNION ALL SELECT 'critical_items_alerts', COUNT(*) FROM action_logs WHERE action_type = 'ACKNOWLEDGE_ALERT'""")
+_add("dq_footers", """
+SELECT 'stock_daily' AS table_name, COUNT(*) AS row_count, MIN(date) AS min_date, MAX(date) AS max_date FROM stock_daily
+UNION ALL SELECT 'action_logs', COUNT(*), CAST(NULL AS DATE), CAST(NULL AS DATE) FROM action_logs""")
 _add("dq_enums", """
 SELECT 'action_type' AS column_name, 'TEST_ACTION' AS bad_value, COUNT(*) AS n FROM action_logs WHERE user_id LIKE '%7'
 UNION ALL SELECT 'status', 'DONE', COUNT(*) FROM action_logs WHERE action_id % 11 = 0""")
@@ -342,6 +345,9 @@ _NEW_LOG = """(SELECT MAX(action_id) FROM action_logs) + ROW_NUMBER() OVER ({ord
 _add("log_actions", f"""
 SELECT {_NEW_LOG.format(order="ORDER BY location, item")}, 'ACKNOWLEDGE_ALERT' AS action_type, location, item,
   CAST(NULL AS VARCHAR) AS action_details, priority, {_r("days_of_cover", "suggested_reorder")}, 'PENDING' AS status FROM at_risk""")
+_add("log_actions_writers", """
+SELECT ROW_NUMBER() OVER (ORDER BY action_id % 2, action_id) AS pos, 'writer_' || (action_id % 2) AS user_id, action_type, location, item, status,
+  CAST(0 AS BIGINT) AS repeated_ids FROM action_logs""")
 _add("action_json", """
 SELECT action_id, CAST(json_extract_string(action_details, '$.k') AS BIGINT) AS k,
   CAST(json(action_details) AS VARCHAR) AS action_details FROM action_logs""")

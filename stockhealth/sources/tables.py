@@ -1,15 +1,20 @@
 """Reading and writing the stock table, metrics and exports."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockhealth.operators.actions import log_actions
 from stockhealth.operators.forecast import attach_forecast, forecast, metrics_forecast
 from stockhealth.operators.metrics import metrics_rounded
 from stockhealth.operators.reports import risk_order
 from stockhealth.policy import DEFAULT_POLICY, Policy
-from stockhealth.schema import NUMERIC_METRICS, STOCK_DAILY
+from stockhealth.schema import ACTION_LOGS, NUMERIC_METRICS, STOCK_DAILY
+from stockhealth.session import pin
 from stockhealth.sources.contracts import split_upload
+from stockhealth.sources.id_blocks import BLOCK, claim_blocks, id_at, next_block, open_claims
 
 
 def read_stock_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -87,6 +92,33 @@ def append_actions(actions: DataFrame, path: str) -> None:
     days.write.mode("append").partitionBy("action_date").parquet(path)
 
 
+def append_as_writer(
+    new: DataFrame, path: str, order: list[Column] | None = None, user: str | None = None, as_of: datetime | Column | None = None, block: int = BLOCK,
+) -> None:
+    """Complete a batch of actions and append it to a log that others may be appending to.
+
+    Ids follow ``order`` within blocks that no other writer gets, so they are unique, ascend within a batch and have gaps.
+    Every batch has a folder of its own, named by its first block: writers that commit to one folder would clear each other's files.
+    All writers of a log use this function and the same ``block``. A batch without rows leaves no trace.
+    """
+    spark = new.sparkSession
+    new = pin(new, "actions")  # counted and numbered from the same rows
+    rows = new.count()
+    if not rows:
+        return
+    open_claims(spark, path)
+    last = read_actions(spark, path).agg(F.max("action_id")).first()[0]
+    blocks = claim_blocks(spark, path, next_block(last, block), -(-rows // block))
+    done = log_actions(new, order=order, user=user, as_of=as_of, id_at=lambda n: id_at(n, blocks, block))
+    append_actions(done, f"{path.rstrip('/')}/id_block={blocks[0]}")
+
+
+def read_actions(spark: SparkSession, path: str) -> DataFrame:
+    """A log of several writers, with ``action_date`` for filters on days; what has no data yet is empty."""
+    log = spark.read.schema(ACTION_LOGS).option("basePath", path).parquet(path)
+    return log.drop("id_block")
+
+
 def append_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("append").parquet(path)
 

@@ -1,8 +1,10 @@
 """Readers, writers, contracts and the action log."""
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from stockhealth.operators import actions as A
 from stockhealth.operators import changes as CH
@@ -10,7 +12,7 @@ from stockhealth.operators import metrics as M
 from stockhealth.operators import narrative as N
 from stockhealth.operators import reports as R
 from stockhealth.schema import ACTION_LOGS, METRIC_COLUMNS, STOCK_DAILY
-from stockhealth.sources import contracts, tables
+from stockhealth.sources import contracts, id_blocks, tables
 
 
 def test_csv_in_any_column_order(spark, seed, fresh):
@@ -168,3 +170,51 @@ def test_new_alerts_cooldown(spark, seed):
     alerts = spark.createDataFrame([(datetime(2026, 1, 1, 11), "East", "ORS"), (datetime(2026, 1, 1, 11, 0, 1), "Central", "Amoxicillin")],
                                    "alert_timestamp timestamp_ntz, location string, item string")
     assert rows(CH.new_alerts(M.metrics(seed), alerts, at), "location") == [("East",)]
+
+
+def test_writers_at_the_same_time(spark, fresh):
+    path, block = fresh("log"), 3
+    new = spark.createDataFrame([("VIEW_DETAILS", i) for i in range(7)], "action_type string, k int")
+
+    def write(n):
+        tables.append_as_writer(new, path, [F.col("k").asc()], user=f"w{n}", as_of=datetime(2026, 1, 1, 8), block=block)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    write(4)
+    tables.append_as_writer(new.limit(0), path, block=block)
+    log = tables.read_actions(spark, path).collect()
+    assert len(log) == 35 and len({r.action_id for r in log}) == 35
+    blocks = {}
+    for r in log:
+        blocks.setdefault((r.action_id - 1) // block, set()).add(r.user_id)
+    assert len(blocks) == 15 and all(len(users) == 1 for users in blocks.values())
+    before = max(r.action_id for r in log if r.user_id != "w4")
+    assert min(r.action_id for r in log if r.user_id == "w4") > before
+
+
+def test_id_of_a_position(spark):
+    ids = spark.range(1, 8).select(id_blocks.id_at(F.col("id"), [2, 5, 6], 3)).collect()
+    assert [r[0] for r in ids] == [7, 8, 9, 16, 17, 18, 19]
+    assert [id_blocks.next_block(n, 3) for n in (None, 1, 3, 4)] == [0, 1, 1, 2]
+
+
+def test_blocks_are_claimed_once(spark, fresh):
+    path = fresh("log")
+    with ThreadPoolExecutor(8) as pool:
+        got = [b for blocks in pool.map(lambda _: id_blocks.claim_blocks(spark, path, 0, 5), range(8)) for b in blocks]
+    assert sorted(got) == list(range(40))
+
+
+def test_footer_profile_reads_no_column(spark, seed, fresh):
+    stock, log = fresh("stock"), fresh("log")
+    tables.append_stock(seed, stock)
+    tables.append_actions(A.log_actions(spark.createDataFrame(ACTION, ACTION_COLUMNS), as_of=datetime(2026, 1, 1, 8)), log)
+    got = contracts.footer_profile(spark, {"stock": stock, "log": log}, "date")
+    ends = seed.agg(F.min("date"), F.max("date")).first()
+    assert rows(got) == [("log", 1, None, None), ("stock", 18, *ends)]
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "PushedAggregation: [COUNT(*), MIN(date), MAX(date)]" in plan and "PushedAggregation: [COUNT(*)]" in plan
+    assert "FileScan" not in plan
+    assert rows(contracts.footer_profile(spark, {"log": log}, "action_date")) == [("log", 1, None, None)]
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
