@@ -5,18 +5,20 @@ the smallest hash among the ``GRAM``-byte strings of a window is its anchor; it
 alone, so equal windows have equal anchors at equal places. Windows with the same anchor are a piece of text.
 Marks of all pieces (anchor and digest of the bytes, no text) meet by anchor once. A piece that a smaller document has
 too goes as a whole, within a batch before the marks move, so an anchor of very many copies is no large key. What is left
-of an anchor are different pieces; only for these text is fetched, one for each, and they are sorted together in one suffix array.
-Neighbouring suffixes that agree in ``SIZE`` bytes are the equal windows, and the smallest id among them decides.
-
-The suffix array comes from a linear grouping: suffixes are grouped by their Lyndon prefix, found from right to left
-with pointers to the previous smaller suffix, so the groups are complete in descending order; then the groups are
-filled in ascending order, each suffix right after the one that follows its prefix. Nothing is renamed or sorted again.
+of an anchor are different pieces; only for these text is fetched, one for each, and they are sorted together in one suffix array;
+an anchor with too many of them is split into parts by the bytes around it first. Neighbouring suffixes that agree in
+``SIZE`` bytes are the equal windows, and the smallest id among them decides.
+
+The suffix array comes from a linear grouping. Suffixes start in groups by their first byte. Groups are processed in descending
+order: each suffix finds the previous smaller one by pointers that skip what is done, and that one's Lyndon prefix grows by the
+group's, once for each repeat, which moves it to a group right above its own. In the end a group holds the suffixes of one Lyndon prefix;
+then the groups are filled in ascending order, each suffix right after the one that follows its prefix. Nothing is renamed or compared again.
 """
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,42 +32,85 @@ from stockhealth.llm.simhash import chunks
 
 SIZE, GRAM = 50, 16
 GROUP = 2000  # pieces of an anchor that go into one suffix array at most
+RANGE = 7  # windows of a part, where a group has to be split
+_ARRAY = 1 << 15  # bytes of the small groups that share a suffix array
 _PART = 1 << 20  # bytes hashed at a time
 _LOW = np.uint64(0xFFFFFF)
 _TAGS = 1 << 12  # texts under one id are told apart by a tag
 
 
 def suffix_array(text: bytes) -> list[int]:
-    """Start of every suffix of ``text`` in ascending order."""
+    """Start of every suffix of ``text`` in ascending order, in time linear in its length."""
     n = len(text)
-    end, smaller = [0] * n, [-1] * (n + 1)
-    # Lyndon prefixes, from the right: a suffix takes over the following ones as long as its prefix is smaller,
-    # and becomes their previous smaller suffix.
-    for i in range(n - 1, -1, -1):
-        e, first = i + 1, text[i]
-        while e < n:
-            other = text[e]
-            if first > other or first == other and text[i:e] >= text[e:end[e]]:
-                break
-            smaller[e] = i
-            e = end[e]
-        end[i] = e
-    words = list(map(text.__getitem__, map(slice, range(n), end)))
-    sizes = Counter(words)
-    front, at = {}, 0
-    for w in sorted(sizes):
-        front[w] = at
-        at += sizes[w]
-    # In ascending order, the suffixes whose prefix ends where a placed suffix starts come next in their groups:
-    # the one before it and, up the pointers, those whose prefix ends there too.
-    order = [n] * (n + 1)
+    first = np.frombuffer(text, np.uint8)
+    by_byte = np.argsort(first, kind="stable")
+    sizes = np.bincount(first, minlength=256)
+    starts = np.cumsum(sizes) - sizes
+    rank = np.empty(n, np.int64)
+    rank[by_byte] = np.arange(n)
+    # The suffixes of a group stand together in ``at``; a group is named by its first place, where ``size`` has its size.
+    at, place, group, size = by_byte.tolist(), rank.tolist(), starts[first].tolist(), [0] * n
+    for start, many in zip(starts[sizes > 0].tolist(), sizes[sizes > 0].tolist()):
+        size[start] = many
+    end, smaller = list(range(1, n + 1)), [-1] * n
+
+    # Descending: all groups above ``low`` are done, and the pointers of their suffixes skip what is not smaller.
+    high = n
+    while high:
+        low = group[at[high - 1]]
+        if high - low == 1:
+            i = at[low]
+            p = i - 1
+            while p >= 0 and group[p] > low:
+                p = smaller[p]
+            smaller[i] = p
+            grown = ((p,),) if p >= 0 else ()
+            if grown:
+                end[p] = end[i]
+        else:
+            members = at[low:high]
+            length = end[members[0]] - members[0]
+            times: dict[int, list[int]] = {}
+            for i in members:
+                p = i - 1
+                while p >= 0 and group[p] > low:
+                    p = smaller[p]
+                if p >= 0 and group[p] == low:
+                    continue  # the repeat of a member before it, which is counted from there
+                smaller[i] = p
+                e, count = i + length, 1
+                while e < n and group[e] == low:
+                    smaller[e] = p
+                    e, count = e + length, count + 1
+                if p >= 0:
+                    end[p] = e
+                    times.setdefault(count, []).append(p)
+            grown = [times[c] for c in range(max(times, default=0), 0, -1) if c in times]
+        # The prefix of these suffixes has grown by as many repeats of the group's: they leave to a group right above their own.
+        for leaving in grown:
+            for p in leaving:
+                g = group[p]
+                size[g] = rest = size[g] - 1
+                k, other = place[p], at[g + rest]
+                at[k], at[g + rest], place[other], place[p] = other, p, k, g + rest
+            news = [g + size[g] for g in map(group.__getitem__, leaving)]
+            for p, g in zip(leaving, news):
+                group[p] = g
+                size[g] += 1
+        high = low
+
+    # Ascending: the suffixes whose prefix ends where a placed suffix starts come next in their groups: the one before
+    # it and, up the pointers, those whose prefix ends there too. ``group`` has the next place of each group at its start.
+    front, order = size, [n] * (n + 1)
+    for g in group:
+        front[g] = g
     for k in range(-1, n):
         s = order[k]
         i = s - 1
         while i >= 0 and end[i] == s:
-            w = words[i]
-            order[front[w]] = i
-            front[w] += 1
+            g = group[i]
+            order[front[g]] = i
+            front[g] += 1
             i = smaller[i]
     return order[:n]
 
@@ -102,36 +147,26 @@ def anchors(text: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray
     return np.concatenate(hashes), np.concatenate(packed)
 
 
-def smallest(pieces: list[bytes], ids: list[int], size: int = SIZE) -> list[list[int]]:
-    """For every window of every piece the smallest id of a piece that has the same window."""
+def repeated(pieces: list[bytes], ids: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte runs of the pieces whose windows are also in a piece of a smaller id: number of the piece, start and end."""
     # A zero byte between pieces keeps most Lyndon prefixes inside one.
     text = b"\0".join(pieces)
-    ends = np.cumsum([len(p) + 1 for p in pieces])
-    owner = np.repeat(np.arange(len(pieces)), [len(p) + 1 for p in pieces]).tolist()
-    last = (ends - 1).tolist()
-    first = (ends - 1 - [len(p) for p in pieces]).tolist()
-    out = [[i] * (len(p) - size + 1) for i, p in zip(ids, pieces)]
-
-    def close(group: list[tuple[int, int]]) -> None:
-        low = min(ids[p] for p, _ in group)
-        for p, at in group:
-            out[p][at] = low
-
-    group: list[tuple[int, int]] = []
-    before = b""
-    for s in suffix_array(text):
-        p = owner[s]
-        if s + size > last[p]:
-            continue  # no whole window starts here
-        window = text[s:s + size]
-        if window != before:
-            if len(group) > 1:
-                close(group)
-            group, before = [], window
-        group.append((p, s - first[p]))
-    if len(group) > 1:
-        close(group)
-    return out
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+    first = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(pieces)), lengths)
+    order = np.array(suffix_array(text), np.int64)
+    order = order[order + size < (first + lengths)[owner[order]]]  # a whole window of the piece starts here
+    gone = np.zeros(len(owner) + 1, np.int8)
+    if len(order):
+        window = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), size)[order]
+        new = np.concatenate(([True], (window[1:] != window[:-1]).any(axis=1)))
+        number = ids[owner[order]]
+        low = np.minimum.reduceat(number, np.flatnonzero(new))[np.cumsum(new) - 1]
+        gone[order] = low < number
+    edge = np.diff(gone, prepend=0)
+    a, b = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    piece = owner[a]
+    return piece, a - first[piece], b - first[piece] + size - 1
 
 
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,6 +219,30 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["anchor", "content", "_low", "place", "piece"])
 
 
+def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces cut into parts of at most ``RANGE`` windows. Equal windows are in parts of one ``_group``.
+
+    The anchor is at the same place of equal windows; a part has the windows with that place in one range. All of them hold the
+    same bytes around the anchor, and these, with the range, are the group.
+    """
+    digest, reach = xxhash.xxh3_64_intdigest, SIZE - GRAM
+    for frame in batches:
+        rows = []
+        for anchor, content, i, place, piece in zip(*(frame[c].tolist() for c in ("anchor", "content", "_low", "place", "piece"))):
+            right = len(piece) - place - GRAM
+            for least in range(0, reach + 1, RANGE):
+                most = min(least + RANGE - 1, reach)
+                if place < least or right < reach - most:
+                    continue
+                lo, hi = place - min(most, place), place + GRAM + min(reach - least, right)
+                if hi - lo < SIZE:
+                    continue
+                shared = piece[place - least:place + GRAM + reach - most]
+                part = piece[lo:hi]
+                rows.append((anchor, content, i, lo, place - lo, part, digest(shared, least) - 2**63, digest(part, place - lo) - 2**63))
+        yield pd.DataFrame(rows, columns=["anchor", "content", "_low", "at", "place", "piece", "_group", "_part"])
+
+
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Digest of every window of a piece."""
     for frame in batches:
@@ -193,35 +252,44 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["anchor", "content", "_low", "at", "window"])
 
 
-def _beside(piece: bytes, place: int) -> Iterator[bytes]:
+def _beside(piece: bytes, place: int) -> list[bytes]:
     """The anchor with the bytes right of it and left of it, where the piece has enough; equal windows share one.
 
     A window has ``SIZE - GRAM`` bytes beside its anchor, so at least half of these are on one side.
     """
     reach = (SIZE - GRAM + 1) // 2
-    if len(piece) >= place + GRAM + reach:
-        yield piece[place:place + GRAM + reach]
+    sides = [piece[place:place + GRAM + reach]] if len(piece) >= place + GRAM + reach else []
     if place >= reach:
-        yield b"<" + piece[place - reach:place + GRAM]
+        sides.append(b"<" + piece[place - reach:place + GRAM])
+    return sides
 
 
 def _decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Byte runs of the pieces whose windows are also in a piece of a smaller id."""
+    """Byte runs of the pieces whose windows are also in a piece of a smaller id.
+
+    Whole groups share a suffix array of about ``_ARRAY`` bytes; equal windows have equal anchors, so groups do not mix.
+    """
     for frame in chunks(batches, ["anchor"], 20_000):
-        anchor = frame["anchor"].to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        pieces, ids, content, place = (frame[c].tolist() for c in ("piece", "_low", "content", "place"))
-        rows = []
-        for lo, hi in zip(starts, np.append(starts[1:], len(frame))):
-            sides = [list(_beside(pieces[k], place[k])) for k in range(lo, hi)]
-            met = Counter(x for xs in sides for x in xs)
-            able = [k for k, xs in zip(range(lo, hi), sides) if any(met[x] > 1 for x in xs)]
-            if len(able) > 1:
-                for k, low in zip(able, smallest([pieces[k] for k in able], [ids[k] for k in able])):
-                    gone = np.concatenate(([0], np.array(low) < ids[k], [0])).astype(np.int8)
-                    edge = np.diff(gone)
-                    rows.extend((anchor[k], content[k], x, y + SIZE - 1) for x, y in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)))
-        yield pd.DataFrame(rows, columns=["anchor", "content", "a", "b"])
+        anchor, content, ids = (frame[c].to_numpy(np.int64) for c in ("anchor", "content", "_low"))
+        pieces, place = frame["piece"].tolist(), frame["place"].tolist()
+        sides = list(map(_beside, pieces, place))
+        met = Counter(x for xs in sides for x in xs)
+        able = np.array([k for k, xs in enumerate(sides) if any(met[x] > 1 for x in xs)], np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], anchor[able][1:] != anchor[able][:-1]))) if len(able) else able
+        before = np.concatenate(([0], np.cumsum([len(pieces[k]) for k in able])))
+        cuts, full = [0], 0
+        for at in starts[1:].tolist():
+            if before[at] - full >= _ARRAY:
+                cuts.append(at)
+                full = before[at]
+        found = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(able)]):
+            if hi - lo > 1:
+                some = able[lo:hi]
+                k, a, b = repeated([pieces[i] for i in some], ids[some])
+                found.append((some[k], a, b))
+        k, a, b = map(np.concatenate, zip(*found)) if found else [np.empty(0, np.int64)] * 3
+        yield pd.DataFrame({"anchor": anchor[k], "content": content[k], "a": a, "b": b})
 
 
 def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,6 +310,28 @@ def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.astype({"doc_id": "Int64"})
 
 
+def _in_parts(large: DataFrame, decided: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Repeated byte runs of the pieces of large groups: a part equal to one of a smaller id goes, different parts go through arrays."""
+    schema = "anchor long, content long, _low long, at int, place int, piece binary, _group long, _part long"
+    parts = pin(large.mapInPandas(_ranges, schema), "parts")
+    each = parts.groupBy("_group", "_part").agg(F.min("_low").alias("_low"), F.first("place").alias("place"), F.first("piece").alias("piece"))
+    each = pin(each.select(F.col("_group").alias("anchor"), F.col("_part").alias("content"), "_low", "place", "piece"), "each")
+    sizes = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
+    runs = decided(each.join(sizes.where(f"_n BETWEEN 2 AND {GROUP}").select("anchor"), "anchor", "left_semi"))
+    # Parts of a group that is still too large differ in a few bytes at their ends; their windows are compared one by one.
+    rest = each.join(sizes.where(f"_n > {GROUP}").select("anchor"), "anchor", "left_semi")
+    windows = pin(rest.mapInPandas(_windows, "anchor long, content long, _low long, at int, window long"), "windows")
+    low = windows.groupBy("anchor", "window").agg(F.min("_low").alias("_first"), F.max("_low").alias("_last")).where("_first < _last")
+    gone = windows.join(low, ["anchor", "window"]).where("_first < _low").select(
+        "anchor", "content", F.col("at").cast("long").alias("a"), (F.col("at") + SIZE).cast("long").alias("b"))
+    runs = runs.unionByName(gone).withColumnsRenamed({"anchor": "_group", "content": "_part"})
+    rows = parts.select("anchor", "content", "_low", "at", "_group", "_part", F.octet_length("piece").alias("_n"))
+    rows = rows.join(each.select(F.col("anchor").alias("_group"), F.col("content").alias("_part"), F.col("_low").alias("_first")), ["_group", "_part"])
+    whole = rows.where("_first < _low").select("anchor", "content", F.col("at").cast("long").alias("a"), (F.col("at") + F.col("_n")).cast("long").alias("b"))
+    cut = rows.where("_first = _low").join(runs, ["_group", "_part"])
+    return whole.unionByName(cut.select("anchor", "content", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
@@ -267,8 +357,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = pin(met.withColumn("_tag", F.shiftright("packed", 12).bitwiseAND(F.lit(_TAGS - 1))), "met")
     start, windows = F.shiftright("packed", 24), F.shiftright("packed", 6).bitwiseAND(F.lit(63))
 
-    # Different pieces of an anchor: one text for each. Groups too large for one array go by digests of their windows, of which
-    # the smallest id is a minimum combined before it moves.
+    # Different pieces of an anchor: one text for each. Groups too large for one array are split by the bytes around the anchor.
     open_ = met.where("anchor IS NOT NULL")
     one = open_.groupBy("anchor", "content").agg(F.min(F.struct("_id", "_tag", "packed")).alias("v")).select("anchor", "content", "v.*")
     many = pin(open_.groupBy("anchor").agg(F.count_distinct("content").alias("_n")).where(F.col("_n") > GROUP).select("anchor"), "many")
@@ -279,16 +368,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         asked = wanted.groupBy("_id", "_tag").agg(F.collect_list(F.struct("anchor", "content", "packed")).alias("_found"))
         return pressed.join(asked, ["_id", "_tag"]).mapInPandas(_pieces, "anchor long, content long, _low long, place int, piece binary")
 
-    dealt = pieces(one.join(many, "anchor", "left_anti")).repartition("anchor").sortWithinPartitions("anchor")
-    runs = dealt.mapInPandas(_decided, "anchor long, content long, a long, b long")
+    def decided(groups: DataFrame) -> DataFrame:
+        dealt = groups.repartition("anchor").sortWithinPartitions("anchor")
+        return dealt.mapInPandas(_decided, "anchor long, content long, a long, b long")
+
+    runs = decided(pieces(one.join(many, "anchor", "left_anti")))
     if not many.isEmpty():
-        each = pieces(one.join(many, "anchor", "left_semi")).mapInPandas(_windows, "anchor long, content long, _low long, at int, window long")
-        each = pin(each, "windows")
-        low = each.groupBy("anchor", "window").agg(F.min("_low").alias("_first"), F.max("_low").alias("_last")).where("_first < _last")
-        gone = each.join(low, ["anchor", "window"]).where("_first < _low").groupBy("anchor", "content").agg(F.array_sort(F.collect_set("at")).alias("_at"))
-        edge = lambda step: F.filter("_at", lambda k: ~F.array_contains("_at", k + step))
-        gone = gone.select("anchor", "content", F.inline(F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b"))))
-        runs = runs.unionByName(gone.select("anchor", "content", F.col("a").cast("long").alias("a"), (F.col("b") + SIZE).cast("long").alias("b")))
+        runs = runs.unionByName(_in_parts(pieces(one.join(many, "anchor", "left_semi")), decided))
 
     parts = open_.join(runs, ["anchor", "content"]).select("_id", "_tag", (start + F.col("a")).alias("a"), (start + F.col("b")).alias("b"))
     spans = met.where("anchor IS NULL").select("_id", "_tag", start.alias("a"), (start + windows + SIZE - 1).alias("b")).unionByName(parts)
