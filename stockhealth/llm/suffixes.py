@@ -32,8 +32,8 @@ from stockhealth.llm.simhash import chunks
 
 SIZE, GRAM = 50, 16
 GROUP = 2000  # pieces of an anchor that go into one suffix array at most
-RANGE = 7  # windows of a part, where a group has to be split
-_ARRAY = 1 << 15  # bytes of the small groups that share a suffix array
+RANGE = 7  # windows of a piece that are looked up by their common bytes
+_ARRAY = 1 << 12  # bytes of the small groups that share a suffix array
 _PART = 1 << 20  # bytes hashed at a time
 _LOW = np.uint64(0xFFFFFF)
 _TAGS = 1 << 12  # texts under one id are told apart by a tag
@@ -64,35 +64,46 @@ def suffix_array(text: bytes) -> list[int]:
             while p >= 0 and group[p] > low:
                 p = smaller[p]
             smaller[i] = p
-            grown = ((p,),) if p >= 0 else ()
-            if grown:
+            if p >= 0:
                 end[p] = end[i]
-        else:
-            members = at[low:high]
-            length = end[members[0]] - members[0]
-            times: dict[int, list[int]] = {}
-            for i in members:
-                p = i - 1
-                while p >= 0 and group[p] > low:
-                    p = smaller[p]
-                if p >= 0 and group[p] == low:
-                    continue  # the repeat of a member before it, which is counted from there
-                smaller[i] = p
-                e, count = i + length, 1
-                while e < n and group[e] == low:
-                    smaller[e] = p
-                    e, count = e + length, count + 1
-                if p >= 0:
-                    end[p] = e
-                    times.setdefault(count, []).append(p)
-            grown = [times[c] for c in range(max(times, default=0), 0, -1) if c in times]
+                g = group[p]
+                if size[g] > 1:  # p leaves its group, as below
+                    size[g] = rest = size[g] - 1
+                    k, to = place[p], g + rest
+                    other = at[to]
+                    at[k], at[to], place[other], place[p] = other, p, k, to
+                    group[p], size[to] = to, 1
+            high = low
+            continue
+        members = at[low:high]
+        length = end[members[0]] - members[0]
+        times: dict[int, list[int]] = {}
+        for i in members:
+            p = i - 1
+            while p >= 0 and group[p] > low:
+                p = smaller[p]
+            if p >= 0 and group[p] == low:
+                continue  # the repeat of a member before it, which is counted from there
+            smaller[i] = p
+            e, count = i + length, 1
+            while e < n and group[e] == low:
+                smaller[e] = p
+                e, count = e + length, count + 1
+            if p >= 0:
+                end[p] = e
+                if count in times:
+                    times[count].append(p)
+                else:
+                    times[count] = [p]
         # The prefix of these suffixes has grown by as many repeats of the group's: they leave to a group right above their own.
-        for leaving in grown:
+        for count in range(max(times, default=0), 0, -1):
+            leaving = times.get(count, ())
             for p in leaving:
                 g = group[p]
                 size[g] = rest = size[g] - 1
-                k, other = place[p], at[g + rest]
-                at[k], at[g + rest], place[other], place[p] = other, p, k, g + rest
+                k, to = place[p], g + rest
+                other = at[to]
+                at[k], at[to], place[other], place[p] = other, p, k, to
             news = [g + size[g] for g in map(group.__getitem__, leaving)]
             for p, g in zip(leaving, news):
                 group[p] = g
@@ -219,25 +230,25 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["anchor", "content", "_low", "place", "piece"])
 
 
-def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces cut into parts of at most ``RANGE`` windows. Equal windows are in parts of one ``_group``.
+def _ranges(piece: bytes, place: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """The windows of a piece in ranges of ``RANGE`` places of the anchor: first place, start, end, bytes that all of them hold.
 
-    The anchor is at the same place of equal windows; a part has the windows with that place in one range. All of them hold the
-    same bytes around the anchor, and these, with the range, are the group.
+    The anchor is at the same place of equal windows, so these are in one range and share its bytes.
     """
-    digest, reach = xxhash.xxh3_64_intdigest, SIZE - GRAM
+    reach = SIZE - GRAM
+    right = len(piece) - place - GRAM
+    for least in range(max(0, reach - right) // RANGE * RANGE, min(place, reach) + 1, RANGE):
+        most = min(least + RANGE - 1, reach)
+        yield least, place - min(most, place), place + GRAM + min(reach - least, right), piece[place - least:place + GRAM + reach - most]
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces cut by ranges; the range and its shared bytes are the ``_group`` of a part."""
+    digest = xxhash.xxh3_64_intdigest
     for frame in batches:
         rows = []
         for anchor, content, i, place, piece in zip(*(frame[c].tolist() for c in ("anchor", "content", "_low", "place", "piece"))):
-            right = len(piece) - place - GRAM
-            for least in range(0, reach + 1, RANGE):
-                most = min(least + RANGE - 1, reach)
-                if place < least or right < reach - most:
-                    continue
-                lo, hi = place - min(most, place), place + GRAM + min(reach - least, right)
-                if hi - lo < SIZE:
-                    continue
-                shared = piece[place - least:place + GRAM + reach - most]
+            for least, lo, hi, shared in _ranges(piece, place):
                 part = piece[lo:hi]
                 rows.append((anchor, content, i, lo, place - lo, part, digest(shared, least) - 2**63, digest(part, place - lo) - 2**63))
         yield pd.DataFrame(rows, columns=["anchor", "content", "_low", "at", "place", "piece", "_group", "_part"])
@@ -252,44 +263,39 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["anchor", "content", "_low", "at", "window"])
 
 
-def _beside(piece: bytes, place: int) -> list[bytes]:
-    """The anchor with the bytes right of it and left of it, where the piece has enough; equal windows share one.
-
-    A window has ``SIZE - GRAM`` bytes beside its anchor, so at least half of these are on one side.
-    """
-    reach = (SIZE - GRAM + 1) // 2
-    sides = [piece[place:place + GRAM + reach]] if len(piece) >= place + GRAM + reach else []
-    if place >= reach:
-        sides.append(b"<" + piece[place - reach:place + GRAM])
-    return sides
-
-
 def _decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Byte runs of the pieces whose windows are also in a piece of a smaller id.
 
-    Whole groups share a suffix array of about ``_ARRAY`` bytes; equal windows have equal anchors, so groups do not mix.
+    Only ranges whose bytes another piece holds too go into the arrays. Whole groups share an array of about ``_ARRAY`` bytes;
+    equal windows have equal anchors, so groups do not mix.
     """
     for frame in chunks(batches, ["anchor"], 20_000):
         anchor, content, ids = (frame[c].to_numpy(np.int64) for c in ("anchor", "content", "_low"))
-        pieces, place = frame["piece"].tolist(), frame["place"].tolist()
-        sides = list(map(_beside, pieces, place))
-        met = Counter(x for xs in sides for x in xs)
-        able = np.array([k for k, xs in enumerate(sides) if any(met[x] > 1 for x in xs)], np.int64)
+        pieces = frame["piece"].tolist()
+        ranges = [list(_ranges(*x)) for x in zip(pieces, frame["place"].tolist())]
+        met = Counter((r[0], r[3]) for rs in ranges for r in rs)
+        able, first, texts = [], [], []
+        for k, rs in enumerate(ranges):
+            rs = [r for r in rs if met[r[0], r[3]] > 1]
+            if rs:
+                lo, hi = min(r[1] for r in rs), max(r[2] for r in rs)
+                able.append(k)
+                first.append(lo)
+                texts.append(pieces[k][lo:hi])
+        able, first = np.array(able, np.int64), np.array(first, np.int64)
         starts = np.flatnonzero(np.concatenate(([True], anchor[able][1:] != anchor[able][:-1]))) if len(able) else able
-        before = np.concatenate(([0], np.cumsum([len(pieces[k]) for k in able])))
-        cuts, full = [0], 0
+        before = np.concatenate(([0], np.cumsum(list(map(len, texts)))))
+        cuts = [0]
         for at in starts[1:].tolist():
-            if before[at] - full >= _ARRAY:
+            if before[at] - before[cuts[-1]] >= _ARRAY:
                 cuts.append(at)
-                full = before[at]
         found = []
         for lo, hi in zip(cuts, [*cuts[1:], len(able)]):
             if hi - lo > 1:
-                some = able[lo:hi]
-                k, a, b = repeated([pieces[i] for i in some], ids[some])
-                found.append((some[k], a, b))
+                k, a, b = repeated(texts[lo:hi], ids[able[lo:hi]])
+                found.append((k + lo, a, b))
         k, a, b = map(np.concatenate, zip(*found)) if found else [np.empty(0, np.int64)] * 3
-        yield pd.DataFrame({"anchor": anchor[k], "content": content[k], "a": a, "b": b})
+        yield pd.DataFrame({"anchor": anchor[able[k]], "content": content[able[k]], "a": a + first[k], "b": b + first[k]})
 
 
 def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,7 +319,7 @@ def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _in_parts(large: DataFrame, decided: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Repeated byte runs of the pieces of large groups: a part equal to one of a smaller id goes, different parts go through arrays."""
     schema = "anchor long, content long, _low long, at int, place int, piece binary, _group long, _part long"
-    parts = pin(large.mapInPandas(_ranges, schema), "parts")
+    parts = pin(large.mapInPandas(_parts, schema), "parts")
     each = parts.groupBy("_group", "_part").agg(F.min("_low").alias("_low"), F.first("place").alias("place"), F.first("piece").alias("piece"))
     each = pin(each.select(F.col("_group").alias("anchor"), F.col("_part").alias("content"), "_low", "place", "piece"), "each")
     sizes = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))

@@ -83,6 +83,31 @@ def test_suffix_array():
         assert suffixes.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_suffix_array_takes_linear_time():
+    import time
+
+    def seconds(text):
+        start = time.process_time()
+        suffixes.suffix_array(text)
+        return time.process_time() - start
+
+    for make in (lambda n: b"a" * n, lambda n: b"a" * (n - 1) + b"b", lambda n: bytes(i * 256 // n for i in range(n))):
+        small, large = (min(seconds(make(n)) for _ in range(3)) for n in (8000, 64_000))
+        assert large < 4 * 8 * small  # quadratic work would be 64 times as long
+
+
+def test_repeats_in_parts_and_windows(spark, monkeypatch):
+    """Large groups go by parts, and what is still too large by windows: the same result for every bound."""
+    rng = random.Random(5)
+    passage = prose(rng, 30)
+    texts = [(i, f"{rng.getrandbits(64 * (i % 3)):x} {passage[i % 7:]} {passage[:60 + i % 9]} {rng.getrandbits(90):x}") for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(brute.op2(texts), key=repr)
+    for bound in (2, 20, 2000):
+        monkeypatch.setattr(suffixes, "GROUP", bound)
+        assert result(suffixes.remove_repeats(docs)) == want
+
+
 def test_repeats(docs, texts, empty, spark, monkeypatch):
     want = sorted(brute.op2(list(enumerate(texts))), key=repr)
     assert result(suffixes.remove_repeats(docs)) == want
