@@ -221,8 +221,8 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     press = zstandard.ZstdDecompressor()
     for frame in batches:
         rows = []
-        for i, pressed, found in zip(frame["_id"], frame["_pressed"], frame["_found"]):
-            text = press.decompress(pressed)
+        for i, text, found in zip(frame["_id"], frame["_pressed" if "_pressed" in frame else "_text"], frame["_found"]):
+            text = text.encode() if isinstance(text, str) else press.decompress(text)
             for one in found:
                 start, windows, place = one["packed"] >> 24, one["packed"] >> 6 & 63, one["packed"] & 63
                 piece = text[start:start + windows + SIZE - 1]
@@ -304,14 +304,17 @@ def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, pressed, spans in zip(frame["_id"], frame["_pressed"], frame["_spans"]):
             text = press.decompress(pressed)
-            edge = np.zeros(len(text) + 1, np.int64)
-            for s in spans if spans is not None else ():
-                edge[min(s["a"], len(text))] += 1
-                edge[min(s["b"], len(text))] -= 1
-            gone = np.cumsum(edge)[:-1] > 0
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            rows.append((i, len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+            left, kept, runs, removed = hashlib.sha256(), 0, 0, 0
+            for a, b in sorted((s["a"], min(s["b"], len(text))) for s in (spans if spans is not None else ())):
+                if b <= max(a, kept):
+                    continue
+                if a > kept or not runs:
+                    left.update(text[kept:a])
+                    runs += 1
+                removed += b - max(a, kept)
+                kept = b
+            left.update(text[kept:])
+            rows.append((i, len(text), removed, runs, left.hexdigest()))
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
         yield out.astype({"doc_id": "Int64"})
 
@@ -370,17 +373,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # The joins below read the same exchange of the texts.
     pressed = rows.where("_id IS NOT NULL").mapInPandas(_packed, "_id long, _tag long, _pressed binary").where("_id IS NOT NULL AND _tag IS NOT NULL")
 
-    def pieces(wanted: DataFrame) -> DataFrame:
-        asked = wanted.groupBy("_id", "_tag").agg(F.collect_list(F.struct("anchor", "content", "packed")).alias("_found"))
-        return pressed.join(asked, ["_id", "_tag"]).mapInPandas(_pieces, "anchor long, content long, _low long, place int, piece binary")
+    def asked(wanted: DataFrame) -> DataFrame:
+        return wanted.groupBy("_id", "_tag").agg(F.collect_list(F.struct("anchor", "content", "packed")).alias("_found"))
+
+    def pieces(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+        return texts.join(wanted, ["_id", "_tag"]).mapInPandas(_pieces, "anchor long, content long, _low long, place int, piece binary")
 
     def decided(groups: DataFrame) -> DataFrame:
         dealt = groups.repartition("anchor").sortWithinPartitions("anchor")
         return dealt.mapInPandas(_decided, "anchor long, content long, a long, b long")
 
-    runs = decided(pieces(one.join(many, "anchor", "left_anti")))
+    runs = decided(pieces(pressed, asked(one.join(many, "anchor", "left_anti"))))
     if not many.isEmpty():
-        runs = runs.unionByName(_in_parts(pieces(one.join(many, "anchor", "left_semi")), decided))
+        # Few texts have such pieces; what is asked for is written first, so that its size tells Spark whether texts need to move.
+        few = pin(asked(one.join(many, "anchor", "left_semi")), "asked")
+        runs = runs.unionByName(_in_parts(pieces(text, few), decided))
 
     parts = open_.join(runs, ["anchor", "content"]).select("_id", "_tag", (start + F.col("a")).alias("a"), (start + F.col("b")).alias("b"))
     spans = met.where("anchor IS NULL").select("_id", "_tag", start.alias("a"), (start + windows + SIZE - 1).alias("b")).unionByName(parts)
