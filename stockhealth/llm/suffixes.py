@@ -385,8 +385,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     runs = decided(pieces(pressed, asked(one.join(many, "anchor", "left_anti"))))
     if not many.isEmpty():
-        # Few texts have such pieces; what is asked for is written first, so that its size tells Spark whether texts need to move.
-        few = pin(asked(one.join(many, "anchor", "left_semi")), "asked")
+        # The texts move as they are: compressing them a second time costs more than it saves. The join is a merge at every size.
+        few = asked(one.join(many, "anchor", "left_semi")).hint("merge")
         runs = runs.unionByName(_in_parts(pieces(text, few), decided))
 
     parts = open_.join(runs, ["anchor", "content"]).select("_id", "_tag", (start + F.col("a")).alias("a"), (start + F.col("b")).alias("b"))
