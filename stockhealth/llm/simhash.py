@@ -28,7 +28,7 @@ from stockhealth.llm.common import cells, components, pin, small_batches
 SEED = 42
 BLOCK = 4096  # a cell has about twice as many fingerprints at most
 _ROWS = 60_000  # rows of small shards that are searched together
-_PAIRS = 2_000_000  # pairs of query and node in flight
+_PAIRS = 100_000  # pairs of query and node that are compared at once
 
 
 def shingles(text: str | None, words: int = 3) -> np.ndarray:
@@ -121,7 +121,7 @@ class Forest:
     """BK-trees over fingerprints (n x lanes, uint64), one for each value of ``group`` (rows sorted by it)."""
 
     def __init__(self, prints: np.ndarray, group: np.ndarray):
-        self.prints = prints
+        self.lanes = [np.ascontiguousarray(lane) for lane in prints.T]
         self.width = prints.shape[1] * 64 + 1
         first = np.concatenate(([True], group[1:] != group[:-1]))
         self.root = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -140,12 +140,20 @@ class Forest:
         key = np.concatenate([*keys, np.empty(0, np.int64)])
         order = np.argsort(key)
         self.key, self.kid = key[order], np.concatenate([*kids, np.empty(0, np.int64)])[order]
+        self.inner = np.zeros(len(group), bool)  # nodes with children
+        self.inner[self.key // self.width] = True
 
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.prints[a] ^ self.prints[b]).sum(axis=1, dtype=np.int64)
+        far = np.zeros(len(a), np.uint16)
+        for lane in self.lanes:
+            far += np.bitwise_count(lane[a] ^ lane[b])
+        return far.astype(np.int64)
 
-    def close(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, node of its tree) within the radius, in pieces."""
+    def close(self, queries: np.ndarray, radius: int, earlier: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node of its tree) within the radius, in pieces. With ``earlier`` only nodes of smaller rows, and roots.
+
+        A child's row is larger than its parent's, so a later child's subtree is left out as a whole.
+        """
         todo = [(queries, self.root[queries])]
         while todo:
             q, node = todo.pop()
@@ -154,14 +162,19 @@ class Forest:
                 todo += [(q[:half], node[:half]), (q[half:], node[half:])]
                 continue
             d = self.distance(q, node)
-            near = d <= radius
+            near = np.flatnonzero(d <= radius)
             yield q[near], node[near]
+            inner = np.flatnonzero(self.inner[node])
+            q, node, d = q[inner], node[inner], d[inner]
             low = np.searchsorted(self.key, node * self.width + np.maximum(d - radius, 0))
             high = np.searchsorted(self.key, node * self.width + np.minimum(d + radius, self.width - 1), side="right")
             n = high - low
             if total := int(n.sum()):
-                inside = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-                todo.append((np.repeat(q, n), self.kid[np.repeat(low, n) + inside]))
+                kid, q = self.kid[np.arange(total) + np.repeat(low - np.cumsum(n) + n, n)], np.repeat(q, n)
+                if earlier:
+                    kept = np.flatnonzero(kid < q)
+                    kid, q = kid[kept], q[kept]
+                todo.append((q, kid))
 
 
 def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -274,26 +287,25 @@ def _sets(words: int, lanes: Sequence[str], keys: Sequence[str]):
 
 
 def _candidates(lanes: Sequence[str], radius: int, keys: Sequence[str]):
-    """Edges that connect the rows of a shard within the radius: so wide a radius leaves a BK-tree nothing to skip.
+    """Edges that connect the rows of a shard within the radius, found by search in a BK-tree for each shard.
 
-    Rows are sorted by shard and node. What the shards of a chunk link is joined first, so a chunk sends at most one edge for each
-    node, to the smallest node that it is linked with.
+    Rows are sorted by shard and node. Equal prints of a shard are linked as they are and stand in its tree once. What the shards
+    of a chunk link is joined first, so a chunk sends at most one edge for each node, to the smallest node that it is linked with.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, keys, _ROWS):
             values = frame[list(keys)].to_numpy()
-            starts = np.flatnonzero(np.concatenate(([True], (values[1:] != values[:-1]).any(axis=1))))
-            prints = np.ascontiguousarray(frame[list(lanes)].to_numpy(np.int64).T).view(np.uint64)
+            shard = np.concatenate(([0], np.cumsum((values[1:] != values[:-1]).any(axis=1))))
+            prints = np.ascontiguousarray(frame[list(lanes)].to_numpy(np.int64)).view(np.uint64)
             nodes, place = np.unique(frame["_node"].to_numpy(), return_inverse=True)
-            label = np.arange(len(nodes))
-            for low, high in zip(starts.tolist(), np.append(starts[1:], len(frame)).tolist()):
-                for at in range(0, high - low, 256):
-                    some = slice(low + at, min(low + at + 256, high))
-                    far = np.zeros((some.stop - some.start, high - low - at), np.uint16)
-                    for lane in prints:
-                        far += np.bitwise_count(lane[some, None] ^ lane[None, low + at:high])
-                    a, b = np.nonzero(far <= radius)
-                    a, b = place[low + at + a], place[low + at + b]
+            order = np.lexsort((*prints.T, shard))
+            same = (shard[order][1:] == shard[order][:-1]) & (prints[order][1:] == prints[order][:-1]).all(axis=1)
+            label = join_labels(np.arange(len(nodes)), place[order[1:][same]], place[order[:-1][same]])
+            rows = np.sort(order[np.concatenate(([True], ~same))])
+            forest, place = Forest(prints[rows], shard[rows]), place[rows]
+            for q in np.array_split(np.arange(len(rows)), max(1, len(rows) // 2048)):
+                for a, b in forest.close(q, radius, earlier=True):
+                    a, b = place[a], place[b]
                     apart = label[a] != label[b]
                     label = join_labels(label, a[apart], b[apart]) if apart.any() else label
             linked = label != np.arange(len(nodes))

@@ -76,6 +76,44 @@ def test_simhash_search_finds_every_close_pair():
         assert any(x & m == (x ^ (1 << int(bits[0])) ^ (1 << int(bits[1]))) & m for m in masks)
 
 
+def test_near_dedup_searches_trees(monkeypatch):
+    """The candidates of the pipeline come from one BK-tree a shard; they connect what a comparison of all pairs connects."""
+    import pandas as pd
+
+    rng, trees, searched = np.random.default_rng(8), [], []
+
+    class Watched(simhash.Forest):
+        def __init__(self, prints, group):
+            trees.append(len(np.unique(group)))
+            super().__init__(prints, group)
+
+        def close(self, queries, *more, **options):
+            searched.extend(queries.tolist())
+            return super().close(queries, *more, **options)
+
+    monkeypatch.setattr(simhash, "Forest", Watched)
+    names = ["f0", "f1", "f2", "f3"]
+    prints = rng.integers(-2**63, 2**63, (40, 4))
+    prints = prints[rng.integers(0, 40, 300)]
+    for x in prints[50:]:  # the others differ from their originals in up to 80 bits
+        for bit in rng.choice(256, rng.integers(0, 81), replace=False).tolist():
+            x[bit // 64] ^= np.array(1 << bit % 64, np.uint64).view(np.int64)
+    frame = pd.DataFrame(prints, columns=names).assign(_node=np.arange(300), _bucket=rng.integers(0, 3, 300), _cell=0)
+    again = frame.assign(_bucket=5 + frame["_node"] % 2)
+    frame = pd.concat([frame, again]).sort_values(["_bucket", "_cell", "_node"], ignore_index=True)
+    got, = simhash._candidates(names, 64, ["_bucket", "_cell"])(iter([frame]))
+    rows = frame[["_bucket", "_node", *names]].to_numpy().tolist()
+    label = np.arange(300)
+    for i, (bucket, a, *x) in enumerate(rows):
+        for other, b, *y in rows[:i]:
+            if bucket == other and sum(((u ^ v) & 2**64 - 1).bit_count() for u, v in zip(x, y)) <= 64:
+                label[label == label[a]] = label[b]
+    joined = simhash.join_labels(np.arange(300), got["a"].to_numpy(), got["b"].to_numpy())
+    groups = lambda x: {frozenset(np.flatnonzero(x == v).tolist()) for v in set(x.tolist())}
+    assert groups(joined) == groups(label) and 1 < len(groups(label)) < 300
+    assert trees == [5] and len(searched) >= 500
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(500):
