@@ -17,8 +17,8 @@ then the groups are filled in ascending order, each suffix right after the one t
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,8 @@ RANGE = 7  # windows of a piece that are looked up by their common bytes
 _ARRAY = 1 << 12  # bytes of the small groups that share a suffix array
 _PART = 1 << 20  # bytes hashed at a time
 _LOW = np.uint64(0xFFFFFF)
+_BASE = 0x9E3779B97F4A7C15
+_WEIGHTS = np.random.default_rng(SIZE).integers(0, 2**64, SIZE, np.uint64)  # of the bytes in a hash
 _TAGS = 1 << 12  # texts under one id are told apart by a tag
 
 
@@ -77,6 +79,7 @@ def suffix_array(text: bytes) -> list[int]:
             continue
         members = at[low:high]
         length = end[members[0]] - members[0]
+        once: list[int] = []
         times: dict[int, list[int]] = {}
         for i in members:
             p = i - 1
@@ -85,25 +88,29 @@ def suffix_array(text: bytes) -> list[int]:
             if p >= 0 and group[p] == low:
                 continue  # the repeat of a member before it, which is counted from there
             smaller[i] = p
-            e, count = i + length, 1
-            while e < n and group[e] == low:
-                smaller[e] = p
-                e, count = e + length, count + 1
-            if p >= 0:
+            e = i + length
+            if e < n and group[e] == low:
+                count = 1
+                while e < n and group[e] == low:
+                    smaller[e] = p
+                    e, count = e + length, count + 1
+                if p >= 0:
+                    end[p] = e
+                    times.setdefault(count, []).append(p)
+            elif p >= 0:
                 end[p] = e
-                if count in times:
-                    times[count].append(p)
-                else:
-                    times[count] = [p]
+                once.append(p)
         # The prefix of these suffixes has grown by as many repeats of the group's: they leave to a group right above their own.
-        for count in range(max(times, default=0), 0, -1):
-            leaving = times.get(count, ())
+        for leaving in [*[times[k] for k in range(max(times), 1, -1) if k in times], once] if times else (once,):
             for p in leaving:
                 g = group[p]
                 size[g] = rest = size[g] - 1
                 k, to = place[p], g + rest
                 other = at[to]
                 at[k], at[to], place[other], place[p] = other, p, k, to
+            if len(leaving) == 1:
+                group[p], size[to] = to, 1
+                continue
             news = [g + size[g] for g in map(group.__getitem__, leaving)]
             for p, g in zip(leaving, news):
                 group[p] = g
@@ -126,9 +133,12 @@ def suffix_array(text: bytes) -> list[int]:
     return order[:n]
 
 
-def anchors(text: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each anchor, and its piece packed into a number: start << 16 | windows << 8 | place of the anchor."""
-    hashes, packed = [], []
+def anchors(text: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each anchor, its piece packed into a number (start << 16 | windows << 8 | place of the anchor), and a digest of the piece.
+
+    The digest sums the mixed hashes of the piece's ``gram``-byte strings, each times a power of ``_BASE`` by its place.
+    """
+    hashes, packed, digests = [], [], []
     for at in range(0, len(text) - size + 1, _PART):
         x = np.frombuffer(text, np.uint8, min(_PART + size - 1, len(text) - at), at).astype(np.uint64)
         h, step, factor = (x + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9), 1, 0x9E3779B97F4A7C15
@@ -153,9 +163,20 @@ def anchors(text: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray
         hashes.append(h[place].view(np.int64))
         windows = np.append(first[1:], len(least)) - first
         packed.append(first + at << 16 | windows << 8 | place - first)
+        power, back = _powers(1 << max(12, len(h).bit_length()))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:len(h)])))
+        x = (sums[first + windows + size - gram] - sums[first]) * back[first] + windows.astype(np.uint64)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        digests.append((x ^ (x >> np.uint64(29))).view(np.int64))
     if not hashes:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(packed)
+        return (np.empty(0, np.int64),) * 3
+    return np.concatenate(hashes), np.concatenate(packed), np.concatenate(digests)
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``_BASE`` and of its inverse, modulo 2 ** 64."""
+    return tuple(np.cumprod(np.array([1] + [x] * (n - 1), np.uint64)) for x in (_BASE, pow(_BASE, -1, 2**64)))
 
 
 def repeated(pieces: list[bytes], ids: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,26 +207,23 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ``packed`` is inverted if a smaller document of the batch has the same piece; nothing more is to be found out then, and
     the id stands for the anchor, so these rows spread. Small numbers come last in a row, where they compress.
     """
-    digest = xxhash.xxh3_64_intdigest
     for frame in batches:
         for at in range(0, len(frame), 500):
             part = frame.iloc[at:at + 500]
             anchor, content, ids, packed = [], [], [], []
             for i, tag, text in zip(part["_id"].tolist(), part["_tag"].tolist(), part["_text"]):
-                text = text.encode()
-                hashes, places = anchors(text)
+                hashes, places, digests = anchors(text.encode())
                 starts = places >> 16
-                ends = starts + (places >> 8 & 255) + SIZE - 1
-                content.append(np.fromiter(map(digest, map(text.__getitem__, map(slice, starts.tolist(), ends.tolist()))), np.uint64, len(starts)))
+                content.append(digests)
                 anchor.append(hashes)
                 ids.append(np.full(len(starts), i, np.int64))
                 packed.append(starts << 24 | tag << 12 | (places >> 8 & 255) << 6 | places & 255)
             anchor, content, ids, packed = (np.concatenate(x) for x in (anchor, content, ids, packed))
-            content = content.view(np.int64)
-            order = np.lexsort((ids, content))
+            order = np.argsort(content)
             first = np.concatenate(([True], content[order][1:] != content[order][:-1])) if len(order) else np.empty(0, bool)
             later = np.empty(len(order), bool)
-            later[order] = ids[order] > ids[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+            low = np.minimum.reduceat(ids[order], np.flatnonzero(first)) if len(order) else ids
+            later[order] = ids[order] > low[np.cumsum(first) - 1]
             yield pd.DataFrame({"_id": ids, "anchor": np.where(later, ids, anchor), "content": np.where(later, 0, content),
                                 "packed": np.where(later, ~packed, packed)})
 
@@ -220,14 +238,13 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The text of the pieces asked for."""
     press = zstandard.ZstdDecompressor()
     for frame in batches:
-        rows = []
-        for i, text, found in zip(frame["_id"], frame["_pressed" if "_pressed" in frame else "_text"], frame["_found"]):
-            text = text.encode() if isinstance(text, str) else press.decompress(text)
-            for one in found:
-                start, windows, place = one["packed"] >> 24, one["packed"] >> 6 & 63, one["packed"] & 63
-                piece = text[start:start + windows + SIZE - 1]
-                rows.append((one["anchor"], one["content"], i, place, piece))
-        yield pd.DataFrame(rows, columns=["anchor", "content", "_low", "place", "piece"])
+        texts = [t.encode() if isinstance(t, str) else press.decompress(t) for t in frame["_pressed" if "_pressed" in frame else "_text"]]
+        anchor, content, packed = (np.concatenate([np.empty(0, np.int64), *frame[c]]) for c in ("_anchors", "_contents", "_packed"))
+        owner = np.repeat(np.arange(len(frame)), list(map(len, frame["_packed"])))
+        start = packed >> 24
+        end = start + (packed >> 6 & 63) + SIZE - 1
+        piece = [texts[k][a:b] for k, a, b in zip(owner.tolist(), start.tolist(), end.tolist())]
+        yield pd.DataFrame({"anchor": anchor, "content": content, "_low": frame["_id"].to_numpy()[owner], "place": packed & 63, "piece": piece})
 
 
 def _ranges(piece: bytes, place: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -242,6 +259,29 @@ def _ranges(piece: bytes, place: int) -> Iterator[tuple[int, int, int, bytes]]:
         yield least, place - min(most, place), place + GRAM + min(reach - least, right), piece[place - least:place + GRAM + reach - most]
 
 
+def _shared(pieces: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the ranges of each piece (as in ``_ranges``) whose bytes another piece holds too; start >= end: none.
+
+    Bytes are compared by a hash; by chance a range too many may stay in, never one too few.
+    """
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    begin = np.cumsum(lengths) - lengths
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    reach, right = SIZE - GRAM, lengths - place - GRAM
+    low = np.maximum(0, reach - right) // RANGE * RANGE
+    start, end = lengths.copy(), np.zeros(len(pieces), np.int64)
+    for least in range(0, reach + 1, RANGE):
+        most = min(least + RANGE - 1, reach)
+        rows = np.flatnonzero((low <= least) & (least <= np.minimum(place, reach)))
+        if len(rows):
+            held = np.lib.stride_tricks.sliding_window_view(text, least + GRAM + reach - most)[begin[rows] + place[rows] - least]
+            _, same, many = np.unique(held @ _WEIGHTS[:held.shape[1]], return_inverse=True, return_counts=True)
+            rows = rows[many[same] > 1]
+            start[rows] = np.minimum(start[rows], place[rows] - np.minimum(most, place[rows]))
+            end[rows] = np.maximum(end[rows], place[rows] + GRAM + np.minimum(reach - least, right[rows]))
+    return start, end
+
+
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pieces cut by ranges; the range and its shared bytes are the ``_group`` of a part."""
     digest = xxhash.xxh3_64_intdigest
@@ -272,17 +312,10 @@ def _decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in chunks(batches, ["anchor"], 20_000):
         anchor, content, ids = (frame[c].to_numpy(np.int64) for c in ("anchor", "content", "_low"))
         pieces = frame["piece"].tolist()
-        ranges = [list(_ranges(*x)) for x in zip(pieces, frame["place"].tolist())]
-        met = Counter((r[0], r[3]) for rs in ranges for r in rs)
-        able, first, texts = [], [], []
-        for k, rs in enumerate(ranges):
-            rs = [r for r in rs if met[r[0], r[3]] > 1]
-            if rs:
-                lo, hi = min(r[1] for r in rs), max(r[2] for r in rs)
-                able.append(k)
-                first.append(lo)
-                texts.append(pieces[k][lo:hi])
-        able, first = np.array(able, np.int64), np.array(first, np.int64)
+        lo, hi = _shared(pieces, frame["place"].to_numpy(np.int64))
+        able = np.flatnonzero(lo < hi)
+        first = lo[able]
+        texts = [pieces[k][a:b] for k, a, b in zip(able.tolist(), first.tolist(), hi[able].tolist())]
         starts = np.flatnonzero(np.concatenate(([True], anchor[able][1:] != anchor[able][:-1]))) if len(able) else able
         before = np.concatenate(([0], np.cumsum(list(map(len, texts)))))
         cuts = [0]
@@ -298,20 +331,27 @@ def _decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"anchor": anchor[able[k]], "content": content[able[k]], "a": a + first[k], "b": b + first[k]})
 
 
+def _merged(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The runs, ascending, that the spans cover; those that meet are one, empty ones none."""
+    order = np.argsort(starts, kind="stable")
+    order = order[starts[order] < ends[order]]
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    apart = starts[1:] > ends[:-1]
+    some = np.ones(min(1, len(order)), bool)
+    return zip(starts[np.concatenate((some, apart))].tolist(), ends[np.concatenate((apart, some))].tolist())
+
+
 def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     press = zstandard.ZstdDecompressor()
     for frame in batches:
         rows = []
-        for i, pressed, spans in zip(frame["_id"], frame["_pressed"], frame["_spans"]):
+        for i, pressed, starts, ends in zip(frame["_id"], frame["_pressed"], frame["_starts"], frame["_ends"]):
             text = press.decompress(pressed)
             left, kept, runs, removed = hashlib.sha256(), 0, 0, 0
-            for a, b in sorted((s["a"], min(s["b"], len(text))) for s in (spans if spans is not None else ())):
-                if b <= max(a, kept):
-                    continue
-                if a > kept or not runs:
-                    left.update(text[kept:a])
-                    runs += 1
-                removed += b - max(a, kept)
+            for a, b in _merged(starts, np.minimum(ends, len(text))) if starts is not None else ():
+                left.update(text[kept:a])
+                runs += 1
+                removed += b - a
                 kept = b
             left.update(text[kept:])
             rows.append((i, len(text), removed, runs, left.hexdigest()))
@@ -374,7 +414,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pressed = rows.where("_id IS NOT NULL").mapInPandas(_packed, "_id long, _tag long, _pressed binary").where("_id IS NOT NULL AND _tag IS NOT NULL")
 
     def asked(wanted: DataFrame) -> DataFrame:
-        return wanted.groupBy("_id", "_tag").agg(F.collect_list(F.struct("anchor", "content", "packed")).alias("_found"))
+        found = wanted.groupBy("_id", "_tag").agg(F.collect_list(F.struct("anchor", "content", "packed")).alias("_found"))
+        return found.select("_id", "_tag", F.col("_found.anchor").alias("_anchors"), F.col("_found.content").alias("_contents"), F.col("_found.packed").alias("_packed"))
 
     def pieces(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         return texts.join(wanted, ["_id", "_tag"]).mapInPandas(_pieces, "anchor long, content long, _low long, place int, piece binary")
@@ -392,8 +433,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = open_.join(runs, ["anchor", "content"]).select("_id", "_tag", (start + F.col("a")).alias("a"), (start + F.col("b")).alias("b"))
     spans = met.where("anchor IS NULL").select("_id", "_tag", start.alias("a"), (start + windows + SIZE - 1).alias("b")).unionByName(parts)
     spans = spans.groupBy("_id", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    spans = spans.select("_id", "_tag", F.col("_spans.a").alias("_starts"), F.col("_spans.b").alias("_ends"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     done = pressed.join(spans, ["_id", "_tag"], "left").mapInPandas(_digested, schema)
     alone = rows.where("_id IS NULL").mapInPandas(_packed, "_id long, _tag long, _pressed binary")
-    alone = alone.withColumn("_spans", F.lit(None).cast("array<struct<a: long, b: long>>")).mapInPandas(_digested, schema)
+    alone = alone.select("*", *[F.lit(None).cast("array<long>").alias(c) for c in ("_starts", "_ends")]).mapInPandas(_digested, schema)
     return done.unionByName(alone).withColumnRenamed("doc_id", id_col)

@@ -134,6 +134,33 @@ def test_suffix_array_takes_linear_time():
         assert large < 4 * 8 * small  # quadratic work would be 64 times as long
 
 
+def test_pieces_by_arrays():
+    """Digests of pieces and ranges that several pieces share, without a call for each piece."""
+    rng = random.Random(9)
+    new = lambda n, letters: "".join(rng.choices(letters, k=n)).encode()
+    passage = new(400, "abcd ")
+    texts = [b"", b"x" * 49, b"y" * 50, b"ab" * 900, new(30_000, "ab"), bytes(300), b"z" * (1 << 20) + passage, new(77, "cd") + passage]
+    by_piece, by_digest = {}, {}
+    for text in texts:
+        for packed, digest in zip(*(x.tolist() for x in suffixes.anchors(text)[1:])):
+            piece = text[packed >> 16:(packed >> 16) + (packed >> 8 & 255) + 49]
+            assert by_piece.setdefault(piece, digest) == digest and by_digest.setdefault(digest, piece) == piece
+    pieces, places = [], []
+    for k in range(200):
+        at, left, right = 100 + k % 5 * 60, rng.randint(0, 34), rng.randint(0, 34)
+        piece = bytearray(passage[at - left:at + 16 + max(right, 34 - left)])
+        piece[rng.randrange(len(piece))] ^= k % 3
+        pieces.append(bytes(piece))
+        places.append(left)
+    ranges = [list(suffixes._ranges(*x)) for x in zip(pieces, places)]
+    held = [(r[0], r[3]) for rs in ranges for r in rs]
+    want = [[r for r in rs if held.count((r[0], r[3])) > 1] for rs in ranges]
+    got = zip(*(x.tolist() for x in suffixes._shared(pieces, np.array(places))))
+    assert [x if x[0] < x[1] else None for x in got] == [(min(r[1] for r in rs), max(r[2] for r in rs)) if rs else None for rs in want]
+    assert list(suffixes._merged(np.array([9, 1, 4, 20, 6]), np.array([12, 3, 6, 20, 8]))) == [(1, 3), (4, 8), (9, 12)]
+    assert list(suffixes._merged(np.empty(0, np.int64), np.empty(0, np.int64))) == []
+
+
 def test_repeats_in_parts_and_windows(spark, monkeypatch):
     """Large groups go by parts, and what is still too large by windows: the same result for every bound."""
     rng = random.Random(5)
