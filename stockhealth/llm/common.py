@@ -15,6 +15,8 @@ __all__ = ["WORD", "cells", "components", "pin", "read_table", "slices", "small_
 # Fixed value: a word is a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_EDGES = 250_000  # above, edges are joined by a merge: stored ones are packed, so their files say little about their size in memory
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str]) -> DataFrame:
     """The named columns of a table; whatever else it holds is not read and cannot clash."""
@@ -42,9 +44,10 @@ def cells(rows: DataFrame, keys: Sequence[str], block: int, spread: Column) -> D
 
     Groups of one row are left out. A group of ``n > block`` rows is dealt by ``spread`` into ``m = ceil(n / block)``
     blocks, and each unordered pair of blocks is a cell (``_x``, ``_y``); ``_b`` is the row's own block.
-    Group sizes come from a count that combines map-side; the join may be split by AQE.
+    Group sizes come from a count that combines map-side; the join is a merge at every size, which AQE may split: Spark
+    takes exploded rows to be as few as before, and would send them all to the driver for a broadcast.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").hint("merge")
     split = rows.join(sizes, list(keys)).withColumn("_m", F.ceil(F.col("_n") / block).cast("int"))
     split = split.withColumn("_b", F.pmod(spread, F.col("_m")).cast("int"))
     split = split.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
@@ -66,12 +69,13 @@ def components(edges: DataFrame) -> DataFrame:
     now, before = pin(now, "edges"), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("v", "u") % (1 << 40)), F.lit(0))).first()
+        sized = (lambda df: df.hint("merge")) if state[0] > _EDGES else (lambda df: df)
         if state == before or not state[0]:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+            return sized(now.select(F.col("v").alias("node"), F.col("u").alias("root")))
         before = state
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = both.where("u > v").join(sized(least), "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        small = large.join(sized(low), "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         now = pin(small.unionByName(low.select("v", F.col("m").alias("u"))).distinct(), "edges")
