@@ -6,7 +6,7 @@ bounds a micro-batch and changes no result.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from contextlib import nullcontext
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -27,11 +27,12 @@ from stockhealth.operators.metrics import SCORE_TIES, metrics
 from stockhealth.policy import DEFAULT_POLICY, Policy
 from stockhealth.schema import ALERT_OBSERVATIONS, CRITICAL_ALERTS, METRIC_COLUMNS, PAIR, STOCK_CHANGES, STOCK_DAILY
 from stockhealth.streaming.history import RefreshLog
-from stockhealth.streaming.keyed_state import ALERT_OUT, CHANGE_OUT, NEVER, NO_TIME, RUN, ChangeLog, Cooldown, TimedCooldown
+from stockhealth.streaming.keyed_state import ALERT_OUT, CHANGE_OUT, NEVER, NO_TIME, RUN, ChangeLog, Cooldown, TimedCooldown, packed
 
 METRICS, AT_RISK, USAGE, DONE = "inventory_metrics_dt", "inventory_at_risk_dt", "recent_usage", "done"
 ALERTS = "critical_items_alerts"
 BUCKETS = 64  # parts of the maintained tables; an epoch reads and writes those of its pairs
+KEYS = 1024  # buckets of pairs, the keys of the change log's state
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -274,9 +275,9 @@ def _moment(column: str) -> Column:
     return F.expr(f"{_EPOCH} + make_dt_interval(0, 0, 0, CAST({column} AS DECIMAL(20, 0)) / 1000000)")
 
 
-def _keyed(rows: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "none") -> DataFrame:
+def _keyed(rows: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "none", keys: Sequence[str] = PAIR) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # keyed state is on disk, not on the heap
-    return rows.groupBy(*PAIR).transformWithStateInPandas(processor, schema, "append", time_mode)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", time_mode)
 
 
 def _logging(target: str) -> Callable[[DataFrame, int], None]:
@@ -298,26 +299,30 @@ def _current_log(spark: SparkSession, target: str, columns: str) -> DataFrame:
         log = spark.read.schema(schema).parquet(f"{target}/log")
     except AnalysisException:  # before the first batch
         return spark.createDataFrame([], schema)
-    key = [*PAIR, "id"]
+    key = ["id", *PAIR]
     newest = log.where("correction").groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max("epoch").alias("_epoch"))
     return log.join(newest, _same(key), "left").where("_epoch IS NULL OR epoch = _epoch")
 
 
 def stream_change_log(
     spark: SparkSession, source: str, target: str, checkpoint: str, max_files: int | None = None,
-    trigger: dict | None = None, ttl: timedelta | None = None, run_rows: int = RUN,
+    trigger: dict | None = None, ttl: timedelta | None = None, run_rows: int = RUN, buckets: int = KEYS,
 ) -> StreamingQuery:
     """Log inserts and updates with the previous closing stock by time, whatever the order of arrival.
 
     The versions of a pair's rows are in keyed state, so an epoch reads its own rows and no earlier ones; a late row corrects the row
-    after it. With ``ttl`` a pair's runs of versions that are all older, by their own time, than its newest one less ``ttl`` keep
+    after it. A key of the state is one of ``buckets`` parts by hash of the pair, which must stay the same for a checkpoint; with ``ttl``
+    it is the pair. With ``ttl`` a pair's runs of versions that are all older, by their own time, than its newest one less ``ttl`` keep
     just their last version: later rows are right, and a late row among them is compared with that one. The default forgets nothing. Result: ``current_change_log``.
     """
     rows = change_stream(spark, source, max_files).where(F.col("change_type").isin("INSERT", "UPDATE")).select(
         *PAIR, F.coalesce(F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long"), F.lit(NEVER)).alias("day"),
         F.coalesce(_micros("change_timestamp"), F.lit(NEVER)).alias("at"), (F.col("change_type") == "UPDATE").cast("long").alias("kind"),
         F.col("closing_stock").isNotNull().cast("long").alias("has_stock"), F.coalesce("closing_stock", F.lit(0)).alias("stock"))
-    return _start(_keyed(rows, ChangeLog(ttl, run_rows), CHANGE_OUT), _logging(target), checkpoint, trigger)
+    if ttl is None:
+        rows = rows.withColumn("bucket", _bucket(buckets)).mapInArrow(packed, "bucket int, blob binary")
+    keys = ["bucket"] if ttl is None else PAIR
+    return _start(_keyed(rows, ChangeLog(ttl, run_rows), CHANGE_OUT, keys=keys), _logging(target), checkpoint, trigger)
 
 
 def current_change_log(spark: SparkSession, target: str) -> DataFrame:

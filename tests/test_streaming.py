@@ -258,3 +258,21 @@ def test_history_outlives_the_query(spark, seed, fresh):
     status = refresh_status(history, at + timedelta(seconds=61)).first()
     assert (status.state, status.failures, status.lag_seconds, status.within_target) == ("FAILED", 1, 61.0, False) and "no clock" in status.error
     assert refresh_status(history, at + timedelta(seconds=60)).first().within_target
+
+
+def test_change_log_calls_python_once_for_many_pairs(spark, fresh):
+    start = datetime(2026, 1, 1)
+    arrivals = [[(start + timedelta(minutes=m + i), None if i % 50 == 0 else f"l{i}", f"i{i % 3}" if i % 7 else None, start.date(), "UPDATE", m + i)
+                 for i in range(3000)] for m in (5, 0)]
+    source, target, state = fresh("in"), fresh("out"), fresh("state")
+    for part in arrivals:
+        spark.createDataFrame(part, STOCK_CHANGES).coalesce(1).write.mode("append").parquet(source)
+        query = S.stream_change_log(spark, source, target, state, run_rows=50, buckets=8)
+        query.awaitTermination()
+    done = [p for p in query.recentProgress if p["numInputRows"]]
+    state_rows = sum(s["numRowsTotal"] for p in done for s in p["stateOperators"])
+    assert state_rows < 3000  # by bucket, not by pair
+    log = spark.read.parquet(f"{target}/log")
+    assert log.select("id").distinct().count() == 6000
+    whole = spark.createDataFrame([r for part in arrivals for r in part], STOCK_CHANGES)
+    assert rows(S.current_change_log(spark, target)) == rows(CH.change_log(whole))
