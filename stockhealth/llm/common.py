@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stockhealth.session import pin
 
-__all__ = ["WORD", "cells", "components", "pin", "read_table", "slices", "small_batches"]
+__all__ = ["WORD", "cells", "components", "pin", "pin_last", "read_table", "slices", "small_batches"]
 
 # Fixed value: a word is a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +32,17 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Data
         pa.default_memory_pool().release_unused()
 
 
+def pin_last(df: DataFrame, name: str) -> DataFrame:
+    """``pin``; the shuffle files that led to it go at once, not when the driver collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return pin(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def small_batches(spark: SparkSession, records: int = 1000) -> None:
     """Let the session send at most ``records`` rows to Python at once; texts may be long. A lower setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,7 +5,9 @@ the smallest hash among the ``GRAM``-byte strings of a window is its anchor; it
 alone, so equal windows have equal anchors at equal places. Windows with the same anchor are a piece of text.
 Marks of all pieces (anchor and digest of the bytes, no text) meet by anchor once. A piece that a smaller document has
 too goes as a whole, within a batch before the marks move, so an anchor of very many copies is no large key. What is left
-of an anchor are different pieces; only for these text is fetched, one for each, and they are sorted together in one suffix array;
+of an anchor are different pieces. The more text there is, the more documents share an anchor by chance, but a window that two pieces
+share holds the ``SIDE`` bytes before the anchor or those after it, so a piece stays only if another one has the same bytes on a side
+(a mark holds hashes of both). Only for these text is fetched, one for each, and they are sorted together in one suffix array;
 an anchor with too many of them is split into parts by the bytes around it first. Neighbouring suffixes that agree in
 ``SIZE`` bytes are the equal windows, and the smallest id among them decides.
 
@@ -27,10 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockhealth.llm.common import pin, small_batches
+from stockhealth.llm.common import pin, pin_last, small_batches
 from stockhealth.llm.simhash import chunks
 
 SIZE, GRAM = 50, 16
+SIDE = (SIZE - GRAM) // 2  # a window holds so many bytes before its anchor, or so many after it
+_SIDE = 18  # bits of the hash of a side, 0 if the piece ends before; those of the anchor are above both
 GROUP = 2000  # pieces of an anchor that go into one suffix array at most
 RANGE = 7  # windows of a piece that are looked up by their common bytes
 _ARRAY = 1 << 12  # bytes of the small groups that share a suffix array
@@ -134,11 +138,11 @@ def suffix_array(text: bytes) -> list[int]:
 
 
 def anchors(text: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor, its piece packed into a number (start << 16 | windows << 8 | place of the anchor), and a digest of the piece.
+    """Hash of each anchor and its sides, its piece packed into a number (start << 16 | windows << 8 | place of the anchor), and a digest of the piece.
 
-    The digest sums the mixed hashes of the piece's ``gram``-byte strings, each times a power of ``_BASE`` by its place.
+    The hash has 28 bits of the anchor, ``_SIDE`` of the bytes before it and as many of those after it. The digest sums the mixed hashes of the piece's ``gram``-byte strings, each times a power of ``_BASE`` by its place.
     """
-    hashes, packed, digests = [], [], []
+    hashes, packed, digests, side = [], [], [], (size - gram) // 2
     for at in range(0, len(text) - size + 1, _PART):
         x = np.frombuffer(text, np.uint8, min(_PART + size - 1, len(text) - at), at).astype(np.uint64)
         h, step, factor = (x + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9), 1, 0x9E3779B97F4A7C15
@@ -160,8 +164,12 @@ def anchors(text: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray
             least = np.minimum(least[:whole], least[wide - width:][:whole])
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         place = (_LOW - (least[first] & _LOW)).astype(np.int64)
-        hashes.append(h[place].view(np.int64))
         windows = np.append(first[1:], len(least)) - first
+        before = np.where(place - first >= side, _side(h, place - side, place - gram), 0)
+        after = np.where(first + windows + size - 1 - place - gram >= side, _side(h, place + gram, place + side), 0)
+        # The smallest hashes are anchors: their upper bits are mixed again.
+        x = (h[place] ^ (h[place] >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        hashes.append((x >> np.uint64(2 * _SIDE) << np.uint64(2 * _SIDE) | before << np.uint64(_SIDE) | after).view(np.int64))
         packed.append(first + at << 16 | windows << 8 | place - first)
         power, back = _powers(1 << max(12, len(h).bit_length()))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:len(h)])))
@@ -173,6 +181,13 @@ def anchors(text: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray
     return np.concatenate(hashes), np.concatenate(packed), np.concatenate(digests)
 
 
+def _side(h: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash, not 0, of the bytes of the strings at both places; places outside count as the nearest one."""
+    first, second = (np.clip(x, 0, len(h) - 1) for x in (first, second))
+    x = (h[first] + (h[second] ^ (h[second] >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.maximum(x >> np.uint64(64 - _SIDE), np.uint64(1))
+
+
 @cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``_BASE`` and of its inverse, modulo 2 ** 64."""
@@ -205,7 +220,7 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The pieces of every text. ``packed`` is start << 24 | tag << 12 | windows << 6 | place of the anchor.
 
     ``packed`` is inverted if a smaller document of the batch has the same piece; nothing more is to be found out then, and
-    the id stands for the anchor, so these rows spread. Small numbers come last in a row, where they compress.
+    the mixed id stands for the anchor, so these rows spread. Small numbers come last in a row, where they compress.
     """
     for frame in batches:
         for at in range(0, len(frame), 500):
@@ -224,7 +239,8 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             later = np.empty(len(order), bool)
             low = np.minimum.reduceat(ids[order], np.flatnonzero(first)) if len(order) else ids
             later[order] = ids[order] > low[np.cumsum(first) - 1]
-            yield pd.DataFrame({"_id": ids, "anchor": np.where(later, ids, anchor), "content": np.where(later, 0, content),
+            spread = (ids.view(np.uint64) * np.uint64(_BASE)).view(np.int64)
+            yield pd.DataFrame({"_id": ids, "anchor": np.where(later, spread, anchor), "content": np.where(later, 0, content),
                                 "packed": np.where(later, ~packed, packed)})
 
 
@@ -395,15 +411,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = rows.where(f"_id IS NOT NULL AND octet_length(_text) >= {SIZE}")
     marks = text.mapInPandas(_marks, "_id long, anchor long, content long, packed long")
 
-    # All rows of an anchor, then of a piece: one exchange serves both windows, and a large group spills.
-    anchor, piece = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
-    met = marks.select("*", F.min("_id").over(anchor).alias("_first"), F.max("_id").over(anchor).alias("_last"),
-                       (F.min("content").over(anchor) < F.max("content").over(anchor)).alias("_differ"))
+    # All rows of an anchor, then of a piece, then of each side: one exchange serves all windows, and a large group spills.
+    hashed = F.shiftright("anchor", 2 * _SIDE)
+    met = marks.repartition(hashed).withColumn("_anchor", hashed)
+    anchor, piece = Window.partitionBy("_anchor"), Window.partitionBy("_anchor", "content")
+    met = met.select("*", F.min("_id").over(anchor).alias("_first"), F.max("_id").over(anchor).alias("_last"))
     met = met.where("packed < 0 OR _first < _last").withColumn("_low", F.min("_id").over(piece))
+    mask = F.lit((1 << _SIDE) - 1)
+    for name, value in (("_before", F.shiftright("anchor", _SIDE).bitwiseAND(mask)), ("_after", F.col("anchor").bitwiseAND(mask))):
+        side, open_id = Window.partitionBy("_anchor", name), F.when(F.col("packed") >= 0, F.col("_id"))
+        met = met.withColumn(name, value)
+        met = met.withColumn(f"{name}_shared", (F.col(name) > 0) & (F.min(open_id).over(side) < F.max(open_id).over(side)) & (
+            F.min("content").over(side) < F.max("content").over(side)))
+    met = met.withColumn("_differ", F.col("_before_shared") | F.col("_after_shared")).withColumn("anchor", F.col("_anchor"))
     whole = (F.col("packed") < 0) | (F.col("_low") < F.col("_id"))
     met = met.where(whole | F.col("_differ")).select(
         "_id", F.greatest("packed", F.bitwise_not("packed")).alias("packed"), *[F.when(~whole, F.col(c)).alias(c) for c in ("anchor", "content")])
-    met = pin(met.withColumn("_tag", F.shiftright("packed", 12).bitwiseAND(F.lit(_TAGS - 1))), "met")
+    met = pin_last(met.withColumn("_tag", F.shiftright("packed", 12).bitwiseAND(F.lit(_TAGS - 1))), "met")
     start, windows = F.shiftright("packed", 24), F.shiftright("packed", 6).bitwiseAND(F.lit(63))
 
     # Different pieces of an anchor: one text for each. Groups too large for one array are split by the bytes around the anchor.
