@@ -246,6 +246,16 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return _tasks(rows, model, _digests, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _tokens(codec: Codec, texts: list[str]) -> dict[str, list]:
+    """Equal texts of a part are encoded and decoded once: a mix holds a document once for each epoch, side by side."""
+    done: dict[str, tuple[np.ndarray, str]] = {}
+    for text in texts:
+        if text not in done:
+            ids = codec.encode(text)
+            done[text] = np.frombuffer(ids, "<u4").astype("int32"), codec.decode(ids)
+    return {"ids": [done[t][0] for t in texts], "decoded": [done[t][1] for t in texts]}
+
+
 def tokens(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``keep`` columns, the ids of every row as ``ids: array<int>`` and the text decoded from them as ``decoded``.
 
@@ -253,9 +263,4 @@ def tokens(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), tex
     """
     rows = docs.select(*keep, docs[text_col].alias("_text"))
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-
-    def columns(codec: Codec, texts: list[str]) -> dict[str, list]:
-        ids = [codec.encode(t) for t in texts]
-        return {"ids": [np.frombuffer(b, "<u4").astype("int32") for b in ids], "decoded": [codec.decode(b) for b in ids]}
-
-    return _tasks(rows, model, columns, f"{kept}, ids array<int>, decoded string")
+    return _tasks(rows, model, _tokens, f"{kept}, ids array<int>, decoded string")

@@ -3,7 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from stockhealth.llm import common, suffixes
+from stockhealth.llm import common, sentencepiece_bpe, suffixes
+from stockhealth.llm.queries import model_path
 from stockhealth.session import pin
 
 
@@ -54,3 +55,12 @@ def test_files_of_a_finished_shuffle_go_at_once(spark):
     found = common.pin_last(spark.range(1000).repartition(4, "id"), "rows")
     assert held() <= before and found.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_copies_of_a_text_are_encoded_once(monkeypatch):
+    codec, encode, seen = sentencepiece_bpe.Codec.read(model_path()), sentencepiece_bpe.Codec.encode, []
+    monkeypatch.setattr(sentencepiece_bpe.Codec, "encode", lambda self, text: seen.append(text) or encode(self, text))
+    texts = ["a word", "a word", "", "more words é\n", "a word", "more words é\n"]
+    found = sentencepiece_bpe._tokens(codec, texts)
+    assert seen == ["a word", "", "more words é\n"] and found["decoded"] == texts
+    assert [x.tobytes() for x in found["ids"]] == [encode(codec, t) for t in texts]
