@@ -147,7 +147,6 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             yield pa.Table.from_batches(held)
 
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
     for table in chunks():
         table = table.sort_by("bucket").combine_chunks()
         bucket = table["bucket"].to_numpy()
@@ -155,7 +154,7 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
+            with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table.slice(a, b - a))
             blobs.append(sink.getvalue().to_pybytes())
         if len(bucket):
@@ -166,7 +165,7 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of a key, packed or not."""
     for frame in frames:
         if "blob" in frame:
-            yield from (pa.ipc.open_stream(blob).read_pandas() for blob in frame["blob"])
+            yield pa.concat_tables(pa.ipc.open_stream(blob).read_all() for blob in frame["blob"]).to_pandas()
         else:
             yield frame
 
